@@ -177,13 +177,13 @@ class Restorer:
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def evidence(restored: str, lengths: tuple[int, ...] = (4, 5, 6)) -> set[str]:
+def evidence(restored: str, lengths: tuple[int, ...] = (4, 5, 6, 7, 8)) -> set[str]:
     """Whole words (marked with a closing $) and beginnings of words."""
     words = set(_WORD.findall(restored))
     return {f"{w}$" for w in words} | {w[:k] for w in words for k in lengths if len(w) > k}
 
 
-def cover(docs: list[tuple[bool, list[int]]], names: list[str], negative_weight: float, strictness: float = 3.0) -> tuple[float, dict[str, float]]:
+def cover(docs: list[tuple[bool, list[int]]], names: list[str], negative_weight: float, strictness: float = 2.0) -> tuple[float, dict[str, float]]:
     """Sequential covering: (score without evidence, {evidence: probability}).
 
     Takes, again and again, the evidence that newly covers most toxic rows less ``strictness`` times the clean ones,
@@ -245,7 +245,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", fit_rows:
         yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([counts[False][f] for f in rest], pa.int64())], names=["f", "p", "n"])
 
     weight = share.get(True, 1.0) / share.get(False, 1.0)
-    found = rows.mapInArrow(seen, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= 2).where(F.col("p") > 3.0 * weight * F.col("n"))
+    found = rows.mapInArrow(seen, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= 2).where(F.col("p") > 2.0 * weight * F.col("n"))
     names = [r.f for r in found.orderBy(F.desc("p"), F.desc(F.length("f")), "f").limit(most_candidates).collect()]
     number = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
