@@ -37,16 +37,23 @@ def classifier(labelled: DataFrame, n_features: int, floor: float = 1e-4) -> dic
     return {r.domain: (math.log(r.n / total), [r[f"m{i}"] for i in range(n_features)], [r[f"v{i}"] + floor for i in range(n_features)]) for r in rows}
 
 
-def posterior(model: dict[str, tuple[float, list[float], list[float]]], temper: float) -> Column:
-    """Posterior weights, the largest 1, in the order of ``model``; ``temper`` damps the evidence, which naive densities count double."""
+def posteriors(rows: DataFrame, model: dict[str, tuple[float, list[float], list[float]]], temper: float) -> DataFrame:
+    """Replaces f by p, the posterior probabilities in the order of ``model``.
+
+    ``temper`` damps the evidence, which naive densities count double. Each step is a column of its own, because an
+    expression inside a lambda is evaluated again for every element.
+    """
     scores = []
     for prior, mean, var in model.values():
-        score = F.lit(prior)
+        score = F.lit(prior - temper * 0.5 * sum(map(math.log, var)))
         for i, (m, v) in enumerate(zip(mean, var, strict=True)):
-            score = score - temper * 0.5 * ((F.col("f")[i] - m) * (F.col("f")[i] - m) / v + math.log(v))
+            score = score - (F.col("f")[i] - m) * (F.col("f")[i] - m) * (temper * 0.5 / v)
         scores.append(score)
-    raw = F.array(*scores)
-    return F.transform(raw, lambda s: F.exp(s - F.array_max(raw)))
+    raw = rows.withColumn("score", F.array(*scores)).drop("f")
+    top = raw.withColumn("top", F.array_max("score"))
+    weight = top.withColumn("weight", F.transform("score", lambda s: F.exp(s - F.col("top")))).drop("score", "top")
+    total = weight.withColumn("total", F.aggregate("weight", F.lit(0.0), lambda x, y: x + y))
+    return total.withColumn("p", F.transform("weight", lambda x: x / F.col("total"))).drop("weight", "total")
 
 
 def _replayed(steps: list[list[float]], least_rate: float) -> Column:
@@ -94,9 +101,7 @@ def mix_to_targets(
         rates = facts.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
     else:
         names = list(model)
-        weighed = facts.select("doc_id", "n_tokens", posterior(model, temper).alias("w"))
-        total = F.aggregate("w", F.lit(0.0), lambda x, y: x + y)
-        soft = materialize(weighed.select("doc_id", "n_tokens", F.transform("w", lambda x: x / total).alias("p")), root, "soft")
+        soft = materialize(posteriors(facts.select("doc_id", "n_tokens", "f"), model, temper), root, "soft")
         d = len(names)
         cell = lambda i, j: F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j])
         sums = soft.agg(*[cell(i, j).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)], *[F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"n{i}") for i in range(d)]).first()
