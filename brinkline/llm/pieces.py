@@ -86,10 +86,13 @@ class Vocabulary:
             out.append((np.array([h for h, _ in w], np.uint64), np.array([i for _, i in w], np.int64), np.array(sorted(b), np.uint64)))
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Text of a piece sequence: bytes are joined, word marks become spaces, the leading one goes."""
+        if not self._high[ids].any():
+            return "".join(map(self._shown.__getitem__, ids.tolist())).replace(MARK, " ")[1:]
         parts, raw = [], bytearray()
         of = self._byte_of
+        ids = ids.tolist()
         for i in ids:
             if i in of:
                 raw.append(of[i])
@@ -101,6 +104,16 @@ class Vocabulary:
         parts.append(raw.decode("utf-8", "replace"))
         return "".join(parts).replace(MARK, " ")[1:]
 
+    @cached_property
+    def _shown(self) -> list[str]:
+        """What a piece shows by itself; bytes under 0x80 are characters."""
+        return [chr(self._byte_of[i]) if self._byte_of.get(i, 128) < 128 else p for i, p in enumerate(self.pieces)]
+
+    @cached_property
+    def _high(self) -> np.ndarray:
+        """Pieces that are bytes of a longer sequence."""
+        return np.array([self._byte_of.get(i, 0) >= 128 for i in range(len(self.pieces))])
+
     @cached_property
     def _byte_of(self) -> dict[int, int]:
         return {i: b for b, i in enumerate(self.byte_ids)}
@@ -262,8 +275,7 @@ def sample_batch(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
             infos[d].append((float(along[-1]), bound))
             new = np.arange(len(kept), len(path))
             if left_out is not None:  # siblings that remain where this path left its parent
-                _, out = left_out
-                new = new
+                out = left_out
                 j = len(kept) - 1
                 rest = 1.0 - float(np.exp(lattice.logp[np.array(out + [int(path[j])])]).sum())
                 if len(out) + 1 < lattice.fan[lattice.source[path[j]]] and rest > 0:
@@ -300,9 +312,9 @@ def sample_batch(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
             kept = np.r_[path[:j], edge]
             target = int(lattice.target[edge])
             if target >= lattice.end[word[d][w0]]:
-                after.append((d, kept, w0 + 1, -1, -bound, (parent, out)))
+                after.append((d, kept, w0 + 1, -1, -bound, out))
             else:
-                after.append((d, kept, w0, target, -bound, (parent, out)))
+                after.append((d, kept, w0, target, -bound, out))
         todo = after
     out = []
     for d in range(n):
@@ -340,7 +352,7 @@ def _ids(lattice: Lattice, path: np.ndarray, tails: dict[int, list[int]]) -> np.
     return np.concatenate([*parts, ids[at:]]).astype(np.int32)
 
 
-def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 17, batch_chars: int = 2_000_000) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 17, batch_chars: int = 3_000_000) -> DataFrame:
     """A row for each sample of each row of ``docs`` (doc_id, text): doc_id, sample_rank, ids, log_prob, perturbed, inclusion, decoded.
 
     ids holds the piece numbers as packed 32-bit little-endian integers (``unpack``); decoded tells whether decoding
@@ -370,7 +382,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int
                 rows = []
                 for i, text, samples in zip(ids, texts, sample_batch(v, texts, keys, k), strict=True):
                     for rank, (path, logp, score, inclusion) in enumerate(samples):
-                        rows.append((i, rank, path.tobytes(), logp, score, inclusion, v.decode(path.tolist()) == text))
+                        rows.append((i, rank, path.tobytes(), logp, score, inclusion, v.decode(path) == text))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(7)], schema=schema)
                 at += n
 
