@@ -1 +1 @@
-
+"""Streaming forms of block maxima (an extension)."""
