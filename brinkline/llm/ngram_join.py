@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from brinkline.llm.common import connected_components, without
+from brinkline.llm.common import connected_components
 from brinkline.plans.shared import materialize, shared_root
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -186,8 +186,8 @@ class Lists:
 _SETS = "doc_id long, n_shingles long, set_hi long, set_lo long"
 
 
-def _set_batches(width: int, scheme: Scheme, frequent):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+def _set_batches(width: int, scheme: Scheme, frequent, signed: bool):
+    """Sizes and digests of the sets; with ``signed`` the signatures too."""
 
     def run(batches):
         hot = np.sort(np.asarray(frequent.value, np.int64).view(np.uint64))
@@ -200,11 +200,15 @@ def _set_batches(width: int, scheme: Scheme, frequent):
                     n.append(len(x))
                     hi.append(int(np.add.reduce(_mix(x + _M1)).view(np.int64)) if len(x) else 0)
                     lo.append(int(np.add.reduce(_mix(x + _M3)).view(np.int64)) if len(x) else 0)
-                    s = scheme.signatures(x, hot).view(np.int64) if len(x) else np.empty(0, np.int64)
-                    sigs.append(s)
-                    ends.append(ends[-1] + len(s))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 1000).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists], schema=schema)
+                    if signed:
+                        sigs.append(scheme.signatures(x, hot).view(np.int64) if len(x) else np.empty(0, np.int64))
+                        ends.append(ends[-1] + len(sigs[-1]))
+                columns = [ids.slice(at, 1000), *(pa.array(v, pa.int64()) for v in (n, hi, lo))]
+                names = ["doc_id", "n_shingles", "set_hi", "set_lo"]
+                if signed:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs))))
+                    names.append("signatures")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -274,16 +278,15 @@ def ngram_jaccard_join(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scheme = Scheme(num, den)
     frequent = spark.sparkContext.broadcast(_frequent(docs, width, sample_docs, frequent_share, frequent_most))
-    sets = materialize(docs.mapInArrow(_set_batches(width, scheme, frequent), _SETS + ", signatures array<long>"), root, "sets")
-
     # groups of one signature, after equal sets have collapsed to their smallest doc_id: one shuffle, keyed by signature
-    by_sig = sets.where("doc_id is not null").select(F.explode("signatures").alias("sig"), "set_hi", "doc_id")
+    signed = docs.where("doc_id is not null").mapInArrow(_set_batches(width, scheme, frequent, True), _SETS + ", signatures array<long>")
+    by_sig = signed.select(F.explode("signatures").alias("sig"), "set_hi", "doc_id")
     by_sig = by_sig.repartition("sig").groupBy("sig", "set_hi").agg(F.min("doc_id").alias("doc_id"))
     group = W.partitionBy("sig")
     met = materialize(
-        by_sig.select("sig", "doc_id", F.count("*").over(group).alias("n"), F.min("doc_id").over(group).alias("hub")).where("n > 1"), root, "met"
+        by_sig.select("sig", "doc_id", F.count("*").over(group).alias("n")).where("n > 1"), root, "met"
     )
-    # the second hub of a signature is the member that meets most others: the original among its edited copies
+    # a signature's hub is the member that meets most others: the original among its edited copies
     degree = met.groupBy("doc_id").agg(F.sum("n").alias("degree"))
     central = (
         met.join(degree, "doc_id")
@@ -291,7 +294,7 @@ def ngram_jaccard_join(
         .agg(F.max(F.struct("degree", F.col("doc_id").alias("hub"))).alias("top"))
         .select("sig", F.col("top.hub").alias("hub"))
     )
-    pairs = met.select("doc_id", "hub").union(met.select("sig", "doc_id").join(central, "sig").select("doc_id", "hub"))
+    pairs = met.select("sig", "doc_id").join(central, "sig").select("doc_id", "hub")
     pairs = materialize(pairs.where("doc_id <> hub").distinct(), root, "pairs")
 
     # shingles of the documents that met any other
@@ -339,8 +342,9 @@ def ngram_jaccard_join(
     links = materialize(links.union(more), root, "all-links")
 
     final = connected_components(links, root, "final").select(F.col("id").alias("rep"), "component")
+    sets = materialize(docs.mapInArrow(_set_batches(width, scheme, frequent, False), _SETS), root, "sets")
     equal = sets.where("doc_id is not null and n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
     equal = equal.join(final, "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
-    return without(sets, "signatures").join(equal, ["set_hi", "set_lo"], "left").select(
+    return sets.join(equal, ["set_hi", "set_lo"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id")
     )
