@@ -27,7 +27,7 @@ KINDS = ("email", "phone", "ip", "card", "ssn", "name")
 # Given names by (script, gender), honorifics by gender.
 GIVEN = {
     ("latin", "f"): "Ada Alice Amelie Ana Anna Beatriz Camille Carla Carmen Chloe Claire Clara Elena Elise Ella Emma Eva Frida Greta Hannah Helena Ines Irene Isabel Julia Karla Laura Lea Lena Lucia Luisa Manon Maria Marta Mia Nina Nora Olga Paula Rosa Sara Sofia Teresa Vera".split(),
-    ("latin", "m"): "Adam Alan Albert Andreas Anton Ben Bruno Carlos David Diego Emil Erik Felix Finn Georg Hans Hugo Ivan Jakob Jan Javier Jean Joel Jonas Jorge Juan Julien Karl Lars Leo Louis Luis Lukas Marc Mario Max Nicolas Oscar Pablo Paul Pedro Peter Simon Theo Thomas Tim".split(),
+    ("latin", "m"): "Adam Alan Albert Andreas Anton Ben Bruno Carlos David Diego Emil Erik Felix Finn Georg Hans Hugo Ivan Jakob Jan Javier Jean John Jonas Jorge Juan Julien Karl Lars Leo Louis Luis Lukas Marc Mario Max Nicolas Oscar Pablo Paul Pedro Peter Simon Theo Thomas Tim".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Ксения Мария Нина Ольга Полина Светлана".split(),
     ("cyrillic", "m"): "Алексей Борис Виктор Дмитрий Иван Кирилл Максим Николай Олег Павел Сергей Юрий".split(),
     ("greek", "f"): "Άννα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
