@@ -86,29 +86,34 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}" if not folder.startswith("file:") else folder.replace("file:", "file://", 1))
 
 
-def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, rows_a_shard: int = 20_000, least_revisit_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, rows_a_shard: int = 2_000, least_revisit_bytes: int = 0, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files under ``folder``; returns the manifest table (path, records, bytes, sha256).
 
     Payloads are the html in UTF-8, null: empty. Of records with equal payloads of at least ``least_revisit_bytes``
     the one with the smallest page_id is a response and the others revisit it; other records are responses. Null urls
     count as empty. Rows with a null page_id can't be referred to and are refused. Rows that repeat a page_id with
-    equal content become a response and a revisit of the same id. Extra columns are ignored; an empty table gives an
+    equal content that nobody else has are each a response. Extra columns are ignored; an empty table gives an
     empty manifest.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("page_id", F.when(F.col("page_id").isNull(), F.raise_error(F.lit("a page_id is null")).cast("long")).otherwise(F.col("page_id")))
-    # one thin row a page decides who answers; a payload that many pages share is pre-aggregated, then dealt back in salted parts
+    # thin rows decide who answers; a payload that many pages share is pre-aggregated, then dealt back in salted parts
     salts = 32
     keys = rows.select("page_id", F.sha2("payload", 256).alias("same"), F.octet_length("payload").alias("size"))
     firsts = keys.where(F.col("size") >= least_revisit_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = firsts.select("same", "first", F.explode(F.when(F.col("n") > 1000, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"), (F.col("n") > 1000).alias("large"))
     small, large = firsts.where("not large"), firsts.where("large")
-    salted = rows.withColumn("same", F.sha2("payload", 256)).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
+    salted = keys.select("page_id", "same", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"))
     joined = salted.join(large.select("same", "salt", F.col("first").alias("first_l")), ["same", "salt"], "left").join(small.select("same", F.col("first").alias("first_s")), "same", "left")
-    refers = F.coalesce("first_l", "first_s")
-    ready = joined.select("page_id", "url", "payload", F.when(refers != F.col("page_id"), refers).alias("refers_to"))
-    n = max(1, -(-pages.count() // rows_a_shard))
-    ready = ready.repartitionByRange(n, "page_id", "url").sortWithinPartitions("page_id", "url")
+    thin = joined.select("page_id", F.coalesce("first_l", "first_s").alias("refers_to")).where("refers_to <> page_id").distinct()
+    thin = materialize(thin, folder, "revisits")
+    total, revisits = pages.count(), thin.count()
+    # payloads are shuffled once, by range; who revisits whom comes to them by broadcast if it is small
+    ranged = rows.repartitionByRange(max(1, -(-total // rows_a_shard)), "page_id", "url")
+    ready = ranged.join(F.broadcast(thin) if revisits <= broadcast_rows else thin, "page_id", "left")
+    if revisits > broadcast_rows:
+        ready = ready.repartitionByRange(max(1, -(-total // rows_a_shard)), "page_id", "url")
+    ready = ready.select("page_id", "url", "payload", "refers_to").sortWithinPartitions("page_id", "url")
 
     def run(batches):
         system, base = _open(folder)
