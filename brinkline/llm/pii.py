@@ -4,7 +4,8 @@ Every entity goes through a keyed permutation of its own format's values (a Feis
 is valid again), so different entities of a format always get different surrogates and an entity gets the same one
 wherever it occurs, however it is punctuated or cased. Digits stay digits, letters keep their script and case, given
 names come from a list of the same script and gender, card numbers keep their Luhn state, addresses stay public.
-A surrogate that equals an entity found anywhere in the corpus is permuted again; that check is a distributed join.
+A surrogate that equals an entity found anywhere in the corpus is replaced by one of a spare permutation that meets
+neither an entity nor another surrogate; those checks are distributed joins.
 """
 
 from __future__ import annotations
@@ -229,22 +230,31 @@ def surrogate_pii(docs: DataFrame, key: bytes, broadcast_rows: int = 200_000) ->
     every = materialize(every, root, "entities")
 
     # names are drawn from lists that texts use too, so only the other kinds must keep clear of the corpus
-    def clashing(rows: DataFrame) -> DataFrame:
-        taken = every.select("kind", F.col("entity").alias("surrogate"))
+    originals = every.select("kind", F.col("entity").alias("surrogate"))
+
+    def clashing(rows: DataFrame, taken: DataFrame) -> DataFrame:
         return rows.where("kind <> 'name'").join(taken, ["kind", "surrogate"], "left_semi").select("kind", "entity", "surrogate")
 
-    def again(batches):
-        surrogates = Surrogates(key)
-        for batch in batches:
-            kinds, old = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([surrogates.of(k, s) for k, s in zip(kinds, old, strict=True)], pa.string())], names=["kind", "entity", "surrogate"])
+    def again(k: int):
+        """The entities' surrogates under the k-th spare permutation."""
+
+        def run(batches):
+            surrogates = Surrogates(key + b"|%d" % k)
+            for batch in batches:
+                new = [surrogates.of(*e) for e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
+
+        return run
 
-    moved, clash, k = None, materialize(clashing(every), root, "clash-0"), 0
+    # a spare permutation could meet a surrogate given by another one, so those are taken too
+    moved, clash, k = None, materialize(clashing(every, originals), root, "clash-0"), 0
+    taken = originals.union(every.select("kind", "surrogate"))
     while clash.limit(1).count():
         k += 1
-        new = materialize(clash.mapInArrow(again, "kind string, entity string, surrogate string"), root, f"moved-{k}")
-        clash = materialize(clashing(new), root, f"clash-{k}")
+        new = materialize(clash.mapInArrow(again(k), "kind string, entity string, surrogate string"), root, f"moved-{k}")
+        clash = materialize(clashing(new, taken), root, f"clash-{k}")
         settled = new.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti")
+        taken = taken.union(settled.select("kind", "surrogate"))
         moved = settled if moved is None else moved.union(settled)
     small = moved is None or moved.count() <= broadcast_rows
     changed = spark.sparkContext.broadcast({(r.kind, r.entity): r.surrogate for r in moved.collect()} if moved is not None and small else {})
