@@ -1,10 +1,10 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
 Documents become sets of hashed word shingles. Equal sets collapse to one representative. A signature
-scheme routes representatives so that any two sets at or above the threshold meet in one block, and in each
-block an inverted index answers T-occurrence queries: the longest lists are put aside, the short ones are
-heap-merged with skips, the candidates are probed in the long ones, and documents that reach the required
-overlap are linked. Groups of copies are linked through hubs first, so that a block's largest component
+scheme routes representatives so that any two sets at or above the threshold meet in one block (the groups
+of signatures that have one hub), and in each block an inverted index answers T-occurrence queries: the longest lists
+are put aside, the short ones are heap-merged with skips, the candidates are probed in the long ones, and documents
+that reach the required overlap are linked. Groups of copies are linked through hubs first, so that a block's largest component
 never queries itself and no group is expanded into all its pairs.
 
 Why no link is lost. Sets x, y with J >= num/den differ in at most
@@ -13,6 +13,11 @@ plus one buckets, so at least ``spare + 1`` buckets agree. Frequent shingles are
 (leaving elements out only lowers the difference). If all agreeing buckets are empty, both sets have more than
 ``spare`` empty ones; such sets also emit the signatures of a second scheme that leaves nothing out and, if they
 need it, its empty buckets. The choice of frequent shingles affects speed alone.
+
+How documents are pruned. Of the ``spare + 1`` agreeing buckets of a scheme no more can be empty than a set has empty
+ones, ``e``, so each set of a linked pair shares ``max(1, spare + 1 - e)`` signatures at least with the other, all of
+one size class and scheme. A set of which fewer signatures met anything is linked with nothing there and leaves those
+groups, which may leave others below their need; any number of such rounds is exact.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from brinkline.llm.common import connected_components
 from brinkline.plans.shared import materialize, shared_root
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_MOST_NEED = 255
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,24 +86,34 @@ class Scheme:
         """Least overlap of two sets of these sizes that reaches the threshold."""
         return -(-self.num * (nx + ny) // (self.den + self.num))
 
-    def signatures(self, x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    def signatures(self, x: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, needs). The last two bits of a signature tell its size class and scheme apart from the set's
+        others; a need is how many signatures with those bits each set that is linked with this one shares at least.
+        """
         rare = x
         if len(frequent):
             at = np.searchsorted(frequent, x)
             rare = x[frequent[np.minimum(at, len(frequent) - 1)] != x]
-        c, out = self.size_class(len(x)), []
+        c, out, needs = self.size_class(len(x)), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+
+        def emit(found: np.ndarray, need: int, slot: int) -> None:
+            out.append((found & ~np.uint64(3)) | np.uint64(slot))
+            needs.append(np.full(len(found), min(need, _MOST_NEED), np.int64))
+
         for tag in (c, c + 1):
             k, spare = self.buckets(tag)
             if not k:
                 continue
+            slot = 2 * (tag % 2)
             first, empty = self._deal(rare, k, 2 * tag)
-            out.append(first)
+            emit(first, max(1, spare + 1 - len(empty)), slot)
             if len(empty) > spare:
                 second, empty = self._deal(x, k, 2 * tag + 1)
-                out.append(second)
+                need = max(1, spare + 1 - len(empty))
+                emit(second, need, slot + 1)
                 if len(empty) > spare:
-                    out.append(empty)
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+                    emit(empty, need, slot + 1)
+        return np.concatenate(out), np.concatenate(needs)
 
     @staticmethod
     def _deal(x: np.ndarray, k: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,35 +200,68 @@ class Lists:
 
 
 _SETS = "doc_id long, n_shingles long, set_hi long, set_lo long"
+_SIGNED = "doc_id long, signatures array<long>, keys array<long>"
 
 
-def _set_batches(width: int, scheme: Scheme, frequent, signed: bool):
-    """Sizes and digests of the sets; with ``signed`` the signatures too."""
+def _digest(x: np.ndarray, salt: np.uint64) -> int:
+    return int(np.add.reduce(_mix(x + salt)).view(np.int64)) if len(x) else 0
+
+
+def _set_batches(width: int):
+    """Sizes and digests of the sets."""
 
     def run(batches):
-        hot = np.sort(np.asarray(frequent.value, np.int64).view(np.uint64))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(ids), 1000):
-                n, hi, lo, sigs, ends = [], [], [], [], [0]
+                n, hi, lo = [], [], []
                 for text in texts.slice(at, 1000).to_pylist():
                     x = shingles(text, width)
                     n.append(len(x))
-                    hi.append(int(np.add.reduce(_mix(x + _M1)).view(np.int64)) if len(x) else 0)
-                    lo.append(int(np.add.reduce(_mix(x + _M3)).view(np.int64)) if len(x) else 0)
-                    if signed:
-                        sigs.append(scheme.signatures(x, hot).view(np.int64) if len(x) else np.empty(0, np.int64))
-                        ends.append(ends[-1] + len(sigs[-1]))
-                columns = [ids.slice(at, 1000), *(pa.array(v, pa.int64()) for v in (n, hi, lo))]
-                names = ["doc_id", "n_shingles", "set_hi", "set_lo"]
-                if signed:
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs))))
-                    names.append("signatures")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    hi.append(_digest(x, _M1))
+                    lo.append(_digest(x, _M3))
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *(pa.array(v, pa.int64()) for v in (n, hi, lo))], names=["doc_id", "n_shingles", "set_hi", "set_lo"])
+
+    return run
+
+
+def _signature_batches(width: int, scheme: Scheme, frequent):
+    """Signatures of the sets, each with a key: the set's digest, its last byte replaced by the signature's need."""
+
+    def run(batches):
+        hot = np.sort(np.asarray(frequent.value, np.int64).view(np.uint64))
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for at in range(0, len(ids), 1000):
+                sigs, keys, ends = [], [], [0]
+                for text in texts.slice(at, 1000).to_pylist():
+                    x = shingles(text, width)
+                    found, needs = scheme.signatures(x, hot) if len(x) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                    sigs.append(found.view(np.int64))
+                    keys.append((np.int64(_digest(x, _M1)) & np.int64(~_MOST_NEED)) | needs)
+                    ends.append(ends[-1] + len(found))
+                ends = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(v))) for v in (sigs, keys)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *lists], names=["doc_id", "signatures", "keys"])
 
     return run
 
 
+def _pruned(met: DataFrame) -> DataFrame:
+    """Rows (sig, doc_id, need) of sets that have their need of met signatures, in groups that still have two."""
+    slot = W.partitionBy("doc_id", F.col("sig").bitwiseAND(F.lit(3)))
+    enough = met.withColumn("had", F.count("*").over(slot)).where("had >= need").drop("had")
+    return enough.withColumn("n", F.count("*").over(W.partitionBy("sig"))).where("n > 1").select("sig", "doc_id", "need", "n")
+
+
+def _open(rest: DataFrame) -> DataFrame:
+    """Rows (sig, doc_id, need, hub, part) of sets that have their need of open groups, where groups still hold two parts."""
+    slot = W.partitionBy("doc_id", F.col("sig").bitwiseAND(F.lit(3)))
+    enough = rest.withColumn("had", F.count("*").over(slot)).where("had >= need").drop("had")
+    group = W.partitionBy("sig")
+    return enough.withColumn("differ", F.min("part").over(group) < F.max("part").over(group)).where("differ").drop("differ")
+
+
 def _frequent(docs: DataFrame, width: int, sample_docs: int, share: float, most: int) -> list[int]:
     """Shingles in at least ``share`` of a bounded sample of documents; a routing hint that never affects results."""
     total = docs.count()
@@ -261,6 +310,7 @@ def ngram_jaccard_join(
     den: int = 100,
     shard_docs: int = 500,
     broadcast_ids: int = 1_000_000,
+    prune_rounds: int = 1,
     sample_docs: int = 10_000,
     frequent_share: float = 0.003,
     frequent_most: int = 50_000,
@@ -279,13 +329,14 @@ def ngram_jaccard_join(
     scheme = Scheme(num, den)
     frequent = spark.sparkContext.broadcast(_frequent(docs, width, sample_docs, frequent_share, frequent_most))
     # groups of one signature, after equal sets have collapsed to their smallest doc_id: one shuffle, keyed by signature
-    signed = docs.where("doc_id is not null").mapInArrow(_set_batches(width, scheme, frequent, True), _SETS + ", signatures array<long>")
-    by_sig = signed.select(F.explode("signatures").alias("sig"), "set_hi", "doc_id")
-    by_sig = by_sig.repartition("sig").groupBy("sig", "set_hi").agg(F.min("doc_id").alias("doc_id"))
+    signed = docs.where("doc_id is not null").mapInArrow(_signature_batches(width, scheme, frequent), _SIGNED)
+    by_sig = signed.select(F.explode(F.arrays_zip("signatures", "keys")).alias("s"), "doc_id").select("s.signatures", "s.keys", "doc_id")
+    by_sig = by_sig.toDF("sig", "key", "doc_id").repartition("sig").groupBy("sig", "key").agg(F.min("doc_id").alias("doc_id"))
     group = W.partitionBy("sig")
-    met = materialize(
-        by_sig.select("sig", "doc_id", F.count("*").over(group).alias("n")).where("n > 1"), root, "met"
-    )
+    met = by_sig.select("sig", "doc_id", F.col("key").bitwiseAND(F.lit(_MOST_NEED)).alias("need"), F.count("*").over(group).alias("n")).where("n > 1")
+    met = materialize(met, root, "met-0")
+    for k in range(prune_rounds):
+        met = materialize(_pruned(met), root, f"met-{k + 1}")
     # a signature's hub is the member that meets most others: the original among its edited copies
     degree = met.groupBy("doc_id").agg(F.sum("n").alias("degree"))
     central = (
@@ -294,6 +345,7 @@ def ngram_jaccard_join(
         .agg(F.max(F.struct("degree", F.col("doc_id").alias("hub"))).alias("top"))
         .select("sig", F.col("top.hub").alias("hub"))
     )
+    central = materialize(central, root, "central")
     pairs = met.select("sig", "doc_id").join(central, "sig").select("doc_id", "hub")
     pairs = materialize(pairs.where("doc_id <> hub").distinct(), root, "pairs")
 
@@ -321,15 +373,18 @@ def ngram_jaccard_join(
     hubs = shards.select("block", "shard").distinct().select("block", "shard", F.lit(True).alias("query"), F.col("block").alias("doc_id"), F.lit(1).cast("long").alias("part"))
     links = materialize(_searched(members.union(hubs).join(held, "doc_id"), num, den), root, "links")
 
-    # what hubs did not settle: other components of a block search the shards of larger ones
-    blocks = connected_components(pairs.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), root, "blocks").select(F.col("id").alias("doc_id"), F.col("component").alias("block"))
+    # what hubs did not settle: in a group of one signature, members of different parts; a hub has met all of its group,
+    # so it leaves, and a pair still open has all its shared signatures in open groups, so that the needs prune again
     parts = connected_components(links, root, "parts").select(F.col("id").alias("doc_id"), F.col("component").alias("part"))
-    placed = blocks.join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    rest = met.join(central, "sig").where("doc_id <> hub").drop("n").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    for k in range(prune_rounds):
+        rest = materialize(_open(rest), root, f"open-{k}")
+    # groups of one hub are searched together
+    placed = rest.select(F.col("hub").alias("block"), "doc_id", "part").distinct()
     part_size = placed.groupBy("block", "part").agg(F.count("*").alias("m"))
-    mixed = part_size.groupBy("block").agg(F.count("*").alias("parts")).where("parts > 1").select("block")
     # parts of a block in order of size; shards fill up along that order
     along = W.partitionBy("block").orderBy(F.desc("m"), "part").rowsBetween(W.unboundedPreceding, -1)
-    ranked = part_size.join(mixed, "block", "left_semi").withColumn("before", F.coalesce(F.sum("m").over(along), F.lit(0)))
+    ranked = part_size.withColumn("before", F.coalesce(F.sum("m").over(along), F.lit(0)))
     placed = placed.join(ranked.select("block", "part", "m", "before"), ["block", "part"])
     placed = materialize(
         placed.withColumn("shard", F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("m"))) / shard_docs).cast("long")), root, "placed"
@@ -342,7 +397,7 @@ def ngram_jaccard_join(
     links = materialize(links.union(more), root, "all-links")
 
     final = connected_components(links, root, "final").select(F.col("id").alias("rep"), "component")
-    sets = materialize(docs.mapInArrow(_set_batches(width, scheme, frequent, False), _SETS), root, "sets")
+    sets = materialize(docs.mapInArrow(_set_batches(width), _SETS), root, "sets")
     equal = sets.where("doc_id is not null and n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
     equal = equal.join(final, "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
     return sets.join(equal, ["set_hi", "set_lo"], "left").select(
