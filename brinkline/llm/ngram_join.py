@@ -18,6 +18,12 @@ How documents are pruned. Of the ``spare + 1`` agreeing buckets of a scheme no m
 ones, ``e``, so each set of a linked pair shares ``max(1, spare + 1 - e)`` signatures at least with the other, all of
 one size class and scheme. A set of which fewer signatures met anything is linked with nothing there and leaves those
 groups, which may leave others below their need; any number of such rounds is exact.
+
+What is screened. A parity bitmap holds, for each of m places, whether an odd number of a set's hashes fall there. An
+element in one of two sets only flips one place, so the places in which two bitmaps differ are never more than the
+elements in which the sets differ. Pairs (or rows of a block) whose bitmaps differ in more places than the threshold
+allows are dropped before any whole set is shuffled; what remains is searched on whole sets. m is a power of two of
+at least twice the set's size; a bitmap is folded to half its size by xor of its halves.
 """
 
 from __future__ import annotations
@@ -60,6 +66,15 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def parity_bitmap(x: np.ndarray) -> bytes:
+    """Little-endian parity bitmap of the hashes; empty for an empty set."""
+    if not len(x):
+        return b""
+    m = max(64, 1 << (2 * len(x) - 1).bit_length())
+    odd = np.bincount((x & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 class Scheme:
     """Size classes and bucket counts of the signature scheme for the threshold num / den."""
 
@@ -199,7 +214,8 @@ class Lists:
                     heapq.heappush(heap, (s[j], i, j))
 
 
-_SETS = "doc_id long, n_shingles long, set_hi long, set_lo long"
+_SETS = "doc_id long, n_shingles long, set_hi long, set_lo long, bitmap binary"
+_ROWS = "block long, shard long, query boolean, doc_id long, part long"
 _SIGNED = "doc_id long, signatures array<long>, keys array<long>"
 
 
@@ -208,19 +224,21 @@ def _digest(x: np.ndarray, salt: np.uint64) -> int:
 
 
 def _set_batches(width: int):
-    """Sizes and digests of the sets."""
+    """Sizes, digests and parity bitmaps of the sets."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(ids), 1000):
-                n, hi, lo = [], [], []
+                n, hi, lo, maps = [], [], [], []
                 for text in texts.slice(at, 1000).to_pylist():
                     x = shingles(text, width)
                     n.append(len(x))
                     hi.append(_digest(x, _M1))
                     lo.append(_digest(x, _M3))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *(pa.array(v, pa.int64()) for v in (n, hi, lo))], names=["doc_id", "n_shingles", "set_hi", "set_lo"])
+                    maps.append(parity_bitmap(x))
+                cols = [ids.slice(at, 1000), *(pa.array(v, pa.int64()) for v in (n, hi, lo)), pa.array(maps, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_hi", "set_lo", "bitmap"])
 
     return run
 
@@ -280,6 +298,73 @@ def _frequent(docs: DataFrame, width: int, sample_docs: int, share: float, most:
     return [r.token for r in rows.orderBy(F.desc("n"), "token").limit(most).collect()]
 
 
+def _near_pairs(scheme: Scheme):
+    """Rows (doc_id, hub) of (doc_id, hub, n, hub_n, bitmap, hub_bitmap) whose bitmaps leave the threshold in reach."""
+
+    def folded(a: bytes, size: int) -> int:
+        x, n = int.from_bytes(a, "little"), len(a)
+        while n > size:
+            n //= 2
+            x = (x >> (8 * n)) ^ (x & ((1 << (8 * n)) - 1))
+        return x
+
+    def near(nx: int, ny: int, a: bytes, b: bytes) -> bool:
+        least = scheme.required(nx, ny)
+        if least > min(nx, ny):
+            return False
+        size = min(len(a), len(b))
+        return (folded(a, size) ^ folded(b, size)).bit_count() <= nx + ny - 2 * least
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keep = [near(*row) for row in zip(*(part.column(c).to_pylist() for c in ("n", "hub_n", "bitmap", "hub_bitmap")))]
+                yield part.select(["doc_id", "hub"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _screened(rows: DataFrame, num: int, den: int, cells: int = 1 << 21) -> DataFrame:
+    """Of ``rows`` (block, shard, query, doc_id, part, n, bitmap) those with a partner in their (block, shard), of the
+    other kind and another part, whose bitmap leaves the threshold in reach. At most ``cells`` words are compared at once.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        query, part, n = (pdf[c].to_numpy() for c in ("query", "part", "n"))
+        maps = [np.frombuffer(b, np.uint64) for b in pdf["bitmap"]]
+        words, keep = np.array([len(b) for b in maps], np.int64), np.zeros(len(pdf), bool)
+
+        def stacked(of: np.ndarray, size: int) -> np.ndarray:
+            found = np.stack([maps[i] for i in of])
+            while found.shape[1] > size:
+                found = found[:, : found.shape[1] // 2] ^ found[:, found.shape[1] // 2 :]
+            return found
+
+        sizes = np.unique(words)
+        for wq in sizes:
+            asks = np.flatnonzero(query & (words == wq))
+            for wi in sizes:
+                held = np.flatnonzero(~query & (words == wi))
+                if not len(asks) or not len(held):
+                    continue
+                w = int(min(wq, wi))
+                index, step = stacked(held, w), max(1, cells // (len(held) * w))
+                for at in range(0, len(asks), step):
+                    q = asks[at : at + step]
+                    both = n[q][:, None] + n[held][None, :]
+                    least = -(-num * both // (den + num))
+                    ok = (part[q][:, None] != part[held][None, :]) & (least <= np.minimum(n[q][:, None], n[held][None, :]))
+                    if ok.any():
+                        differ = np.bitwise_count(stacked(q, w)[:, None, :] ^ index[None, :, :]).sum(2, dtype=np.int64)
+                        ok &= differ <= both - 2 * least
+                        keep[q] |= ok.any(1)
+                        keep[held] |= ok.any(0)
+        return pdf.loc[keep, ["block", "shard", "query", "doc_id", "part"]]
+
+    return rows.groupBy("block", "shard").applyInPandas(run, _ROWS)
+
+
 def _searched(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) found in each (block, shard) of ``rows`` (block, shard, query, doc_id, part, tokens).
 
@@ -349,11 +434,13 @@ def ngram_jaccard_join(
     pairs = met.select("sig", "doc_id").join(central, "sig").select("doc_id", "hub")
     pairs = materialize(pairs.where("doc_id <> hub").distinct(), root, "pairs")
 
-    # shingles of the documents that met any other
+    # bitmaps of the documents that met any other
+    sets = materialize(docs.mapInArrow(_set_batches(width), _SETS), root, "sets")
     wanted = pairs.select("doc_id").union(pairs.select("hub")).distinct()
-    wanted = materialize(wanted, root, "wanted")
-    small = wanted.count() <= broadcast_ids
-    found = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
+    maps = sets.join(wanted, "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"])
+    maps = materialize(maps.select("doc_id", F.col("n_shingles").alias("n"), "bitmap"), root, "maps")
+    both = pairs.join(maps, "doc_id").join(maps.toDF("hub", "hub_n", "hub_bitmap"), "hub")
+    pairs = materialize(both.mapInArrow(_near_pairs(scheme), "doc_id long, hub long"), root, "near")
 
     def tokens(batches):
         for batch in batches:
@@ -362,16 +449,21 @@ def ngram_jaccard_join(
                 ends = np.r_[0, np.cumsum([len(s) for s in sets_])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets_)))], names=["doc_id", "tokens"])
 
-    held = found.mapInArrow(tokens, "doc_id long, tokens array<long>").where("size(tokens) > 0")
-    held = materialize(held.dropDuplicates(["doc_id"]), root, "held")
+    def with_sets(rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with the whole sets of their documents."""
+        ids = materialize(rows.select("doc_id").distinct(), root, f"{name}-ids")
+        small = ids.count() <= broadcast_ids
+        found = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+        held = found.mapInArrow(tokens, "doc_id long, tokens array<long>").where("size(tokens) > 0")
+        return rows.join(materialize(held.dropDuplicates(["doc_id"]), root, f"{name}-sets"), "doc_id")
 
-    # hubs query the documents that met them, dealt into shards so that no hub's group lands in one task
+    # hubs query the documents that may reach them, dealt into shards so that no hub's group lands in one task
     shards = pairs.select(F.col("hub").alias("block"), "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("r"))
     sizes = pairs.groupBy(F.col("hub").alias("block")).agg(F.count("*").alias("m"))
     shards = shards.join(sizes, "block").withColumn("shard", (F.col("r") % F.ceil(F.col("m") / shard_docs)).cast("long"))
     members = shards.select("block", "shard", F.lit(False).alias("query"), "doc_id", F.lit(0).cast("long").alias("part"))
     hubs = shards.select("block", "shard").distinct().select("block", "shard", F.lit(True).alias("query"), F.col("block").alias("doc_id"), F.lit(1).cast("long").alias("part"))
-    links = materialize(_searched(members.union(hubs).join(held, "doc_id"), num, den), root, "links")
+    links = materialize(_searched(with_sets(members.union(hubs), "hub"), num, den), root, "links")
 
     # what hubs did not settle: in a group of one signature, members of different parts; a hub has met all of its group,
     # so it leaves, and a pair still open has all its shared signatures in open groups, so that the needs prune again
@@ -393,13 +485,13 @@ def ngram_jaccard_join(
     # a part asks the shards that hold earlier parts of its block (those before its own first place)
     last = F.floor((F.col("before") - 1) / shard_docs).cast("long")
     asks = placed.where("before > 0").select("block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("shard"), F.lit(True).alias("query"), "doc_id", "part")
-    more = _searched(index.union(asks).join(held, "doc_id"), num, den)
+    likely = materialize(_screened(index.union(asks).join(maps, "doc_id"), num, den), root, "likely")
+    more = _searched(with_sets(likely, "open"), num, den)
     links = materialize(links.union(more), root, "all-links")
 
     final = connected_components(links, root, "final").select(F.col("id").alias("rep"), "component")
-    sets = materialize(docs.mapInArrow(_set_batches(width), _SETS), root, "sets")
     equal = sets.where("doc_id is not null and n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
     equal = equal.join(final, "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
-    return sets.join(equal, ["set_hi", "set_lo"], "left").select(
+    return sets.drop("bitmap").join(equal, ["set_hi", "set_lo"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id")
     )

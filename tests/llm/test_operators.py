@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,6 +85,31 @@ def test_divide_skip_finds_what_a_scan_finds():
         assert set(index.search(x, scheme)) == want, i
 
 
+def test_bitmaps_drop_no_link_and_most_others(spark):
+    rng = np.random.default_rng(2)
+    scheme, rows, sets = ngram_join.Scheme(80, 100), [], {}
+    for base in range(12):
+        core = rng.integers(0, 2**63, rng.choice([3, 60, 64, 130, 500])).astype(np.uint64)
+        for _ in range(6):
+            x = np.unique(np.r_[core[rng.random(len(core)) > rng.choice([0, 0.05, 0.1, 0.4])], rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)])
+            if len(x):
+                sets[len(sets)] = x
+    near = next(ngram_join._near_pairs(scheme)([pa.RecordBatch.from_pylist([
+        {"doc_id": i, "hub": j, "n": len(x), "hub_n": len(y), "bitmap": ngram_join.parity_bitmap(x), "hub_bitmap": ngram_join.parity_bitmap(y)}
+        for i, x in sets.items() for j, y in sets.items() if i < j
+    ]).slice(0, 1000)]))
+    got = {(r["doc_id"], r["hub"]) for r in near.to_pylist()}
+    pairs = [(i, j) for i in sets for j in sets if i < j][:1000]
+    linked_ = {(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert linked_ and linked_ <= got and len(got) < len(pairs) / 4
+    rows = [(0, 0, i % 2 == 0, i, i, len(x), bytearray(ngram_join.parity_bitmap(x))) for i, x in sets.items()]
+    df = spark.createDataFrame(rows, "block long, shard long, query boolean, doc_id long, part long, n long, bitmap binary")
+    kept = {r.doc_id for r in ngram_join._screened(df, 80, 100, cells=64).collect()}
+    across = {(i, j) for i in sets for j in sets if i % 2 == 0 and j % 2}
+    must = {k for i, j in across if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for k in (i, j)}
+    assert must and must <= kept
+
+
 def test_join_odd_rows(odd, empty):
     rows = Counter(tuple(r) for r in ngram_join.ngram_jaccard_join(odd).collect())
     assert rows[(1, 0, 1)] == rows[(2, 0, 2)] == rows[(3, 1, 3)] == 1 and rows[(4, 1, 3)] == 2 and rows[(None, 1, None)] == 1
