@@ -91,9 +91,9 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, ro
 
     Payloads are the html in UTF-8, null: empty. Of records with equal payloads of at least ``least_revisit_bytes``
     the one with the smallest page_id is a response and the others revisit it; other records are responses. Null urls
-    count as empty. Rows with a null page_id can't be referred to and are refused. Rows that repeat a page_id with
-    equal content that nobody else has are each a response. Extra columns are ignored; an empty table gives an
-    empty manifest.
+    count as empty. Rows with a null page_id can't be referred to and are refused. Rows that repeat a page_id are
+    decided each by its own payload; those with equal content that no smaller page_id has are each a response. Extra
+    columns are ignored; an empty table gives an empty manifest.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("page_id", F.when(F.col("page_id").isNull(), F.raise_error(F.lit("a page_id is null")).cast("long")).otherwise(F.col("page_id")))
@@ -105,12 +105,12 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, ro
     small, large = firsts.where("not large"), firsts.where("large")
     salted = keys.select("page_id", "same", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"))
     joined = salted.join(large.select("same", "salt", F.col("first").alias("first_l")), ["same", "salt"], "left").join(small.select("same", F.col("first").alias("first_s")), "same", "left")
-    thin = joined.select("page_id", F.coalesce("first_l", "first_s").alias("refers_to")).where("refers_to <> page_id").distinct()
+    thin = joined.select("page_id", "same", F.coalesce("first_l", "first_s").alias("refers_to")).where("refers_to <> page_id").distinct()
     thin = materialize(thin, folder, "revisits")
     total, revisits = pages.count(), thin.count()
     # payloads are shuffled once, by range; who revisits whom comes to them by broadcast if it is small
-    ranged = rows.repartitionByRange(max(1, -(-total // rows_a_shard)), "page_id", "url")
-    ready = ranged.join(F.broadcast(thin) if revisits <= broadcast_rows else thin, "page_id", "left")
+    ranged = rows.repartitionByRange(max(1, -(-total // rows_a_shard)), "page_id", "url").withColumn("same", F.sha2("payload", 256))
+    ready = ranged.join(F.broadcast(thin) if revisits <= broadcast_rows else thin, ["page_id", "same"], "left")
     if revisits > broadcast_rows:
         ready = ready.repartitionByRange(max(1, -(-total // rows_a_shard)), "page_id", "url")
     ready = ready.select("page_id", "url", "payload", "refers_to").sortWithinPartitions("page_id", "url")
