@@ -2,7 +2,8 @@
 
 Features of a text are the frequencies of its hashed character trigrams, words and equal-neighbour word pairs.
 The model is fitted on a bounded sample of labelled rows, calibrated by Platt scaling on a fifth of that sample
-which the fit does not see, and scores Arrow batches against a fixed threshold.
+which the fit does not see, weighted back to the classes' shares among all labels, and scores Arrow batches against
+a fixed threshold.
 """
 
 from __future__ import annotations
@@ -72,11 +73,15 @@ def hashed(text: str, ids: np.ndarray, seen: dict[bytes, int]) -> list[tuple[np.
     return out
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 200, l2: float = 1e-4) -> tuple[np.ndarray, float, float, float]:
-    """(weights, bias, slope, shift): Adam on the class-balanced logistic loss; Platt scaling on every fifth row."""
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 200, l2: float = 1e-4, rates: dict[int, float] | None = None) -> tuple[np.ndarray, float, float, float]:
+    """(weights, bias, slope, shift): Adam on the class-balanced logistic loss; Platt scaling on every fifth row.
+
+    ``rates``: the share of each class that ``rows`` were sampled at. Each calibration row stands for 1 / rate labelled ones.
+    """
     y = np.array([r[0] for r in rows], float)
     if len(set(y.tolist())) < 2:
         return np.zeros(SIZE, np.float32), 0.0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    stands = np.array([1 / (rates or {}).get(r[0], 1.0) for r in rows])
     held = np.arange(len(y)) % 5 == 0
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held[:] = False
@@ -101,15 +106,23 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 200, l2: fl
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     use = held if held.any() else ~held
-    z, t = linear()[use], y[use]
+    z, t, k = linear()[use], y[use], stands[use]
+    k = k * (len(k) / k.sum())
     t = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))
+
+    def loss(a: float, c: float) -> float:
+        return float((k * (np.logaddexp(0, a * z + c) - t * (a * z + c))).sum() + 5e-4 * (a - 1) ** 2)
+
     a, c = 1.0, 0.0
-    for _ in range(50):  # Newton steps on the two calibration parameters
+    for _ in range(50):  # Newton steps on the two calibration parameters, halved where they overshoot
         p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-        s = p * (1 - p) + 1e-9
+        s = k * p * (1 - p) + 1e-9
         h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, [((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        a, c = a - step[0], c - step[1]
+        step = np.linalg.solve(h, [(k * (p - t) * z).sum() + 1e-3 * (a - 1), (k * (p - t)).sum()])
+        size = 1.0
+        while size > 1e-6 and loss(a - size * step[0], c - size * step[1]) > loss(a, c):
+            size /= 2
+        a, c = a - size * step[0], c - size * step[1]
     return w.astype(np.float32), float(b), float(a), float(c)
 
 
@@ -117,7 +130,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, thre
     """docs (doc_id, text) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept.
 
     ``labels`` (doc_id, quality): at most ``fit_rows`` rows, half of each class at most, are fitted on. ``quality`` is
-    the calibrated probability of label 1; kept is false where a base rule fails, else quality >= ``threshold``. A
+    the probability of label 1, calibrated to the classes' shares among all labels whatever ``fit_rows`` is; kept is false where a base rule fails, else quality >= ``threshold``. A
     null text counts as empty and fails; null labels are ignored; without labels of both classes the model passes
     all. Every row gives a row, repeated ones too; extra columns are ignored.
     """
@@ -126,9 +139,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, thre
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("y")).dropDuplicates(["doc_id"])
     sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     dice = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) / 1_000_000
+    rates = {k: min(1.0, fit_rows / 2 / n) for k, n in sizes.items()}
     pick = F.lit(False)
-    for k, n in sizes.items():
-        pick = pick | ((F.col("y") == k) & (dice < min(1.0, fit_rows / 2 / n)))
+    for k, rate in rates.items():
+        pick = pick | ((F.col("y") == k) & (dice < rate))
     sample = rows.join(F.broadcast(known.where(pick)), "doc_id").select("doc_id", "text", "y").repartition(spark.sparkContext.defaultParallelism)
 
     def features(batches):
@@ -146,7 +160,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, thre
 
     got = sample.mapInArrow(features, "doc_id long, y int, at binary, x binary").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.at))
-    fitted = fit([(r.y, np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.x, np.float32)) for r in got])
+    fitted = fit([(r.y, np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.x, np.float32)) for r in got], rates=rates)
     model = spark.sparkContext.broadcast(fitted)
 
     def run(batches):
