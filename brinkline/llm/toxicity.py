@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model is counted over the whole corpus. Spans that may be obfuscated (symbols or digits within
-words, letters repeated three times or more, single letters set apart) become lattices of what each character may
+words, letters repeated three times or more, single letters or stand-ins set apart) become lattices of what each character may
 stand for; Viterbi decoding under the channel costs and the language model restores them. A span of plain letters
 has one path only and is left as it is. The restored text is scored with word and word-beginning evidence learned
 from labelled rows by sequential covering, so that words which merely accompany toxic ones in copies earn nothing.
@@ -39,6 +39,8 @@ for _c in " \t\n\r\x0b\x0c.,;:?\"'()":
 _OF = {c: i + 1 for i, c in enumerate(LETTERS)}
 _SYMBOL = re.compile("[" + re.escape("".join(STANDS_FOR)) + "]+")
 _AROUND = "!|+.,;:*#%&?()\"'"
+_READ = np.array([chr(i) in _OF or chr(i) in STANDS_FOR for i in range(65536)])
+_WORDLIKE = np.array([chr(i).isalnum() for i in range(65536)])
 
 
 def classes(text: str) -> np.ndarray:
@@ -147,6 +149,7 @@ class Restorer:
                     while j + 1 < len(x) and alone[j + 1]:
                         j += 2
                     found.append((i, j))
+        found += self._mixed(low, letter)
         for m in _SYMBOL.finditer(low):
             i, j = self._token(low, m.start())
             token = low[i:j].strip(_AROUND)
@@ -154,11 +157,33 @@ class Restorer:
                 i += low[i:j].index(token)
                 found.append((i, i + len(token)))
         out = []
-        for i, j in sorted(set(found)):
+        for i, j in sorted(set(found), key=lambda s: (s[0], -s[1])):
             if not out or i >= out[-1][1]:
                 out.append((i, j))
         return out
 
+    @staticmethod
+    def _mixed(low: str, letter: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of three or more single characters a separator apart, letters as well as characters that stand for some."""
+        if len(low) < 5:
+            return []
+        code = np.minimum(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
+        read, wordlike = _READ[code], np.r_[False, _WORDLIKE[code], False]
+        apart = ~read & ~wordlike[1:-1]
+        single = read & ~wordlike[:-2] & ~wordlike[2:]
+        link = single[:-2] & apart[1:-1] & single[2:]  # from i to i + 2
+        found = []
+        start = link.copy()
+        start[2:] &= ~link[:-2]
+        for i in np.flatnonzero(start[:-2] & link[2:]).tolist():
+            j = i
+            while j < len(link) and link[j]:
+                j += 2
+            letters = int(letter[i : j + 1 : 2].sum())
+            if 0 < letters <= (j - i) // 2:
+                found.append((i, j + 1))
+        return found
+
     @staticmethod
     def _token(low: str, at: int) -> tuple[int, int]:
         i = max(low.rfind(" ", 0, at), low.rfind("\n", 0, at), low.rfind("\t", 0, at)) + 1
