@@ -2,7 +2,8 @@
 
 Every entity goes through a keyed permutation of its own format's values (a Feistel network walked until the value
 is valid again), so different entities of a format always get different surrogates and an entity gets the same one
-wherever it occurs, however it is punctuated or cased. Digits stay digits, letters keep their script and case, given
+wherever it occurs, however it is punctuated or cased. Names are found behind a title; within the document their later
+and earlier mentions without one, whole or in part, get the same surrogate or its part. Digits stay digits, letters keep their script and case, given
 names come from a list of the same script and gender, card numbers keep their Luhn state, addresses stay public.
 A surrogate that equals an entity found anywhere in the corpus is replaced by one of a spare permutation that meets
 neither an entity nor another surrogate; those checks are distributed joins.
@@ -160,7 +161,8 @@ class Surrogates:
             return f"{code} " + "".join(map(str, self.mixed(f"phone{code}", values, [10] * len(values), lambda v: fixed(v) == same)))
         gender, _, name = canonical.partition(" ")
         parts = re.split(r"([ -])", name)
-        whole = len(parts) > 1
+        whole = len(parts) > 1 or gender.endswith(GIVEN_PART)
+        gender = gender.removesuffix(GIVEN_PART)
         return f"{gender} " + "".join(p if p in " -" else self._name(p, gender if whole and i == 0 else "") for i, p in enumerate(parts))
 
     def _name(self, part: str, gender: str) -> str:
@@ -171,6 +173,7 @@ class Surrogates:
         return out[0].upper() + out[1:]
 
 
+GIVEN_PART = "."  # behind the gender of a canonical form: a given name that stands alone
 _ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "0123456789", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ", "άέήίόύώς")
 
 
@@ -206,7 +209,32 @@ def rendered(kind: str, text: str, surrogate: str) -> str:
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     text = text or ""
-    return [(i, j, kind, canonical(kind, text[i:j], text[max(0, i - 12) : i])) for i, j, kind in detect(text)]
+    found = [(i, j, kind, canonical(kind, text[i:j], text[max(0, i - 12) : i])) for i, j, kind in detect(text)]
+    return mentions(text, found) if any(e[2] == "name" for e in found) else found
+
+
+def mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` and the whole words outside it that name a person of it without a title: full names, surnames, other parts."""
+    wholes, surnames, givens = {}, {}, {}
+    for _, _, kind, entity in found:
+        if kind == "name":
+            gender, _, name = entity.partition(" ")
+            wholes.setdefault(name, entity)
+            *given, surname = name.split(" ")
+            if given:
+                surnames.setdefault(surname, f" {surname}")
+                givens.setdefault(given[0], f"{gender}{GIVEN_PART} {given[0]}")
+                for part in given[1:]:
+                    givens.setdefault(part, f" {part}")
+    forms = givens | surnames | wholes
+    pattern = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f))))})(?!\w)")
+    out, k = list(found), 0
+    for m in pattern.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        if k == len(found) or m.end() <= found[k][0]:
+            out.append((m.start(), m.end(), "name", forms[m[0]]))
+    return sorted(out)
 
 
 def surrogate_pii(docs: DataFrame, key: bytes, broadcast_rows: int = 200_000) -> DataFrame:
