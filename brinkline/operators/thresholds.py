@@ -33,3 +33,16 @@ def rolling_threshold(df: DataFrame, size: int, keys: list[str], order: list[str
     """Quantile of the last ``size`` rows; partial windows count unless ``min_count`` says otherwise."""
     frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)
     return clean(df, value).withColumn("threshold", F.when(F.count(value).over(frame) >= min_count, F.percentile(value, F.lit(q)).over(frame)))
+
+
+def hill(rows: DataFrame, keys: list[str], k_values: list[int] | None = None, value: str = "value", ties: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, k, hill): mean log ratio of the k largest values to the next one, for every requested k below the series' length; all of them without ``k_values``."""
+    w = W.partitionBy(*keys)
+    ranked = clean(rows, value).where(F.col(value).isNotNull()).withColumn("k", F.row_number().over(w.orderBy(F.desc(value), *ties)))
+    if k_values is not None:
+        ranked = ranked.where(F.col("k") <= max(k_values, default=0) + 1)
+    along = w.orderBy("k")
+    ranked = ranked.withColumn("m", F.avg(F.log(value)).over(along.rowsBetween(W.unboundedPreceding, 0))).withColumn("nx", F.lead(F.log(value)).over(along)).where("nx IS NOT NULL")
+    if k_values is not None:
+        ranked = ranked.where(F.col("k").isin(*k_values))
+    return ranked.select(*keys, F.col("k").cast("long").alias("k"), (F.col("m") - F.col("nx")).alias("hill"))

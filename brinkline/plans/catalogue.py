@@ -209,11 +209,8 @@ def error_function(spark, sf_dir):
 
 @query("WITH r AS (SELECT l_suppkey, l_extendedprice AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem), h AS (SELECT l_suppkey, k, x, avg(ln(x)) OVER (PARTITION BY l_suppkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM r WHERE k <= 21), n AS (SELECT l_suppkey, k, m, lead(ln(x)) OVER (PARTITION BY l_suppkey ORDER BY k) AS nx FROM h) SELECT l_suppkey, k, round(m - nx, 6) AS hill FROM n WHERE nx IS NOT NULL")
 def hill_estimates(spark, sf_dir):
-    w = W.partitionBy("l_suppkey")
-    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey"))).where("k <= 21")
-    along = w.orderBy("k")
-    rows = rows.withColumn("m", F.avg(F.log("l_extendedprice")).over(along.rowsBetween(W.unboundedPreceding, 0))).withColumn("nx", F.lead(F.log("l_extendedprice")).over(along))
-    return rows.where("nx IS NOT NULL").select("l_suppkey", F.col("k").cast("long").alias("k"), r6(F.col("m") - F.col("nx")).alias("hill"))
+    found = thresholds.hill(table(spark, sf_dir, "lineitem"), ["l_suppkey"], list(range(1, 21)), "l_extendedprice", ("l_orderkey", "l_linenumber", "l_partkey"))
+    return found.select("l_suppkey", "k", r6("hill").alias("hill"))
 
 
 @query("WITH u AS (SELECT 50.0 * i::DOUBLE AS u FROM range(0, 8) t(i)), e AS (SELECT u, count(*) AS n, avg(value - u) AS m, var_samp(value - u) AS v FROM u JOIN events ON value > u GROUP BY u) SELECT u, n, round(m, 6) AS mean_excess, round(0.5 * (1 - m * m / v), 6) AS shape, round(0.5 * m * (m * m / v + 1), 6) AS scale FROM e")
