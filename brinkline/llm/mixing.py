@@ -1,7 +1,8 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions alone.
 
-Labelled rows teach a classifier (normal densities of the rates of a few substrings, per domain) that gives every
-document posterior probabilities of the domains. Document rates r >= least_rate are then fitted so that the expected
+Labelled rows teach a classifier: naive Bayes over hashed beginnings and endings of words, whose counts come from one
+aggregation. A document's score of a domain is the mean log weight of its features times as many of them as count as
+independent evidence; the posteriors follow. Document rates r >= least_rate are then fitted so that the expected
 tokens of each domain, sum of r * tokens * posterior, meet the targets: projected gradient on least squares weighted
 by the inverse Gram matrix of the posteriors, where a full step is a valid step. A pass returns one number a domain
 to the driver; a document's rate is replayed from the residuals of the passes so far, so nothing is kept per row.
@@ -9,51 +10,69 @@ to the driver; a document's rate is replayed from the residuals of the passes so
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinkline.plans.shared import materialize, shared_root
 
-#: Substrings whose rates describe a text: function words and letters of the languages, marks of junk and tables.
-MARKS = (" the ", " of", "th", "sh", "nd", "ch", "ung", "keit", "ü", "ö", "ß", "é", "è", "eau", "ñ", "ó", "ción", "|", "!!", "%%", "##", "\n", ",", ".")
-
+WORD = r"[^\x20\x09-\x0D]+"
 
-def featured(docs: DataFrame, marks: tuple[str, ...] = MARKS) -> DataFrame:
-    """Adds n_tokens (runs of anything but ASCII white space) and f, the marks' rates per byte (damped by a root)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = F.octet_length(text)
-    rates = [F.sqrt((size - F.octet_length(F.replace(text, F.lit(m)))) / F.greatest(size, F.lit(1))) for m in marks]
-    return docs.withColumn("n_tokens", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).withColumn("f", F.array(*rates))
 
+def _features(rows: DataFrame, buckets: int) -> DataFrame:
+    """A row for each feature of each row: its bucket, by the first three or the last two characters of a word in lower case.
 
-def classifier(labelled: DataFrame, n_features: int, floor: float = 1e-4) -> dict[str, tuple[float, list[float], list[float]]]:
-    """{domain: (log prior, means, variances)} of the rows (domain, f); one aggregation, a row for each domain."""
-    stats = [F.avg(F.col("f")[i]).alias(f"m{i}") for i in range(n_features)] + [F.var_pop(F.col("f")[i]).alias(f"v{i}") for i in range(n_features)]
-    rows = labelled.groupBy("domain").agg(F.count("*").alias("n"), *stats).orderBy("domain").collect()
-    total = sum(r.n for r in rows)
-    return {r.domain: (math.log(r.n / total), [r[f"m{i}"] for i in range(n_features)], [r[f"v{i}"] + floor for i in range(n_features)]) for r in rows}
+    ``rows`` has ``text``, in whose place come ``n_tokens`` and ``bucket``; rows without words stay, with a null bucket.
+    """
+    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0))
+    kept = [c for c in rows.columns if c != "text"]
+    each = rows.withColumn("words", words).select(*kept, F.size("words").cast("long").alias("n_tokens"), F.explode_outer("words").alias("word"))
+    low = F.lower("word")
+    slot = lambda part, salt: F.pmod(F.xxhash64(part, F.lit(salt)), F.lit(buckets))
+    both = F.array(slot(F.substring(low, 1, 3), 1), slot(F.substring(low, -2, 2), 2))
+    return each.select(*kept, "n_tokens", F.explode(F.when(F.col("word").isNull(), F.array(F.lit(None).cast("long"))).otherwise(both)).alias("bucket"))
 
 
-def posteriors(rows: DataFrame, model: dict[str, tuple[float, list[float], list[float]]], temper: float) -> DataFrame:
-    """Replaces f by p, the posterior probabilities in the order of ``model``.
+def classifier(texts: DataFrame, buckets: int, smooth: float, most_domains: int) -> tuple[list[str], list[float], DataFrame, list[float]]:
+    """(domains, log priors, weights (bucket, w0, w1, ...), a missing bucket's weights) learned from ``texts`` (domain, text).
 
-    ``temper`` damps the evidence, which naive densities count double. Each step is a column of its own, because an
-    expression inside a lambda is evaluated again for every element.
+    One row a domain reaches the driver; the weights stay a table of at most ``buckets`` rows.
     """
-    scores = []
-    for prior, mean, var in model.values():
-        score = F.lit(prior - temper * 0.5 * sum(map(math.log, var)))
-        for i, (m, v) in enumerate(zip(mean, var, strict=True)):
-            score = score - (F.col("f")[i] - m) * (F.col("f")[i] - m) * (temper * 0.5 / v)
-        scores.append(score)
-    raw = rows.withColumn("score", F.array(*scores)).drop("f")
-    top = raw.withColumn("top", F.array_max("score"))
-    weight = top.withColumn("weight", F.transform("score", lambda s: F.exp(s - F.col("top")))).drop("score", "top")
-    total = weight.withColumn("total", F.aggregate("weight", F.lit(0.0), lambda x, y: x + y))
-    return total.withColumn("p", F.transform("weight", lambda x: x / F.col("total"))).drop("weight", "total")
+    rows = texts.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").limit(most_domains + 1).collect()
+    if len(rows) > most_domains:
+        raise ValueError(f"more than {most_domains} domains")
+    if not rows:
+        return [], [], texts, []
+    names, total = [r.domain for r in rows], sum(r.n for r in rows)
+    priors = [float(np.log(r.n / total)) for r in rows]
+    counts = _features(texts, buckets).where("bucket is not null").groupBy("bucket", "domain").agg(F.count("*").alias("n"))
+    counts = materialize(counts, shared_root(texts.sparkSession), "counts")
+    sums = {r.domain: r.n for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
+    of = lambda n, d: F.log((F.coalesce(n, F.lit(0)) + F.lit(smooth)) / F.lit(sums.get(d, 0) + smooth * buckets))
+    table = counts.groupBy("bucket").agg(*[of(F.sum(F.when(F.col("domain") == d, F.col("n"))), d).alias(f"w{i}") for i, d in enumerate(names)])
+    return names, priors, table, [float(np.log(smooth / (sums.get(d, 0) + smooth * buckets))) for d in names]
+
+
+def posteriors(rows: DataFrame, model: tuple[list[str], list[float], DataFrame, list[float]], buckets: int, evidence: float) -> DataFrame:
+    """(doc_id, n_tokens, m, p) for the different rows of ``rows`` (doc_id, text): how often each occurs and its posteriors.
+
+    Words are summed where they are read, so that a row a document is shuffled, whatever its length. ``evidence``
+    bounds how many of a text's features count as independent.
+    """
+    names, priors, weights, missing = model
+    told = rows.withColumn("same", F.xxhash64(F.coalesce("text", F.lit(""))))
+    each = _features(told, buckets).join(F.broadcast(weights), "bucket", "left")
+    there = F.count("bucket")
+    sums = [F.sum(F.when(F.col("bucket").isNotNull(), F.coalesce(f"w{i}", F.lit(x)))).alias(f"s{i}") for i, x in enumerate(missing)]
+    found = each.groupBy("doc_id", "same", "n_tokens").agg(F.count("*").alias("n"), there.alias("there"), *sums)
+    strength = F.least(2.0 * F.col("n_tokens"), F.lit(float(evidence))) / F.greatest("there", F.lit(1))
+    scored = found.select(
+        "doc_id", "n_tokens", (F.col("n") / F.greatest(2 * F.col("n_tokens"), F.lit(1))).cast("long").alias("m"), *[(F.coalesce(f"s{i}", F.lit(0.0)) * strength + F.lit(x)).alias(f"s{i}") for i, x in enumerate(priors)]
+    )
+    top = F.greatest(*[F.col(f"s{i}") for i in range(len(names))]) if len(names) > 1 else F.col("s0")
+    raised = scored.withColumn("top", top).select("doc_id", "n_tokens", "m", *[F.exp(F.col(f"s{i}") - F.col("top")).alias(f"e{i}") for i in range(len(names))])
+    total = sum((F.col(f"e{i}") for i in range(len(names))), F.lit(0.0))
+    return raised.withColumn("total", total).select("doc_id", "n_tokens", "m", F.array(*[F.col(f"e{i}") / F.col("total") for i in range(len(names))]).alias("p"))
 
 
 def _replayed(steps: list[list[float]], least_rate: float) -> Column:
@@ -76,57 +95,67 @@ def mix_to_targets(
     flatten: float = 0.3,
     low_share: float = 0.5,
     least_rate: float = 0.0,
-    passes: int = 12,
-    temper: float = 0.25,
+    passes: int = 40,
+    evidence: float = 12.0,
+    smooth: float = 0.5,
+    buckets: int = 8192,
     tolerance: float = 1e-4,
+    fit_rows: int = 100_000,
     most_domains: int = 64,
 ) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), p (posteriors), rate and copies of every row of ``docs`` (doc_id, text).
-
-    ``labelled`` (doc_id, domain) rows teach the classifier; null domains are ignored and more than ``most_domains``
-    different ones are refused. ``targets`` gives the wanted share of expected tokens by domain; without it, domains
-    ending in ``/0`` keep ``low_share`` of their tokens and the others are evened out by the power ``flatten``.
-    copies is the rate rounded up or down at random by a hash of doc_id, so that its expectation is the rate.
-    Null and empty texts have no tokens and get the prior's rate; without labelled rows, rate and copies are 1 and
-    domain and p null. Repeated rows are rated alike; extra columns are ignored.
+    """doc_id, n_tokens, domain (the likeliest), p (posteriors), rate, copies and residual of every row of ``docs`` (doc_id, text).
+
+    ``labelled`` (doc_id, domain) rows teach the classifier: about ``fit_rows`` of them at most, taken by a hash of the
+    doc_id; null domains are ignored, of several domains of a doc_id the first in order counts, and more than
+    ``most_domains`` different ones are refused. ``targets`` gives the wanted share of expected tokens by domain;
+    without it, domains ending in ``/0`` keep ``low_share`` of their tokens and the others are evened out by the power
+    ``flatten``. copies is the rate rounded up or down at random by a hash of doc_id, so that its expectation is the
+    rate. residual, the same in all rows, is the distance of the expected tokens from the goal as a share of the goal.
+    It is at most ``tolerance`` unless ``least_rate`` or zero keeps rates from meeting the goal: then the passes go on
+    until they change no domain by more than a hundredth of ``tolerance``. If ``passes`` do not suffice, an error is
+    raised. Null and empty texts have no tokens and the prior's posteriors; without labelled rows rate and copies are
+    1 and domain, p and residual null. Repeated rows are rated alike; extra columns are ignored; an empty table gives
+    an empty result.
     """
     root = shared_root(docs.sparkSession)
-    known = labelled.where("doc_id is not null and domain is not null").select("doc_id", "domain").dropDuplicates(["doc_id"])
-    facts = featured(docs.select("doc_id", "text")).drop("text").join(known, "doc_id", "left")
-    facts = materialize(facts, root, "facts")
-    model = classifier(facts.where("domain is not null"), len(MARKS))
-    if len(model) > most_domains:
-        raise ValueError(f"{len(model)} domains; at most {most_domains} are meant")
-    if not model:
-        rates = facts.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = labelled.where("doc_id is not null and domain is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"))
+    share = min(1.0, fit_rows / max(1, known.count()))
+    dice = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) / 1_000_000
+    texts = rows.join(F.broadcast(known.where(dice < share)), "doc_id").select("domain", "text")
+    model = classifier(texts, buckets, smooth, most_domains)
+    names = model[0]
+    if not names:
+        none = rows.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"))
+        return none.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), F.lit(None).cast("double").alias("residual"))
+    soft = materialize(posteriors(rows, model, buckets, evidence), root, "soft")
+    d = len(names)
+    mass = F.col("m") * F.col("n_tokens")
+    cells = [F.sum(mass * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]
+    sums = soft.agg(*cells, *[F.sum(mass * F.col("p")[i]).alias(f"n{i}") for i in range(d)]).first()
+    gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
+    now = np.array([sums[f"n{i}"] or 0.0 for i in range(d)])
+    if targets is not None:
+        goal = now.sum() * np.array([targets.get(n, 0.0) for n in names]) / max(1e-12, sum(targets.get(n, 0.0) for n in names))
     else:
-        names = list(model)
-        soft = materialize(posteriors(facts.select("doc_id", "n_tokens", "f"), model, temper), root, "soft")
-        d = len(names)
-        cell = lambda i, j: F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j])
-        sums = soft.agg(*[cell(i, j).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)], *[F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"n{i}") for i in range(d)]).first()
-        gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
-        now = np.array([sums[f"n{i}"] or 0.0 for i in range(d)])
-        if targets is not None:
-            goal = now.sum() * np.array([targets.get(n, 0.0) for n in names]) / max(1e-12, sum(targets.get(n, 0.0) for n in names))
-        else:
-            low = np.array([n.endswith("/0") for n in names])
-            most = max([x for x, z in zip(now, low, strict=True) if not z], default=1.0)
-            goal = np.where(low, low_share * now, now * (most / np.maximum(now, 1e-9)) ** flatten)
-        inverse = np.linalg.pinv(gram, rcond=1e-8, hermitian=True)
-        steps: list[list[float]] = []
-        expected = now
-        for _ in range(passes):
-            if np.abs(expected - goal).sum() <= tolerance * max(1.0, goal.sum()):
-                break
-            steps.append((inverse @ (expected - goal)).tolist())
-            rated = soft.select("n_tokens", "p", _replayed(steps, least_rate).alias("r"))
-            row = rated.agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[i]).alias(f"e{i}") for i in range(d)]).first()
-            expected = np.array([row[f"e{i}"] or 0.0 for i in range(d)])
-        best = F.array_position("p", F.array_max("p"))
-        rates = soft.select("doc_id", "n_tokens", F.element_at(F.array(*[F.lit(n) for n in names]), best.cast("int")).alias("domain"), "p", _replayed(steps, least_rate).alias("rate"))
-    dice = F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    return rates.withColumn("copies", F.floor(F.col("rate") + dice).cast("int"))
+        low = np.array([n.endswith("/0") for n in names])
+        most = max([x for x, z in zip(now, low, strict=True) if not z], default=1.0)
+        goal = np.where(low, low_share * now, now * (most / np.maximum(now, 1e-9)) ** flatten)
+    inverse, scale = np.linalg.pinv(gram, rcond=1e-8, hermitian=True), max(1.0, float(goal.sum()))
+    steps: list[list[float]] = []
+    expected, before = now * max(1.0, least_rate), None
+    while np.abs(expected - goal).sum() > tolerance * scale and (before is None or np.abs(expected - before).sum() > 0.01 * tolerance * scale):
+        if len(steps) == passes:
+            raise RuntimeError(f"{passes} passes leave {np.abs(expected - goal).sum() / scale:.2g} of the goal unmet and still change the totals")
+        steps.append((inverse @ (expected - goal)).tolist())
+        rated = soft.select(mass.alias("mass"), "p", _replayed(steps, least_rate).alias("r"))
+        row = rated.agg(*[F.sum(F.col("r") * F.col("mass") * F.col("p")[i]).alias(f"e{i}") for i in range(d)]).first()
+        before, expected = expected, np.array([row[f"e{i}"] or 0.0 for i in range(d)])
+    best = F.array_position("p", F.array_max("p"))
+    copies = F.floor(F.col("rate") + F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)).cast("int")
+    rated = soft.select("doc_id", "n_tokens", F.element_at(F.array(*[F.lit(n) for n in names]), best.cast("int")).alias("domain"), "p", _replayed(steps, least_rate).alias("rate"), "m")
+    rated = rated.withColumn("copies", copies).withColumn("residual", F.lit(float(np.abs(expected - goal).sum() / scale)))
+    return rated.withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m")
 
 
 def repeated(docs: DataFrame, rates: DataFrame) -> DataFrame:
