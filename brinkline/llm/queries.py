@@ -16,6 +16,7 @@ from brinkline.llm.pii import surrogate_pii
 from brinkline.llm.toxicity import toxicity
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+WARC_ROLL = 1 << 20
 PII_KEY = b"brinkline production key 1"
 
 
@@ -27,7 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"), roll_bytes=WARC_ROLL).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.mix_to_targets(table(spark, sf_dir, "documents").select("doc_id", "text"), labelled_domains(spark, sf_dir))
-    return rates.select("doc_id", "n_tokens", "domain", F.array_max("p").alias("p_domain"), "rate", "copies")
+    return rates.select("doc_id", "n_tokens", "domain", F.array_max("p").alias("p_domain"), "rate", "copies", "residual")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

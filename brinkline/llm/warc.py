@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by key and written by the task that holds them into gzip members, one a record. A file is
-rolled when its compressed size passes a limit. Files get temporary names of their attempt and are renamed to names
-made of their place and their content's digest; the manifest, written by Spark in one atomic commit, lists the files
+Records are range-sorted by key between exact bounds and written by the task that holds them into gzip members, one a
+record. A file is rolled when its compressed size passes a limit. Files get temporary names of their attempt and are
+renamed to names made of their place and their content's digest, which are the same whenever equal rows are written; the manifest, written by Spark in one atomic commit, lists the files
 that count. A task that runs twice leaves at most a second copy of equal content, which no manifest lists.
 """
 
@@ -30,9 +30,9 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None, refers_url: str = "") -> bytes:
-    """One record with regenerated headers; its id is a name-based UUID of the page_id, so bytes depend on content alone."""
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
+    """One record with regenerated headers; its id is a name-based UUID of the page_id (without one, of url and payload), so bytes depend on content alone."""
+    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}' if i is not None else f'page:{url} {sha1_base32(payload)}')}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n"
     block = http if refers_to is not None else http + payload
     head = [
@@ -44,7 +44,7 @@ def record(page_id: int, url: str, payload: bytes, refers_to: int | None, refers
         f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
         f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
         f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}",
-        f"X-Page-ID: {page_id}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
         head += [f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -82,58 +82,106 @@ def parse(raw: bytes) -> dict:
     return headers | {"payload": payload, "payload_bytes": said}
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}" if not folder.startswith("file:") else folder.replace("file:", "file://", 1))
+def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else uri.replace("file:", "file://", 1))
 
 
-def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, rows_a_shard: int = 2_000, least_revisit_bytes: int = 0, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _cuts(sizes: DataFrame, shard_bytes: int, most_shards: int, cells_a_shard: int = 8) -> tuple[list[tuple[int, DataFrame]], int]:
+    """Range bounds of shards, from exact sums: ([(bits, table of cell and shard)], number of shards).
+
+    ``sizes`` (page_id, bytes). A cell is the ids that agree in all but their last ``bits`` bits. Bytes are summed by
+    cell; cells that would overfill a shard are cut into finer ones, down to single ids, and neighbours are packed
+    into a shard until it is full. What comes out depends on the ids and sizes alone, neither on samples nor on the
+    order or the partitions of the rows. At most ``cells_a_shard * most_shards`` sums a round reach the driver, plus
+    65536 for each cell that is cut.
+    """
+    spark = sizes.sparkSession
+    ends = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
+    if ends[0] is None:
+        return [], 1
+    shard_bytes = max(shard_bytes, -(-ends[2] // most_shards))
+    cells, bits = cells_a_shard * -(-ends[2] // shard_bytes), 0
+    while (ends[1] >> bits) - (ends[0] >> bits) >= cells:
+        bits += 1
+    found, todo, levels = {}, sizes, []  # first id of a cell: (bits, bytes)
+    while True:
+        cell = F.shiftright("page_id", bits)
+        sums = todo.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes")).collect()
+        heavy = [r.cell for r in sums if r.bytes > shard_bytes and bits]
+        found |= {r.cell << bits: (bits, r.bytes) for r in sums if r.cell not in set(heavy)}
+        levels.append(bits)
+        if not heavy:
+            break
+        todo = todo.join(F.broadcast(spark.createDataFrame([(c,) for c in heavy], "cell long")), cell == F.col("cell")).drop("cell")
+        bits = max(0, bits - 16)
+    shard, full, by_bits = 0, 0, {b: [] for b in levels}
+    for first, (b, size) in sorted(found.items()):
+        if full and full + size > shard_bytes:
+            shard, full = shard + 1, 0
+        by_bits[b].append((first >> b, shard))
+        full += size
+    return [(b, spark.createDataFrame(rows, "cell long, shard int")) for b, rows in by_bits.items() if rows], shard + 1
+
+
+def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, shard_bytes: int = 16 << 20, most_shards: int = 32_768, least_revisit_bytes: int = 0, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files under ``folder``; returns the manifest table (path, records, bytes, sha256).
 
-    Payloads are the html in UTF-8, null: empty. Of records with equal payloads of at least ``least_revisit_bytes``
-    the one with the smallest page_id is a response and the others revisit it; other records are responses. Null urls
-    count as empty. Rows with a null page_id can't be referred to and are refused. Rows that repeat a page_id are
-    decided each by its own payload; those with equal content that no smaller page_id has are each a response. Extra
-    columns are ignored; an empty table gives an empty manifest.
+    Records are in order of page_id, url and payload digest. A shard is a range of ids of about ``shard_bytes`` of
+    payload (more where that would make over ``most_shards``); a shard's file is rolled when it reaches
+    ``roll_bytes`` compressed. Names and bytes of the files follow from the rows alone. Payloads are the html in
+    UTF-8, null: empty. Of records with equal payloads of at least ``least_revisit_bytes`` the one with the smallest
+    page_id is a response and the others revisit it; other records are responses. Null urls count as empty. Rows with
+    a null page_id come last; they revisit the smallest page_id of their payload, or are responses if it has none.
+    Rows that repeat a page_id are decided each by its own payload; those with equal content that no smaller page_id
+    has are each a response. Extra columns are ignored; an empty table gives an empty manifest.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("page_id", F.when(F.col("page_id").isNull(), F.raise_error(F.lit("a page_id is null")).cast("long")).otherwise(F.col("page_id")))
     # thin rows decide who answers; a payload that many pages share is pre-aggregated, then dealt back in salted parts
     salts = 32
-    keys = rows.select("page_id", F.sha2("payload", 256).alias("same"), F.octet_length("payload").alias("size"))
-    firsts = keys.where(F.col("size") >= least_revisit_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    keys = rows.select("page_id", F.sha2("payload", 256).alias("same"), F.octet_length("payload").cast("long").alias("size"))
+    keys = materialize(keys, folder, "keys")
+    firsts = keys.where(F.col("size") >= least_revisit_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     firsts = firsts.select("same", "first", F.explode(F.when(F.col("n") > 1000, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"), (F.col("n") > 1000).alias("large"))
     small, large = firsts.where("not large"), firsts.where("large")
     salted = keys.select("page_id", "same", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"))
     joined = salted.join(large.select("same", "salt", F.col("first").alias("first_l")), ["same", "salt"], "left").join(small.select("same", F.col("first").alias("first_s")), "same", "left")
-    thin = joined.select("page_id", "same", F.coalesce("first_l", "first_s").alias("refers_to")).where("refers_to <> page_id").distinct()
+    thin = joined.select(F.col("page_id").alias("id"), F.col("same").alias("digest"), F.coalesce("first_l", "first_s").alias("refers_to")).where("not refers_to <=> id and refers_to is not null").distinct()
     thin = materialize(thin, folder, "revisits")
-    total, revisits = pages.count(), thin.count()
-    # payloads are shuffled once, by range; who revisits whom comes to them by broadcast if it is small
-    ranged = rows.repartitionByRange(max(1, -(-total // rows_a_shard)), "page_id", "url").withColumn("same", F.sha2("payload", 256))
-    ready = ranged.join(F.broadcast(thin) if revisits <= broadcast_rows else thin, ["page_id", "same"], "left")
-    if revisits > broadcast_rows:
-        ready = ready.repartitionByRange(max(1, -(-total // rows_a_shard)), "page_id", "url")
-    ready = ready.select("page_id", "url", "payload", "refers_to").sortWithinPartitions("page_id", "url")
+    revisits = thin.count()
+    cuts, shards = _cuts(keys.where("page_id is not null").select("page_id", (F.col("size") + 500).alias("bytes")), shard_bytes, most_shards)
+    placed = rows.withColumn("same", F.sha2("payload", 256)).withColumn("shard", F.lit(None).cast("int"))
+    for bits, table in cuts:
+        table = table.toDF("cell", "found")
+        placed = placed.join(F.broadcast(table), F.shiftright("page_id", bits) == F.col("cell"), "left").withColumn("shard", F.coalesce("shard", "found")).drop("cell", "found")
+    placed = placed.withColumn("shard", F.coalesce("shard", F.lit(shards - 1)))
+    known = (placed["page_id"].eqNullSafe(thin["id"])) & (placed["same"] == thin["digest"])
+    # payloads are shuffled once, by shard, unless the revisits are too many to be broadcast
+    ready = placed.join(F.broadcast(thin) if revisits <= broadcast_rows else thin, known, "left").select("shard", "page_id", "url", "payload", "refers_to", "same")
+    ready = ready.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "same", "refers_to").drop("same")
 
     def run(batches):
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
         context = TaskContext.get()
         attempt = f"{context.partitionId():06d}-{context.attemptNumber()}-{uuid.uuid4().hex}"
-        state = {"out": None, "n": 0, "size": 0, "file": 0}
+        state = {"out": None, "n": 0, "size": 0, "file": 0, "shard": None}
 
         def close():
             state["out"].close()
-            name = f"{base}/part-{context.partitionId():06d}-{state['file']:05d}-{state['sha'].hexdigest()[:16]}.warc.gz"
-            system.move(state["temporary"], name)
-            done = (name, state["n"], state["size"], state["sha"].hexdigest())
+            name = f"part-{state['shard']:06d}-{state['file']:05d}-{state['sha'].hexdigest()[:16]}.warc.gz"
+            system.move(state["temporary"], f"{base}/{name}")
+            done = (f"{folder}/{name}", state["n"], state["size"], state["sha"].hexdigest())
             state.update(out=None, n=0, size=0, file=state["file"] + 1)
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in done], names=["path", "records", "bytes", "sha256"])
 
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != state["shard"]:
+                    if state["out"] is not None:
+                        yield close()
+                    state.update(shard=shard, file=0)
                 if state["out"] is None:
-                    state["temporary"] = f"{base}/.tmp-{attempt}-{state['file']:05d}"
+                    state["temporary"] = f"{base}/.tmp-{attempt}-{shard:06d}-{state['file']:05d}"
                     state.update(out=system.open_output_stream(state["temporary"], compression=None), sha=hashlib.sha256())
                 zipped = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = zipped.compress(record(page_id, url, payload, refers_to)) + zipped.flush()
@@ -150,21 +198,22 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, ro
 
 
 def read_archives(manifest: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """One row a record of the manifest's files: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
-    folder = "file:///"
+    """One row a record of the manifest's files: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
+
+    The manifest's paths are whole URIs, so archives are read from wherever they were written.
+    """
 
     def run(batches):
-        system = None
         for batch in batches:
-            for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system = system or _open(scheme + path.lstrip("/") if scheme == folder else scheme + path)[0]
+            for uri, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, path = _open(uri)
                 seen, rows = 0, []
                 with system.open_input_stream(path, compression=None) as file:
                     for raw in members(iter(lambda file=file: file.read(chunk), b"")):
                         h = parse(raw)
                         reply = h["warc-type"] == "response"
-                        refers = h.get("x-refers-to-page-id")
-                        rows.append((int(h["x-page-id"]), h.get("warc-target-uri", ""), h["payload_bytes"], h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], int(refers) if refers else None, h["payload"] if reply else None))
+                        number, refers = h["x-page-id"], h.get("x-refers-to-page-id")
+                        rows.append((int(number) if number else None, h.get("warc-target-uri", ""), h["payload_bytes"], h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], int(refers) if refers else None, h["payload"] if reply else None))
                         seen += 1
                         if len(rows) == 200:
                             yield pack(rows)
@@ -172,7 +221,7 @@ def read_archives(manifest: DataFrame, chunk: int = 1 << 20) -> DataFrame:
                 if rows:
                     yield pack(rows)
                 if seen != records:
-                    raise ValueError(f"{path} holds {seen} records, not {records}")
+                    raise ValueError(f"{uri} holds {seen} records, not {records}")
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -180,8 +229,6 @@ def read_archives(manifest: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     def pack(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    base = manifest.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
-    scheme = base.partition("://")[0] + "://" if "://" in base and not base.startswith("file:") else folder
     return manifest.select("path", "records").repartition(max(1, min(4096, manifest.count()))).mapInArrow(
         run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     )

@@ -145,7 +145,7 @@ def test_warc_round_trip(spark):
     rows = [(5, "http://a", "same"), (3, "http://b", "same"), (9, None, None), (8, "u\r\nx", ""), (1, "http://c", "é" * 5000), (2, "http://d", "other")]
     rows += [(100 + i, "http://x", f"page {i % 7}") for i in range(60)]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, payload int")
-    got = warc.warc_round_trip(pages, roll_bytes=2000, rows_a_shard=20).collect()
+    got = warc.warc_round_trip(pages, roll_bytes=2000, shard_bytes=3000).collect()
     first = {}
     for i, _, html in rows:
         first[html or ""] = min(i, first.get(html or "", i))
