@@ -138,8 +138,11 @@ class Restorer:
         letter = (x != _EDGE) & (x != _OTHER)
         found = []
         if len(x) > 2:
-            run = np.flatnonzero(letter[2:] & (x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]))
-            found += [self._token(low, int(i)) for i in run]
+            end = 0
+            for i in np.flatnonzero(letter[2:] & (x[2:] == x[1:-1]) & (x[1:-1] == x[:-2])).tolist():
+                if i >= end:  # once a token, however long it is
+                    found.append(self._token(low, i))
+                    end = found[-1][1]
         alone = np.r_[False, letter, False]
         alone = alone[1:-1] & ~alone[:-2] & ~alone[2:]
         if len(x) > 4:
@@ -150,8 +153,12 @@ class Restorer:
                         j += 2
                     found.append((i, j))
         found += self._mixed(low, letter)
+        end = 0
         for m in _SYMBOL.finditer(low):
+            if m.start() < end:
+                continue
             i, j = self._token(low, m.start())
+            end = j
             token = low[i:j].strip(_AROUND)
             if any(c in STANDS_FOR for c in token) and any(c in _OF for c in token):
                 i += low[i:j].index(token)
@@ -212,7 +219,7 @@ def cover(docs: list[tuple[bool, list[int]]], names: list[str], negative_weight:
     """Sequential covering: (score without evidence, {evidence: probability}).
 
     Takes, again and again, the evidence that newly covers most toxic rows less ``strictness`` times the clean ones,
-    and drops the covered rows, until a step gains fewer than two rows.
+    and drops the covered rows, until a step gains fewer than two rows. Without any toxic row the score is under 1 / 2.
     """
     rows: dict[int, set[int]] = {}
     for i, (_, ids) in enumerate(docs):
@@ -237,22 +244,24 @@ def cover(docs: list[tuple[bool, list[int]]], names: list[str], negative_weight:
         left -= now
         del gains[f]
     missed = len(left & pos)
-    base = (missed + 0.5) / (missed + negative_weight * len(left - pos) + 1.0)
+    base = (missed + 0.5) / (missed + negative_weight * len(left - pos) + (1.0 if pos else 2.0))
     return base, rules
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", fit_rows: int = 20_000, most_candidates: int = 20_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", fit_rows: int = 20_000) -> DataFrame:
     """docs (doc_id, text, ...) with score, predicted (score >= 0.5) and n_restored added; every row is kept.
 
     ``labels`` (doc_id, toxic) rows for which the SQL condition ``train`` holds are learned from: ``fit_rows`` at
-    most, half of them toxic at most, taken by hash of the doc_id. Null and empty texts get the score of a text
-    without evidence; without labels it is 0.5 / 1. Rows with a null label are not learned from. Repeated rows are
-    scored alike; existing columns of these names are replaced.
+    most, half of them toxic at most, taken by hash of the doc_id. Evidence is counted over all of them, so scores
+    don't depend on partitions. Null and empty texts get the score of a text without evidence; where no toxic row is
+    learned from, every text gets it and it is under 0.5. Rows with a null label are not learned from; of several
+    labels of a doc_id the toxic one counts. Repeated rows are scored alike; existing columns of these names are
+    replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     model = spark.sparkContext.broadcast(log_model(trigram_counts(docs.select(text.alias("text")))))
-    known = labels.where(train).where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).alias("toxic")).dropDuplicates(["doc_id"])
+    known = labels.where(train).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {k: min(1.0, fit_rows / 2 / n) for k, n in sizes.items()}
     dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
@@ -264,14 +273,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", fit_rows:
         for batch in batches:
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update(evidence(restore(t)))
-        names = list(counts[True])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[True][f] for f in names], pa.int64()), pa.array([counts[False][f] for f in names], pa.int64())], names=["f", "p", "n"])
-        rest = [f for f in counts[False] if f not in counts[True] and counts[False][f] > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([counts[False][f] for f in rest], pa.int64())], names=["f", "p", "n"])
+        names = list(counts[True].keys() | counts[False].keys())
+        for at in range(0, len(names), 50_000):
+            part = names[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([counts[t][f] for f in part], pa.int64()) for t in (True, False))], names=["f", "p", "n"])
 
     weight = share.get(True, 1.0) / share.get(False, 1.0)
     found = rows.mapInArrow(seen, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= 2).where(F.col("p") > 2.0 * weight * F.col("n"))
-    names = [r.f for r in found.orderBy(F.desc("p"), F.desc(F.length("f")), "f").limit(most_candidates).collect()]
+    names = sorted(r.f for r in found.select("f").collect())
     number = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def held(batches):
