@@ -2,17 +2,21 @@
 
 Every entity goes through a keyed permutation of its own format's values (a Feistel network walked until the value
 is valid again), so different entities of a format always get different surrogates and an entity gets the same one
-wherever it occurs, however it is punctuated or cased. Names are found behind a title; within the document their later
-and earlier mentions without one, whole or in part, get the same surrogate or its part. Digits stay digits, letters keep their script and case, given
-names come from a list of the same script and gender, card numbers keep their Luhn state, addresses stay public.
-A surrogate that equals an entity found anywhere in the corpus is replaced by one of a spare permutation that meets
-neither an entity nor another surrogate; those checks are distributed joins.
+wherever it occurs, however it is punctuated or cased. Names are found behind a title, or by a listed given name with
+a surname behind it; within the document their other mentions, whole or in part, get the same surrogate or its part.
+Digits stay digits, letters keep their script and case, listed given names come from a list of the same script and
+gender, other parts of names keep their pattern of vowels and consonants, card numbers keep their Luhn state,
+addresses stay public. A surrogate that equals an entity found anywhere in the corpus (listed given names aside, whose
+lists are shared) is replaced by one of a spare permutation that meets neither an entity nor another surrogate; those
+checks are distributed joins. Names are checked by their parts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -24,7 +28,7 @@ from pyspark.sql import types as T
 from brinkline.llm.common import extended, without
 from brinkline.plans.shared import materialize, shared_root
 
-KINDS = ("email", "phone", "ip", "card", "ssn", "name")
+KINDS = ("email", "phone", "ip", "ip6", "card", "ssn", "name")
 
 # Given names by (script, gender), honorifics by gender.
 GIVEN = {
@@ -41,10 +45,13 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[-.]\d)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-_PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w]|[.-]\d)|(?<![\w.])\+\d{7,15}(?!\w)")
+_PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w]|[.-]\d)|(?<![\w.])\+\d{7,15}(?!\w)|(?<![\w.+-])1?[2-9]\d\d[2-9]\d{6}(?!\w|[.-]\d)")
+_IP6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:])")
 _UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-Ώ]"
 _LOWER = r"[a-zß-öø-ÿа-яёα-ωά-ώ]"
-_NAME = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, HONORIFICS), key=len, reverse=True))})\.?[  ](?P<name>{_UPPER}{_LOWER}+(?:[ -]{_UPPER}{_LOWER}+){{0,2}})(?!\w)")
+_NAME = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, HONORIFICS), key=len, reverse=True))})\.?[  ](?P<name>{_UPPER}{_LOWER}+(?:[ -]{_UPPER}{_LOWER}+){{0,3}})(?!\w)")
+_PLAIN = re.compile(rf"(?<!\w)(?=(?P<given>{_UPPER}{_LOWER}+)[  ](?P<rest>{_UPPER}{_LOWER}+(?:[ -]{_UPPER}{_LOWER}+){{0,2}})(?!\w))")
+_LISTED = {n: g for (_, g), names in GIVEN.items() for n in names}
 _DIGIT = re.compile(r"\d")
 _TITLES = tuple(HONORIFICS)
 
@@ -64,15 +71,28 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "card") for m in _CARD.finditer(text) if 13 <= sum(c.isdigit() for c in m[0]) <= 19]
         found += [(m.start(), m.end(), "ssn") for m in _SSN.finditer(text)]
         found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text)]
+    if ":" in text:
+        found += [(m.start(), m.end(), "ip6") for m in _IP6.finditer(text) if _is_ip6(m[0])]
     if any(t in text for t in _TITLES):
         found += [(m.start("name"), m.end("name"), "name") for m in _NAME.finditer(text)]
-    if not found:
-        return found
+    found += [(m.start(), m.end("rest"), "name") for m in _PLAIN.finditer(text) if m["given"] in _LISTED]
+    starts: list[int] = []
     out: list[tuple[int, int, str]] = []
     for i, j, kind in found:
-        if all(j <= a or b <= i for a, b, _ in out):
-            out.append((i, j, kind))
-    return sorted(out)
+        k = bisect_left(starts, i)
+        if (not k or out[k - 1][1] <= i) and (k == len(out) or j <= out[k][0]):
+            starts.insert(k, i)
+            out.insert(k, (i, j, kind))
+    return out
+
+
+def _is_ip6(text: str) -> bool:
+    if not _DIGIT.search(text) or max(map(len, text.split(":"))) < 3:  # scopes such as a::b
+        return False
+    try:
+        return int(ipaddress.IPv6Address(text)) > 1
+    except ValueError:
+        return False
 
 
 class Surrogates:
@@ -119,11 +139,12 @@ class Surrogates:
             if valid(out):
                 return out
 
-    def letters(self, tweak: str, word: str) -> str:
-        """Lower-case letters and digits to others of their script; everything else stays in place."""
+    def letters(self, tweak: str, word: str, alphabets: tuple[str, ...] | None = None, valid: Callable[[str], bool] = lambda w: True) -> str:
+        """Lower-case letters and digits to others of their alphabet; everything else stays in place."""
+        alphabets = alphabets or _ALPHABETS
         radix, values, at = [], [], []
         for i, c in enumerate(word):
-            for alphabet in _ALPHABETS:
+            for alphabet in alphabets:
                 if c in alphabet:
                     radix.append(len(alphabet))
                     values.append(alphabet.index(c))
@@ -131,10 +152,14 @@ class Surrogates:
                     break
         if not at:
             return word
-        out = list(word)
-        for v, (i, alphabet) in zip(self.mixed(f"{tweak}|{''.join(str(_ALPHABETS.index(a)) for _, a in at)}", values, radix), at, strict=True):
-            out[i] = alphabet[v]
-        return "".join(out)
+
+        def spelled(numbers: list[int]) -> str:
+            out = list(word)
+            for v, (i, alphabet) in zip(numbers, at, strict=True):
+                out[i] = alphabet[v]
+            return "".join(out)
+
+        return spelled(self.mixed(f"{tweak}|{','.join(str(alphabets.index(a)) for _, a in at)}", values, radix, lambda v: valid(spelled(v))))
 
     def _of(self, kind: str, canonical: str) -> str:
         """The surrogate's canonical form."""
@@ -159,21 +184,18 @@ class Surrogates:
             values = [int(d) for d in digits]
             same = fixed(values)
             return f"{code} " + "".join(map(str, self.mixed(f"phone{code}", values, [10] * len(values), lambda v: fixed(v) == same)))
-        gender, _, name = canonical.partition(" ")
-        parts = re.split(r"([ -])", name)
-        whole = len(parts) > 1 or gender.endswith(GIVEN_PART)
-        gender = gender.removesuffix(GIVEN_PART)
-        return f"{gender} " + "".join(p if p in " -" else self._name(p, gender if whole and i == 0 else "") for i, p in enumerate(parts))
-
-    def _name(self, part: str, gender: str) -> str:
-        for (_, g), names in GIVEN.items():
-            if part in names and g == (gender or g):
-                return names[self.permute(f"given{g}{names[0]}", names.index(part), len(names))]
-        out = self.letters("name", part.lower())
-        return out[0].upper() + out[1:]
-
-
-GIVEN_PART = "."  # behind the gender of a canonical form: a given name that stands alone
+        if kind == "ip6":
+            groups = [int(g, 16) for g in ipaddress.IPv6Address(canonical).exploded.split(":")]
+            rest = self.mixed(f"ip6{groups[0]}", groups[1:], [65536] * 7, lambda g: any(g))
+            return ipaddress.IPv6Address(":".join(f"{g:x}" for g in (groups[0], *rest))).compressed
+        if kind == "given":
+            names = next(n for (_, g), n in GIVEN.items() if canonical in n)
+            return names[self.permute(f"given{names[0]}", names.index(canonical), len(names))]
+        return self.letters("name", canonical, _SOUNDS, lambda w: w.capitalize() not in _LISTED)
+
+
+#: Vowels and consonants by script.
+_SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψς", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñß", "άέήίόύώ")
 _ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "0123456789", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ", "άέήίόύώς")
 
 
@@ -184,9 +206,13 @@ def canonical(kind: str, text: str, before: str) -> str:
         return text.lower()
     if kind == "ip":
         return ".".join(str(int(o)) for o in text.split("."))
+    if kind == "ip6":
+        return ipaddress.IPv6Address(text).compressed
     if kind in ("card", "ssn"):
         return digits
     if kind == "phone":
+        if len(digits) == 11 and digits[0] == "1":  # with and without the code of the North American plan
+            return f" {digits[1:]}"
         if text[0] == "+":
             code = re.match(r"\+\d{1,3}(?=[ .(-])|\+1(?=\d{10}$)|\+", text)[0]
             return f"{code} {digits[len(code) - 1:]}"
@@ -195,16 +221,37 @@ def canonical(kind: str, text: str, before: str) -> str:
     return f"{HONORIFICS.get(title[1], '') if title else ''} {text}"
 
 
+def units(kind: str, entity: str) -> list[tuple[str, str]]:
+    """What is permuted of an entity: of a name its parts, listed given names and others (in lower case); else itself."""
+    if kind != "name":
+        return [(kind, entity)]
+    parts = (p for p in re.split("[ -]", entity.partition(" ")[2]) if p)
+    return [("given", p) if p in _LISTED else ("part", p.lower()) for p in parts]
+
+
+def composed(kind: str, entity: str, of: Callable[[str, str], str]) -> str:
+    """The surrogate of an entity from those of its units."""
+    if kind != "name":
+        return of(kind, entity)
+    gender, _, name = entity.partition(" ")
+    told = iter([of(*u) for u in units(kind, entity)])
+    return f"{gender} " + "".join(p if p in (" ", "-", "") else (s := next(told))[0].upper() + s[1:] for p in re.split("([ -])", name))
+
+
 def rendered(kind: str, text: str, surrogate: str) -> str:
     """The surrogate in the original's punctuation and case."""
     if kind == "ip":
         return surrogate
+    if kind == "ip6":
+        return surrogate.upper() if any(c in text for c in "ABCDEF") else surrogate
     if kind == "name":
         return surrogate.partition(" ")[2]
     if kind == "email":
         return "".join(s.upper() if o.isupper() else s for o, s in zip(text, surrogate, strict=True))
-    fill = iter(surrogate.replace(" ", "").replace("+", ""))
-    return "".join(next(fill) if c in "0123456789" else c for c in text)
+    fill = surrogate.replace(" ", "").replace("+", "")
+    ahead = "".join(c for c in text if c in "0123456789")
+    digits = iter(ahead[: len(ahead) - len(fill)] + fill)  # a code in front that the surrogate lacks stays
+    return "".join(next(digits) if c in "0123456789" else c for c in text)
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -223,7 +270,7 @@ def mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[in
             *given, surname = name.split(" ")
             if given:
                 surnames.setdefault(surname, f" {surname}")
-                givens.setdefault(given[0], f"{gender}{GIVEN_PART} {given[0]}")
+                givens.setdefault(given[0], f"{gender} {given[0]}")
                 for part in given[1:]:
                     givens.setdefault(part, f" {part}")
     forms = givens | surnames | wholes
@@ -240,8 +287,8 @@ def mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[in
 def surrogate_pii(docs: DataFrame, key: bytes, broadcast_rows: int = 200_000) -> DataFrame:
     """docs (doc_id, text, ...) with entities in ``text`` replaced and n_entities, kinds (sorted, joined) added; every row is kept.
 
-    A null text stays null; a text without entities stays as it is. Repeated rows and repeated entities get equal
-    replacements; existing columns of the added names are replaced; an empty table gives an empty result.
+    A null text stays null; a text without entities stays as it is. Of overlapping entities the kind first looked for
+    stays. Repeated rows and repeated entities get equal replacements; existing columns of the added names are replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     root = shared_root(spark)
@@ -250,18 +297,18 @@ def surrogate_pii(docs: DataFrame, key: bytes, broadcast_rows: int = 200_000) ->
     def listed(batches):
         surrogates = Surrogates(key)
         for batch in batches:
-            seen = {(k, c) for text in batch.column(0).to_pylist() for _, _, k, c in entities(text)}
+            seen = {u for text in batch.column(0).to_pylist() for _, _, k, c in entities(text) for u in units(k, c)}
             rows = [(k, c, surrogates.of(k, c)) for k, c in sorted(seen)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "entity", "surrogate"])
 
     every = kept.select("text").mapInArrow(listed, "kind string, entity string, surrogate string").dropDuplicates(["kind", "entity"])
     every = materialize(every, root, "entities")
 
-    # names are drawn from lists that texts use too, so only the other kinds must keep clear of the corpus
+    # listed given names are permuted among themselves; everything else must keep clear of the corpus
     originals = every.select("kind", F.col("entity").alias("surrogate"))
 
     def clashing(rows: DataFrame, taken: DataFrame) -> DataFrame:
-        return rows.where("kind <> 'name'").join(taken, ["kind", "surrogate"], "left_semi").select("kind", "entity", "surrogate")
+        return rows.where("kind <> 'given'").join(taken, ["kind", "surrogate"], "left_semi").select("kind", "entity", "surrogate")
 
     def again(k: int):
         """The entities' surrogates under the k-th spare permutation."""
@@ -292,7 +339,7 @@ def surrogate_pii(docs: DataFrame, key: bytes, broadcast_rows: int = 200_000) ->
 
         def owned(batches):
             for batch in batches:
-                rows = [(n, e[2], e[3]) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in entities(t)]
+                rows = [(n, *u) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in entities(t) for u in units(*e[2:])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))], names=["brinkline_row", "kind", "entity"])
 
         own = number.select("brinkline_row", "text").mapInArrow(owned, "brinkline_row long, kind string, entity string").distinct().join(moved, ["kind", "entity"])
@@ -314,9 +361,9 @@ def surrogate_pii(docs: DataFrame, key: bytes, broadcast_rows: int = 200_000) ->
                 if found:
                     held = {tuple(m.split("\u0001")[:2]): m.split("\u0001")[2] for m in mine or ()}
                     parts, at = [], 0
+                    of = lambda *u: held.get(u) or changed.value.get(u) or surrogates.of(*u)  # noqa: B023, E731
                     for i, j, kind, entity in found:
-                        s = held.get((kind, entity)) or changed.value.get((kind, entity)) or surrogates.of(kind, entity)
-                        parts += [text[at:i], rendered(kind, text[i:j], s)]
+                        parts += [text[at:i], rendered(kind, text[i:j], composed(kind, entity, of))]
                         at = j
                     text = "".join(parts) + text[at:]
                 texts.append(text)

@@ -21,5 +21,5 @@ def test_untitled_mentions_get_the_same_surrogate(spark):
     assert a.startswith(f"{first} {last} came") and f", {first} {last} said, and {last}'s hat" in a and a.endswith(f"{first} left.")
     jan, lena, roth, smith = re.match(r"Frau (\w+) (\w+) ([\w-]+) and Herr (\w+)\.", b).groups()
     assert b.endswith(f". {jan} {lena} {roth}? {jan}? {roth}? {smith}!") and m == 6 and not {"Jan", "Lena", "Roth-Klein", "Smith"} & {jan, lena, roth, smith}
-    assert c == "Anna Meyer said"  # nobody titled in this document
+    assert re.fullmatch(r"\w+ \w+ said", c) and "Meyer" not in c  # found by the listed given name
     assert re.fullmatch(r"Mr\. \w+ (\w+) and \1", d) and smith == d.split()[-1]
