@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Tag numbers, field types and compression codes of TIFF 6.0.
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
+WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS, STRIP_COUNTS, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 SIZES = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
+#: A page that claims more is refused before memory is taken for it.
+MOST_SAMPLES = 1 << 28
 NONE, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", ADOBE_DEFLATE: "deflate", DEFLATE: "deflate", PACKBITS: "packbits"}
 
@@ -215,62 +217,79 @@ def pages(data: bytes) -> Iterator[tuple[dict, bytes]]:
                     place = struct.unpack_from(order + "I", data, place)[0]
                 tags[tag] = list(struct.unpack_from(f"{order}{n}{letter}", data, place))
         one = lambda t, d, tags=tags: tags.get(t, [d])[0]
-        width, height, compression, predictor = one(WIDTH, 0), one(LENGTH, 0), one(COMPRESSION, 1), one(PREDICTOR, 1)
-        if one(BITS, 1) != 8 or one(SAMPLES, 1) != 1 or predictor not in (1, 2):
-            raise ValueError("only eight-bit samples, one a pixel, are read")
+        width, height, compression, predictor, depth = one(WIDTH, 0), one(LENGTH, 0), one(COMPRESSION, 1), one(PREDICTOR, 1), one(SAMPLES, 1)
+        if set(tags.get(BITS, [1])) != {8} or predictor not in (1, 2) or (depth > 1 and one(PLANAR, 1) != 1):
+            raise ValueError("only eight-bit samples, those of a pixel side by side, are read")
+        if not 0 < width * height * depth <= MOST_SAMPLES:
+            raise ValueError(f"a page of {width} x {height} x {depth} samples")
         tiled = TILE_OFFSETS in tags
         wide, high = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS, height), height))
-        image = np.empty((height, width), np.uint8)
-        across = -(-width // wide) if width else 0
-        for k, (offset, count) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True)):
+        if not 0 < wide * high * depth <= MOST_SAMPLES:
+            raise ValueError(f"blocks of {wide} x {high} pixels")
+        across, down = -(-width // wide), -(-height // high)
+        blocks = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True))
+        if len(blocks) != across * down:
+            raise ValueError(f"{len(blocks)} blocks where {across * down} make the page")
+        image = np.empty((height, width, depth), np.uint8)
+        for k, (offset, count) in enumerate(blocks):
             top, left = k // across * high, k % across * wide
             rows = high if tiled else min(high, height - top)
-            x = np.frombuffer(_decode(data[offset : offset + count], compression, rows * wide), np.uint8).reshape(rows, wide)
+            x = np.frombuffer(_decode(data[offset : offset + count], compression, rows * wide * depth), np.uint8).reshape(rows, wide, depth)
             if predictor == 2:
                 x = np.cumsum(x, axis=1, dtype=np.uint8)
             image[top : top + rows, left : left + wide] = x[: height - top, : width - left]
-        yield {"width": width, "height": height, "compression": NAMES[compression], "predictor": predictor, "blocks": k + 1, "tiled": tiled}, image.tobytes()
+        yield {"width": width, "height": height, "compression": NAMES[compression], "predictor": predictor, "blocks": len(blocks), "tiled": tiled}, image.tobytes()
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * struct.unpack_from(order + "H", data, at)[0])[0]
 
 
-def store(payload: bytes, page_rows: int = 16_384, width: int = 64) -> bytes:
+def store(payload: bytes, page_rows: int = 128, width: int = 64) -> bytes:
     """A payload of whole rows as TIFF; layout and compression follow from its digest, so equal payloads are stored alike."""
-    h = hashlib.sha256(payload).digest()[0]
-    compression = LZW if h < 12 else PACKBITS if h < 64 else ADOBE_DEFLATE
+    kind, layout = hashlib.sha256(payload).digest()[:2]
     cut = [payload[i : i + page_rows * width] for i in range(0, len(payload), page_rows * width)]
-    return write(cut, width, compression, predictor=2 if h >= 192 else 1, tile=64 if h % 4 == 3 else 0, order=">" if h % 2 else "<")
+    return write(cut, width, (LZW, PACKBITS, ADOBE_DEFLATE)[kind % 3], predictor=1 + layout % 2, tile=64 if layout & 2 else 0, strip_rows=48, order=">" if layout & 4 else "<")
 
 
-def media_pages(media: DataFrame) -> DataFrame:
-    """One row a page of ``media`` (doc_id, media): doc_id, page, width, height, compression, predictor, blocks, tiled, samples.
+_PAGE = pa.schema([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("compression", pa.string()), ("predictor", pa.int32()), ("blocks", pa.int32()), ("tiled", pa.bool_()), ("samples", pa.binary()), ("problem", pa.string())])
+_PAGE_DDL = "page int, width int, height int, compression string, predictor int, blocks int, tiled boolean, samples binary, problem string"
 
-    A null or broken file gives one row with page -1 and the reason in ``problem``; other rows have it null.
+
+def media_pages(media: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
+    """One row a page of ``media`` (doc_id, media): doc_id, media_bytes, media_sha256, page, width, height, compression, predictor, blocks, tiled, samples, problem.
+
+    A column n_bytes is carried along if there is one; other extra columns are ignored. A null or broken file gives
+    one row with page -1 and the reason in ``problem``, behind the pages that could be read; other rows have it null.
+    Every row of ``media`` gives its pages, repeated ones too, one after another; an empty table gives none.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("compression", pa.string()), ("predictor", pa.int32()), ("blocks", pa.int32()), ("tiled", pa.bool_()), ("samples", pa.binary()), ("problem", pa.string())])
+    carried = [c for c in media.columns if c == "n_bytes"]
 
-    def rows_of(i, data):
+    def rows_of(data):
         try:
             if data is None:
                 raise ValueError("no file")
             for n, (f, samples) in enumerate(pages(data)):
-                yield (i, n, f["width"], f["height"], f["compression"], f["predictor"], f["blocks"], f["tiled"], samples, None)
-        except (ValueError, struct.error, zlib.error, IndexError, KeyError, ZeroDivisionError) as e:
-            yield (i, -1, None, None, None, None, None, None, None, str(e))
+                yield (n, f["width"], f["height"], f["compression"], f["predictor"], f["blocks"], f["tiled"], samples, None)
+        except (ValueError, struct.error, zlib.error, IndexError, KeyError, ZeroDivisionError, MemoryError, OverflowError) as e:
+            yield (-1, None, None, None, None, None, None, None, str(e))
+
+    head = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in carried), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+    schema = pa.schema([*head, *_PAGE])
 
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
-            rows, size = [], 0
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in rows_of(i, data):
-                    rows.append(row)
-                    size += len(row[8] or b"")
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(len(schema))], schema=schema)
+            for *told, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                facts = (*told, None, None) if data is None else (*told, len(data), hashlib.sha256(data).hexdigest())
+                for row in rows_of(data):
+                    rows.append(facts + row)
+                    size += len(row[7] or b"") + 100
+                    if size > batch_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                         rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(len(schema))], schema=schema)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return media.select(F.col("doc_id").cast("long"), F.col("media").cast("binary")).mapInArrow(run, "doc_id long, page int, width int, height int, compression string, predictor int, blocks int, tiled boolean, samples binary, problem string")
+    ddl = "".join(f"{c} long, " for c in ("doc_id", *carried)) + f"media_bytes long, media_sha256 string, {_PAGE_DDL}"
+    return media.select(F.col("doc_id").cast("long"), *(F.col(c).cast("long") for c in carried), F.col("media").cast("binary")).mapInArrow(run, ddl)
 
 
 def stored_documents(docs: DataFrame) -> DataFrame:
@@ -288,28 +307,42 @@ def stored_documents(docs: DataFrame) -> DataFrame:
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """A row for each row of ``docs`` with the contract's columns, computed from the bytes that are read back from the stored form.
+    """A row for each row of ``docs`` with the contract's columns, computed from the pages that are read back from the stored form.
 
-    Null texts count as empty. Rows are read where they are stored, so a file's pages never leave its task.
+    Null texts count as empty. Repeated rows give repeated rows and equal texts equal values; extra columns are
+    ignored; an empty table gives an empty result. A file's pages follow one another in the task that reads it, so they
+    are folded there, page by page.
     """
-    media = stored_documents(docs)
+    read = media_pages(stored_documents(docs))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches):
+        now, done = None, []
+
+        def close():
+            sha, size, tail, facts, total, first = now["sha"], now["size"], now["tail"], now["first"], now["sum"], now["row"]
+            feature = f"{facts[3]}:{facts[4]}:{'tiles' if facts[6] else 'strips'}:{now['pages']}:{facts[1]}x{now['rows']}:{total / size:.4f}"
+            done.append((first[0], first[1], size, sha.hexdigest(), zlib.crc32(tail), first[2], first[3], feature))
+
         for batch in batches:
-            out = []
-            for data in batch.column(2).to_pylist():
-                sha, size, tail, facts, sums = hashlib.sha256(), 0, b"", [], np.zeros(3)
-                for f, samples in pages(data):
-                    sha.update(samples)
-                    size += len(samples)
-                    tail = (tail + samples)[-64:]
-                    facts.append(f)
-                    x = np.frombuffer(samples, np.uint8)
-                    sums += (len(x), x.sum(dtype=np.float64), np.bincount(x, minlength=256).max())
-                first = facts[0]
-                feature = f"{first['compression']}:{first['predictor']}:{'tiles' if first['tiled'] else 'strips'}:{len(facts)}:{first['width']}x{sum(f['height'] for f in facts)}:{sums[1] / sums[0]:.4f}"
-                out.append((size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for *row, page, width, height, compression, predictor, blocks, tiled, samples, problem in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if problem is not None:
+                    raise ValueError(problem)
+                if page == 0:
+                    if now:
+                        close()
+                    now = {"sha": hashlib.sha256(), "size": 0, "tail": b"", "pages": 0, "rows": 0, "sum": 0, "row": row, "first": (page, width, height, compression, predictor, blocks, tiled)}
+                now["sha"].update(samples)
+                now["tail"] = (now["tail"] + samples)[-64:]
+                now["size"] += len(samples)
+                now["pages"] += 1
+                now["rows"] += height
+                now["sum"] += int(np.frombuffer(samples, np.uint8).sum(dtype=np.int64))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+                done = []
+        if now:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+    return read.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
