@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CHUNK = 256
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 # Anything that is a control string once backslashes behind its bracket are left out.
 _CONFLICT = r"([<\[])(\\*)(/?s>|/?INST\])"
@@ -62,7 +63,21 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     safe = F.transform("source", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     done = tried.select("conv_id", "escaped", F.when(F.col("escaped"), render(safe)).otherwise(F.col("plain")).alias("formatted"))
     read = done.withColumn("stored", parse(F.col("formatted")))
-    before = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    return read.select("conv_id", "formatted", "escaped", unescaped(F.col("stored")).alias("turns"), _loss_spans(F.col("stored")).alias("loss_spans"))
+
+
+def _chunks(array: Column) -> Column:
+    """An array in pieces of ``CHUNK``, so that folds that grow an array copy no more than that a step."""
+    n = F.ceil(F.size(array) / CHUNK).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(array, i * CHUNK + 1, CHUNK))).otherwise(F.array_repeat(array, 0))
+
+
+def _loss_spans(stored: Column) -> Column:
+    """(start, end) of each assistant text: chunk lengths are summed first, then places inside each chunk."""
+    frame = len(OPEN) + len(MIDDLE) + len(CLOSE)
+    lengths = F.transform(_chunks(stored), lambda c: F.aggregate(c, F.lit(0), lambda n, t: n + F.length(t["role"]) + F.length(t["text"]) + frame))
+    running = F.aggregate(lengths, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(state: Column, t: Column) -> Column:
         start = state["at"] + F.lit(len(OPEN) + len(MIDDLE)) + F.length(t["role"])
@@ -70,14 +85,28 @@ def format_conversations(rows: DataFrame) -> DataFrame:
         span = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct((end + F.lit(len(CLOSE))).alias("at"), F.when(t["role"] == "assistant", F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return read.select("conv_id", "formatted", "escaped", unescaped(F.col("stored")).alias("turns"), F.aggregate("stored", before, step, lambda s: s["spans"]).alias("loss_spans"))
+    def inside(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+
+    chunks = _chunks(stored)
+    return F.flatten(F.zip_with(chunks, F.slice(running, 1, F.greatest(F.size(chunks), F.lit(1))), lambda c, at: inside(F.coalesce(c, F.slice(stored, 1, 0)), at)))
+
+
+def _covered(formatted: Column, spans: Column) -> Column:
+    """The unescaped text under the spans. A chunk of spans is cut out of the whole once, then into its own texts."""
+
+    def texts(chunk: Column) -> Column:
+        start = F.element_at(chunk, 1)["start"]
+        part = F.substr(formatted, start + 1, F.element_at(chunk, -1)["end"] - start)
+        return F.array_join(F.element_at(F.transform(F.array(part), lambda p: F.transform(chunk, lambda s: unescape(F.substr(p, s["start"] - start + 1, s["end"] - s["start"])))), 1), "")
+
+    return F.array_join(F.transform(_chunks(spans), texts), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """The contract's columns, derived from the formatted string, its spans and the turns read back from it."""
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
-    return formatted.withColumn("loss", loss).select(
+    return formatted.withColumn("loss", _covered(F.col("formatted"), F.col("loss_spans"))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"),
