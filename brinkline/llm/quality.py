@@ -1,6 +1,6 @@
 """Quality rules: fixed base counts, and a hashed n-gram logistic regression trained on labelled rows.
 
-Features of a text are the frequencies of its hashed character trigrams, words and equal-neighbour word pairs.
+Features of a text are the frequencies of its hashed character trigrams, words and word pairs.
 The model is fitted on a bounded sample of labelled rows, calibrated by Platt scaling on a fifth of that sample
 which the fit does not see, weighted back to the classes' shares among all labels, and scores Arrow batches against
 a fixed threshold.
@@ -67,9 +67,11 @@ def hashed(text: str, ids: np.ndarray, seen: dict[bytes, int]) -> list[tuple[np.
         h ^= h >> np.uint32(15)
         out.append(((h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS), SCALE / len(h)))
     if len(ids):
-        of = np.fromiter(map(zlib.crc32, seen), np.uint32, len(seen)) >> np.uint32(32 - BITS)
-        out.append((of[ids] ^ np.uint32(0x5555), SCALE / len(ids)))
-        out.append((np.full(int((ids[1:] == ids[:-1]).sum()), 7, np.uint32), SCALE / len(ids)))
+        word = np.fromiter(map(zlib.crc32, seen), np.uint32, len(seen))[ids]
+        out.append(((word >> np.uint32(32 - BITS)) ^ np.uint32(0x5555), SCALE / len(ids)))
+        pair = word[:-1] * np.uint32(0x9E3779B1) ^ word[1:] * np.uint32(0x85EBCA6B)
+        pair ^= pair >> np.uint32(15)
+        out.append(((pair * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS), SCALE / len(ids)))
     return out
 
 
@@ -77,10 +79,11 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 200, l2: fl
     """(weights, bias, slope, shift): Adam on the class-balanced logistic loss; Platt scaling on every fifth row.
 
     ``rates``: the share of each class that ``rows`` were sampled at. Each calibration row stands for 1 / rate labelled ones.
+    Without rows of both classes there is nothing to tell apart, and every text gets a probability next to 1.
     """
     y = np.array([r[0] for r in rows], float)
     if len(set(y.tolist())) < 2:
-        return np.zeros(SIZE, np.float32), 0.0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+        return np.zeros(SIZE, np.float32), 0.0, 0.0, 30.0
     stands = np.array([1 / (rates or {}).get(r[0], 1.0) for r in rows])
     held = np.arange(len(y)) % 5 == 0
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
@@ -126,24 +129,34 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 200, l2: fl
     return w.astype(np.float32), float(b), float(a), float(c)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, threshold: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, threshold: float = 0.3, fit_bytes: int = 256 << 20) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept.
 
-    ``labels`` (doc_id, quality): at most ``fit_rows`` rows, half of each class at most, are fitted on. ``quality`` is
-    the probability of label 1, calibrated to the classes' shares among all labels whatever ``fit_rows`` is; kept is false where a base rule fails, else quality >= ``threshold``. A
-    null text counts as empty and fails; null labels are ignored; without labels of both classes the model passes
-    all. Every row gives a row, repeated ones too; extra columns are ignored.
+    ``labels`` (doc_id, quality): about ``fit_rows`` rows, half of each class at most, are fitted on, fewer where their
+    features would take more than ``fit_bytes`` on the driver. ``quality`` is the probability of label 1, calibrated to
+    the classes' shares among all labels whatever these bounds are; kept is false where a base rule fails, else
+    quality >= ``threshold``. A null text counts as empty and fails; null labels are ignored, of several labels of a
+    doc_id the least counts; without labels of both classes quality is next to 1 and the model passes all. Every row
+    gives a row, repeated ones too; extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("y"))
     sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     dice = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) / 1_000_000
     rates = {k: min(1.0, fit_rows / 2 / n) for k, n in sizes.items()}
-    pick = F.lit(False)
-    for k, rate in rates.items():
-        pick = pick | ((F.col("y") == k) & (dice < rate))
-    sample = rows.join(F.broadcast(known.where(pick)), "doc_id").select("doc_id", "text", "y").repartition(spark.sparkContext.defaultParallelism)
+
+    def picked():
+        pick = F.lit(False)
+        for k, rate in rates.items():
+            pick = pick | ((F.col("y") == k) & (dice < rate))
+        return rows.join(F.broadcast(known.where(pick)), "doc_id").select("doc_id", "text", "y")
+
+    # a text has no more features than buckets, nor than three a character
+    need = picked().agg(F.sum(F.least(F.lit(6 * SIZE), 18 * F.length("text")))).first()[0] or 0
+    if need > fit_bytes:
+        rates = {k: rate * fit_bytes / need for k, rate in rates.items()}
+    sample = picked().repartition(spark.sparkContext.defaultParallelism)
 
     def features(batches):
         for batch in batches:
