@@ -2,14 +2,16 @@
 
 Candidate strings of each class are walked once with a window whose symbol counts and entropy sum are updated
 incrementally; windows at or over the class's threshold that mix letters and digits are merged into spans.
-Spans on the allow-list, or inside a span of a fixed pattern, are suppressed.
+Candidates on the allow-list, parts of candidates that hold one of its words, and spans inside a span of a fixed
+pattern are suppressed.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +31,11 @@ CLASSES = (
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(r"(.{1,8})\1{2,}.{0,7}"),  # a short unit over and over
-    re.compile(r"(?i).*(example|sample|dummy|placeholder|changeme|xxxxxx|123456789|abcdefgh).*"),
     re.compile(r"[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?\d{0,4}"),  # words joined to a slug, perhaps with a number or year
 )
+#: A part of a candidate, between its separators, that has one of these is no secret.
+ALLOWED_PART = re.compile(r"example|sample|dummy|placeholder|changeme|xxxxxx|123456789|abcdefgh", re.IGNORECASE)
+_PART = re.compile(r"[^-_/+=]+")
 _XLOG = [0.0] + [i * math.log2(i) for i in range(1, WINDOW + 1)]
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -62,6 +66,16 @@ def entropy_runs(s: str, least: float) -> list[tuple[int, int]]:
     return out
 
 
+def _candidates(s: str) -> list[tuple[int, str]]:
+    """(offset, string) to be walked of a candidate: all of it, or its other parts where one is on the allow-list."""
+    if any(p.fullmatch(s) for p in ALLOWED):
+        return []
+    if not ALLOWED_PART.search(s):
+        return [(0, s)]
+    parts = [(m.start(), m[0]) for m in _PART.finditer(s) if len(m[0]) >= WINDOW and not ALLOWED_PART.search(m[0])]
+    return [(i, x) for i, x in parts if not any(p.fullmatch(x) for p in ALLOWED)]
+
+
 def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """(base spans, added spans), each (start, kind, end) in code points."""
     text = text or ""
@@ -75,14 +89,17 @@ def scan(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     added = []
     if any(len(w) >= WINDOW and not w.isalpha() and any(c in w for c in "0123456789abcdef") for w in text.split()):
         base += [(m.start(), "hex", m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
+        # a base span that starts no later than another and ends no earlier covers it: furthest end by start
+        order = sorted((a, b) for a, _, b in base)
+        starts, ends = [a for a, _ in order], list(accumulate((b for _, b in order), max))
         for kind, pattern, least in CLASSES:
             for m in pattern.finditer(text):
-                if any(p.fullmatch(m[0]) for p in ALLOWED):
-                    continue
-                for i, j in entropy_runs(m[0], least):
-                    i, j = i + m.start(), j + m.start()
-                    if not any(a <= i and j <= b for a, _, b in base):
-                        added.append((i, kind, j))
+                for at, string in _candidates(m[0]):
+                    for i, j in entropy_runs(string, least):
+                        i, j = i + at + m.start(), j + at + m.start()
+                        before = bisect_right(starts, i)
+                        if not before or ends[before - 1] < j:
+                            added.append((i, kind, j))
     elif len(text) >= 24 and any(len(w) >= 24 for w in text.split()):
         base += [(m.start(), "hex", m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
     order = lambda s: (s[0], KINDS.index(s[1]), s[2])
@@ -96,7 +113,8 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 def secret_scan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, base (joined base spans), spans (joined base and added spans), n_assign, n_access, n_hex, n_entropy.
 
-    A null text counts as empty and has no spans. Every row gives a row, repeated ones too; extra columns are ignored.
+    A null text counts as empty and has no spans. Every row gives a row, repeated ones too; spans that start at one
+    place are in the order of ``KINDS``; extra columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches):
@@ -114,7 +132,3 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, base string, spans string, n_assign long, n_access long, n_hex long, n_entropy long")
-
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
