@@ -215,7 +215,7 @@ class Lists:
 
 
 _SETS = "doc_id long, n_shingles long, set_hi long, set_lo long, bitmap binary"
-_ROWS = "block long, shard long, query boolean, doc_id long, part long"
+_ROWS = "block long, shard long, turn long, query boolean, doc_id long, part long"
 _SIGNED = "doc_id long, signatures array<long>, keys array<long>"
 
 
@@ -326,7 +326,7 @@ def _near_pairs(scheme: Scheme):
 
 
 def _screened(rows: DataFrame, num: int, den: int, cells: int = 1 << 21) -> DataFrame:
-    """Of ``rows`` (block, shard, query, doc_id, part, n, bitmap) those with a partner in their (block, shard), of the
+    """Of ``rows`` (block, shard, turn, query, doc_id, part, n, bitmap) those with a partner in their (block, shard, turn), of the
     other kind and another part, whose bitmap leaves the threshold in reach. At most ``cells`` words are compared at once.
     """
 
@@ -360,15 +360,15 @@ def _screened(rows: DataFrame, num: int, den: int, cells: int = 1 << 21) -> Data
                         ok &= differ <= both - 2 * least
                         keep[q] |= ok.any(1)
                         keep[held] |= ok.any(0)
-        return pdf.loc[keep, ["block", "shard", "query", "doc_id", "part"]]
+        return pdf.loc[keep, ["block", "shard", "turn", "query", "doc_id", "part"]]
 
-    return rows.groupBy("block", "shard").applyInPandas(run, _ROWS)
+    return rows.groupBy("block", "shard", "turn").applyInPandas(run, _ROWS)
 
 
 def _searched(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) found in each (block, shard) of ``rows`` (block, shard, query, doc_id, part, tokens).
+    """Links (a, b) found in each (block, shard, turn) of ``rows`` (block, shard, turn, query, doc_id, part, tokens).
 
-    A query row is searched against the index rows of its shard whose ``part`` differs from its own.
+    A turn holds some of the queries of a shard, and all of its index. A query row is searched against the index rows of its shard whose ``part`` differs from its own.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -385,7 +385,7 @@ def _searched(rows: DataFrame, num: int, den: int) -> DataFrame:
                 b += hits
         return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)})
 
-    return rows.groupBy("block", "shard").applyInPandas(run, "a long, b long")
+    return rows.groupBy("block", "shard", "turn").applyInPandas(run, "a long, b long")
 
 
 def ngram_jaccard_join(
@@ -405,8 +405,9 @@ def ngram_jaccard_join(
     Two documents are linked when the Jaccard similarity of their shingle sets is at least ``num / den``;
     component_id is the smallest doc_id reachable over links. Null and empty texts have no set, are linked with
     nothing and form their own component. A text of fewer than ``width`` words is one shingle. Rows with a null
-    doc_id are returned with component_id null. Repeated rows are returned as often as they occur. Extra columns
-    are ignored; an empty table gives an empty result.
+    doc_id are returned with component_id null. Repeated rows are returned as often as they occur; texts of one
+    doc_id that have shingles are linked with one another, and so is all that is linked with any of them. Extra
+    columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     root = shared_root(spark)
@@ -437,10 +438,10 @@ def ngram_jaccard_join(
     # bitmaps of the documents that met any other
     sets = materialize(docs.mapInArrow(_set_batches(width), _SETS), root, "sets")
     wanted = pairs.select("doc_id").union(pairs.select("hub")).distinct()
-    maps = sets.join(wanted, "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"])
+    maps = sets.join(wanted, "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id", "set_hi", "set_lo"])
     maps = materialize(maps.select("doc_id", F.col("n_shingles").alias("n"), "bitmap"), root, "maps")
     both = pairs.join(maps, "doc_id").join(maps.toDF("hub", "hub_n", "hub_bitmap"), "hub")
-    pairs = materialize(both.mapInArrow(_near_pairs(scheme), "doc_id long, hub long"), root, "near")
+    pairs = materialize(both.mapInArrow(_near_pairs(scheme), "doc_id long, hub long").distinct(), root, "near")
 
     def tokens(batches):
         for batch in batches:
@@ -455,14 +456,15 @@ def ngram_jaccard_join(
         small = ids.count() <= broadcast_ids
         found = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
         held = found.mapInArrow(tokens, "doc_id long, tokens array<long>").where("size(tokens) > 0")
-        return rows.join(materialize(held.dropDuplicates(["doc_id"]), root, f"{name}-sets"), "doc_id")
+        return rows.join(materialize(held.dropDuplicates(["doc_id", "tokens"]), root, f"{name}-sets"), "doc_id")
 
     # hubs query the documents that may reach them, dealt into shards so that no hub's group lands in one task
     shards = pairs.select(F.col("hub").alias("block"), "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("r"))
     sizes = pairs.groupBy(F.col("hub").alias("block")).agg(F.count("*").alias("m"))
     shards = shards.join(sizes, "block").withColumn("shard", (F.col("r") % F.ceil(F.col("m") / shard_docs)).cast("long"))
-    members = shards.select("block", "shard", F.lit(False).alias("query"), "doc_id", F.lit(0).cast("long").alias("part"))
-    hubs = shards.select("block", "shard").distinct().select("block", "shard", F.lit(True).alias("query"), F.col("block").alias("doc_id"), F.lit(1).cast("long").alias("part"))
+    once = F.lit(0).cast("long").alias("turn")
+    members = shards.select("block", "shard", once, F.lit(False).alias("query"), "doc_id", F.lit(0).cast("long").alias("part"))
+    hubs = shards.select("block", "shard").distinct().select("block", "shard", once, F.lit(True).alias("query"), F.col("block").alias("doc_id"), F.lit(1).cast("long").alias("part"))
     links = materialize(_searched(with_sets(members.union(hubs), "hub"), num, den), root, "links")
 
     # what hubs did not settle: in a group of one signature, members of different parts; a hub has met all of its group,
@@ -471,26 +473,43 @@ def ngram_jaccard_join(
     rest = met.join(central, "sig").where("doc_id <> hub").drop("n").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     for k in range(prune_rounds):
         rest = materialize(_open(rest), root, f"open-{k}")
-    # groups of one hub are searched together
+    # groups of one hub are searched together. A part of a shard's size or more has shards of its own, in order of
+    # size; the others lie whole in shards behind those
     placed = rest.select(F.col("hub").alias("block"), "doc_id", "part").distinct()
-    part_size = placed.groupBy("block", "part").agg(F.count("*").alias("m"))
-    # parts of a block in order of size; shards fill up along that order
+    part_size = materialize(placed.groupBy("block", "part").agg(F.count("*").alias("m")), root, "part-sizes")
     along = W.partitionBy("block").orderBy(F.desc("m"), "part").rowsBetween(W.unboundedPreceding, -1)
-    ranked = part_size.withColumn("before", F.coalesce(F.sum("m").over(along), F.lit(0)))
-    placed = placed.join(ranked.select("block", "part", "m", "before"), ["block", "part"])
-    placed = materialize(
-        placed.withColumn("shard", F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("m"))) / shard_docs).cast("long")), root, "placed"
-    )
-    index = placed.select("block", "shard", F.lit(False).alias("query"), "doc_id", "part")
-    # a part asks the shards that hold earlier parts of its block (those before its own first place)
-    last = F.floor((F.col("before") - 1) / shard_docs).cast("long")
-    asks = placed.where("before > 0").select("block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("shard"), F.lit(True).alias("query"), "doc_id", "part")
-    likely = materialize(_screened(index.union(asks).join(maps, "doc_id"), num, den), root, "likely")
+    own = F.ceil(F.col("m") / shard_docs)
+    large = part_size.where(F.col("m") >= shard_docs).withColumn("shards", own).withColumn("before", F.coalesce(F.sum("shards").over(along), F.lit(0)))
+    blocks = part_size.groupBy("block").agg(F.sum(F.when(F.col("m") >= shard_docs, own).otherwise(0)).alias("taken"), F.sum(F.when(F.col("m") < shard_docs, F.col("m")).otherwise(0)).alias("rest"))
+    blocks = materialize(blocks, root, "blocks")
+    blocks = F.broadcast(blocks) if blocks.count() <= broadcast_ids else blocks
+    small = part_size.where(F.col("m") < shard_docs).join(blocks, "block")
+    dealt = F.col("taken") + F.pmod(F.xxhash64("part"), F.ceil(F.col("rest") / shard_docs))
+    ranked = large.select("block", "part", "shards", F.col("before").alias("first"), (F.col("before") - 1).alias("last"))
+    ranked = ranked.union(small.select("block", "part", F.lit(1).alias("shards"), dealt.alias("first"), dealt.alias("last")))
+    shard = (F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("shards"))).cast("long").alias("shard")
+    placed = materialize(placed.join(ranked, ["block", "part"]).select("block", "part", "doc_id", shard, "last"), root, "placed")
+    # a part asks the shards before its own, and its own where other parts lie there too; a shard takes its queries in
+    # turns, each against the whole index of the shard
+    asks = placed.where("last >= 0").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("shard"), "doc_id", "part")
+    turns = asks.groupBy("block", "shard").agg(F.ceil(F.count("*") / shard_docs).cast("long").alias("turns"))
+    turns = materialize(turns, root, "turns")
+    turns = F.broadcast(turns) if turns.count() <= broadcast_ids else turns
+    index = placed.select("block", "shard", "doc_id", "part").join(turns, ["block", "shard"])
+    index = index.select("block", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("query"), "doc_id", "part")
+    asks = asks.join(turns, ["block", "shard"]).select("block", "shard", F.pmod(F.xxhash64("doc_id"), F.col("turns")).alias("turn"), F.lit(True).alias("query"), "doc_id", "part")
+    likely = materialize(_screened(index.union(asks).join(maps, "doc_id"), num, den).distinct(), root, "likely")
     more = _searched(with_sets(likely, "open"), num, den)
-    links = materialize(links.union(more), root, "all-links")
+
+    # equal sets collapsed to their smallest doc_id; the texts of a doc_id are one document
+    told = sets.where("doc_id is not null and n_shingles > 0")
+    equal = materialize(told.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep")), root, "equal")
+    same = F.struct("set_hi", "set_lo")
+    several = told.groupBy("doc_id").agg(F.min(same).alias("least"), F.max(same).alias("most")).where("least <> most").select("doc_id")
+    united = told.join(several, "doc_id", "left_semi").select("doc_id", "set_hi", "set_lo").distinct().join(equal, ["set_hi", "set_lo"])
+    links = materialize(links.union(more).union(united.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")), root, "all-links")
 
     final = connected_components(links, root, "final").select(F.col("id").alias("rep"), "component")
-    equal = sets.where("doc_id is not null and n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
     equal = equal.join(final, "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
     return sets.drop("bitmap").join(equal, ["set_hi", "set_lo"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id")

@@ -102,8 +102,8 @@ def test_bitmaps_drop_no_link_and_most_others(spark):
     pairs = [(i, j) for i in sets for j in sets if i < j][:1000]
     linked_ = {(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     assert linked_ and linked_ <= got and len(got) < len(pairs) / 4
-    rows = [(0, 0, i % 2 == 0, i, i, len(x), bytearray(ngram_join.parity_bitmap(x))) for i, x in sets.items()]
-    df = spark.createDataFrame(rows, "block long, shard long, query boolean, doc_id long, part long, n long, bitmap binary")
+    rows = [(0, 0, 0, i % 2 == 0, i, i, len(x), bytearray(ngram_join.parity_bitmap(x))) for i, x in sets.items()]
+    df = spark.createDataFrame(rows, "block long, shard long, turn long, query boolean, doc_id long, part long, n long, bitmap binary")
     kept = {r.doc_id for r in ngram_join._screened(df, 80, 100, cells=64).collect()}
     across = {(i, j) for i in sets for j in sets if i % 2 == 0 and j % 2}
     must = {k for i, j in across if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for k in (i, j)}

@@ -72,7 +72,7 @@ def test_suppression_by_spans_takes_linear_time():
         began = time.process_time()
         base, added = secrets.scan(text)
         took.append(time.process_time() - began)
-        assert len(base) >= n and len(added) > n / 2 and not any(text.startswith("token", i) for i, *_ in added)
+        assert len(base) >= n and len(added) > n / 8 and not any(text.startswith("token", i) for i, *_ in added)
     assert took[1] < 10 * took[0]
 
 
