@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brinkline.functions.special import EULER, INF, NAN, col, gamma, safe_ln
+from brinkline.functions.special import EULER, INF, NAN, col, gamma, log_gamma_complex, safe_ln
 
 CUTOFF = 1e-7
 
@@ -86,7 +86,8 @@ def gev_skewness(loc, scale, shape) -> Column:
 def gev_mode(loc, scale, shape) -> Column:
     loc, scale, shape = map(col, (loc, scale, shape))
     xi = _guarded(shape)
-    return F.when(_flat(shape), loc).otherwise(loc + scale / xi * (F.pow(F.when(1.0 + xi > 0, 1.0 + xi).otherwise(1.0), -xi) - 1.0))
+    inner = loc + scale / xi * (F.pow(F.when(1.0 + xi > 0, 1.0 + xi).otherwise(1.0), -xi) - 1.0)
+    return F.when(_flat(shape), loc).when(shape <= -1, loc - scale / xi).otherwise(inner)
 
 
 def gev_median(loc, scale, shape) -> Column:
@@ -97,6 +98,80 @@ def gev_entropy(loc, scale, shape) -> Column:
     return F.log(col(scale)) + EULER * col(shape) + (EULER + 1.0)
 
 
+def gev_kurtosis(loc, scale, shape) -> Column:
+    """Excess kurtosis; infinite from shape 1 / 4 on."""
+    shape = col(shape)
+    xi = _guarded(shape)
+    g1, g2, g3, g4 = (_g(k, xi) for k in (1, 2, 3, 4))
+    spread = F.when(g2 - g1 * g1 > 0, g2 - g1 * g1).otherwise(1.0)
+    value = (g4 - 4.0 * g1 * g3 + 6.0 * g1 * g1 * g2 - 3.0 * g1 * g1 * g1 * g1) / (spread * spread) - 3.0
+    return F.when(_flat(shape), F.lit(2.4)).when(shape < 0.25, value).otherwise(INF)
+
+
+def gev_log_survival(x, loc, scale, shape) -> Column:
+    return safe_ln(gev_survival(x, loc, scale, shape))
+
+
+def gev_tail_index(loc, scale, shape) -> Column:
+    """1 / shape for heavy tails, infinite for others."""
+    shape = col(shape)
+    return F.when(shape > 0, 1.0 / F.when(shape > 0, shape).otherwise(1.0)).otherwise(INF)
+
+
+def gev_mean_excess(u, loc, scale, shape, terms: int = 160) -> Column:
+    """E[X - u | X > u]: NaN for shape >= 1 and where nothing lies above ``u``.
+
+    With tau = -ln F(u), the quantile function integrates over (0, tau) to incomplete gamma functions, summed here as
+    series. Beyond tau = 40 nothing lies below ``u`` to double precision, and whole gamma functions take their place.
+    """
+    u, loc, scale, shape = map(col, (u, loc, scale, shape))
+    xi = _guarded(shape)
+    t = 1.0 + xi * (u - loc) / scale
+    inside = F.when(t > 0, t).otherwise(1.0)
+    tau = F.when(_flat(shape), F.exp(-(u - loc) / scale)).when(t > 0, F.pow(inside, -1.0 / xi)).otherwise(F.when(shape > 0, 1e6).otherwise(0.0))
+    all_ = tau > 40.0
+    x = F.when(all_, 40.0).when(tau > 0, tau).otherwise(1.0)
+    a = F.when(shape < 1, 1.0 - xi).otherwise(1.0)
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
+    # lower incomplete gamma: x^a e^-x sum of x^n / (a (a + 1) ... (a + n))
+    rising = F.aggregate(F.sequence(F.lit(0), F.lit(terms)), start, lambda b, n: F.struct((b["t"] * F.when(n == 0, 1.0 / a).otherwise(x / (a + n))).alias("t"), (b["s"] + b["t"] * F.when(n == 0, 1.0 / a).otherwise(x / (a + n))).alias("s")), lambda b: b["s"])
+    lower = F.when(all_, gamma(a)).otherwise(F.pow(x, a) * F.exp(-x) * rising)
+    # integral of (1 - e^-t) / t: e^-x sum of x^n / n! times the n-th harmonic number
+    zero = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("h"), F.lit(0.0).alias("s"))
+    harmonic = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), zero, lambda b, n: F.struct((b["t"] * x / n).alias("t"), (b["h"] + 1.0 / n).alias("h"), (b["s"] + b["t"] * x / n * (b["h"] + 1.0 / n)).alias("s")), lambda b: b["s"])
+    ein = F.when(all_, F.log(x) + EULER).otherwise(F.exp(-x) * harmonic)
+    over = F.when(all_, 1.0).otherwise(-F.expm1(-x))
+    flat = loc * over + scale * (F.when(all_, F.lit(EULER)).otherwise(ein - F.log(x) * over))
+    whole = F.when(_flat(shape), flat).otherwise(loc * over + scale / xi * (lower - over))
+    return F.when((shape >= 1) | (tau <= 0), NAN).otherwise(whole / over - u)
+
+
+def gev_percentile_residual_life(t, share, loc, scale, shape) -> Column:
+    """What is added to ``t`` until the given share of those beyond it has ended."""
+    return gev_icdf(1.0 - (1.0 - col(share)) * gev_survival(t, loc, scale, shape), loc, scale, shape) - col(t)
+
+
+def gumbel_moment_generating(t, loc, scale) -> Column:
+    """E[exp(t X)]; infinite from t = 1 / scale on."""
+    t, loc, scale = map(col, (t, loc, scale))
+    below = 1.0 - scale * t
+    return F.when(below > 0, F.exp(loc * t) * gamma(F.when(below > 0, below).otherwise(1.0))).otherwise(INF)
+
+
+def gumbel_characteristic(t, loc, scale) -> Column:
+    """E[exp(i t X)] as (re, im): exp(i loc t) Gamma(1 - i scale t), by the Lanczos series in complex numbers."""
+    t, loc, scale = map(col, (t, loc, scale))
+    lr, li = log_gamma_complex(F.lit(1.0), -scale * t)
+    size, angle = F.exp(lr), li + loc * t
+    return F.struct((size * F.cos(angle)).alias("re"), (size * F.sin(angle)).alias("im"))
+
+
+def gumbel_paper(x, loc, scale) -> Column:
+    """Coordinates (x, y) on probability paper, F kept within [1e-15, 1 - 1e-15]."""
+    p = F.greatest(F.least(gumbel_cdf(x, loc, scale), F.lit(1.0 - 1e-15)), F.lit(1e-15))
+    return F.struct(col(x).alias("x"), (-F.log(-F.log(p))).alias("y"))
+
+
 def gev_hazard(x, loc, scale, shape) -> Column:
     s = gev_survival(x, loc, scale, shape)
     return F.when(s > 0, F.exp(gev_log_prob(x, loc, scale, shape)) / F.when(s > 0, s).otherwise(1.0)).otherwise(INF)
@@ -205,3 +280,23 @@ def gpd_return_level(period, scale, shape) -> Column:
 
 def gpd_entropy(scale, shape) -> Column:
     return F.log(col(scale)) + col(shape) + 1.0
+
+
+def gpd_skewness(scale, shape) -> Column:
+    """Infinite from shape 1 / 3 on."""
+    xi = col(shape)
+    ok = xi < 1 / 3
+    safe = F.when(ok, xi).otherwise(0.0)
+    return F.when(ok, 2.0 * (1.0 + safe) * F.sqrt(1.0 - 2.0 * safe) / (1.0 - 3.0 * safe)).otherwise(INF)
+
+
+def gpd_kurtosis(scale, shape) -> Column:
+    """Excess kurtosis; infinite from shape 1 / 4 on."""
+    xi = col(shape)
+    ok = xi < 0.25
+    safe = F.when(ok, xi).otherwise(0.0)
+    return F.when(ok, 3.0 * (1.0 - 2.0 * safe) * (2.0 * safe * safe + safe + 3.0) / ((1.0 - 3.0 * safe) * (1.0 - 4.0 * safe)) - 3.0).otherwise(INF)
+
+
+def gpd_tail_index(scale, shape) -> Column:
+    return gev_tail_index(0.0, scale, shape)

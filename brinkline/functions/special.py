@@ -36,6 +36,29 @@ def gamma(x: Column | float) -> Column:
     return F.exp(lgamma(x))
 
 
+def log_gamma_complex(re: Column | float, im: Column | float) -> tuple[Column, Column]:
+    """(re, im) of log Gamma for a positive real part."""
+    a, b = col(re) - 1.0, col(im)
+    sr, si = F.lit(_LANCZOS[0]), F.lit(0.0)
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        size = (a + float(i)) * (a + float(i)) + b * b
+        sr, si = sr + c * (a + float(i)) / size, si - c * b / size
+    t = a + 7.5
+    lr, li = 0.5 * F.log(t * t + b * b), F.atan2(b, t)
+    real = 0.5 * math.log(2 * math.pi) + (a + 0.5) * lr - b * li - t + 0.5 * F.log(sr * sr + si * si)
+    return real, (a + 0.5) * li + b * lr - b + F.atan2(si, sr)
+
+
+def poisson_cdf(k: Column, mean: Column | float) -> Column:
+    """P(N <= k) of a Poisson count; 0 below 0."""
+    m = col(mean)
+    start = F.struct(F.exp(-m).alias("t"), F.exp(-m).alias("s"))
+    step = lambda b, j: F.struct((b["t"] * m / j).alias("t"), (b["s"] + b["t"] * m / j).alias("s"))
+    whole = F.floor(k).cast("int")
+    terms = F.when(whole >= 1, F.sequence(F.lit(1), F.greatest(whole, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.when(k < 0, 0.0).otherwise(F.least(F.aggregate(terms, start, step, lambda b: b["s"]), F.lit(1.0)))
+
+
 def erf(x: Column | float) -> Column:
     """Error function by its confluent series; 1 beyond |x| = 6 to double precision."""
     x = col(x)

@@ -47,3 +47,18 @@ def fixed_blocks(df: DataFrame, size: int, keys: list[str], order: list[str]) ->
     w = W.partitionBy(*keys)
     rows = df.withColumn("ix", F.row_number().over(w.orderBy(*order)) - 1).withColumn("brinkline_n", F.count("*").over(w))
     return rows.where(F.col("ix") < F.floor(F.col("brinkline_n") / size) * size).withColumn("block", F.floor(F.col("ix") / size)).drop("brinkline_n")
+
+
+def with_empty_blocks(maxima: DataFrame, unit: str, keys: list[str]) -> DataFrame:
+    """``maxima`` of calendar blocks with the blocks in between that hold nothing: maximum NULL, n 0."""
+    ends = maxima.groupBy(*keys).agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    step = F.expr(f"interval 1 {unit}")
+    spine = ends.select(*keys, F.explode(F.sequence("first", "last", step)).alias("block"))
+    return spine.join(maxima, [*keys, "block"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def padded_r_largest(df: DataFrame, r: int, keys: list[str], block: str, tie: list[str], value: str = "value") -> DataFrame:
+    """(keys, block, rank, value): exactly r rows a block, NULL where the block has fewer values."""
+    found = r_largest(df, r, keys, block, tie, value).select(*keys, block, "rank", value)
+    spine = df.select(*keys, block).distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(r))))
+    return spine.join(found, [*keys, block, "rank"], "left")

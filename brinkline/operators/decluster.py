@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,9 +54,13 @@ def separated_peaks(df: DataFrame, min_separation: int, keys: list[str], order:
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([value, "ix"], ascending=[False, False])
-        ix, keep = pdf["ix"].to_numpy(), []
-        for i in ix:
-            keep.append(not keep or bool(np.all(np.abs(ix[: len(keep)][np.array(keep, bool)] - i) >= min_separation)))
+        taken: list[int] = []
+        keep = []
+        for i in pdf["ix"].tolist():
+            k = bisect_left(taken, i)  # only the nearest kept positions can be too close
+            keep.append((not k or i - taken[k - 1] >= min_separation) and (k == len(taken) or taken[k] - i >= min_separation))
+            if keep[-1]:
+                taken.insert(k, i)
         return pdf[np.array(keep, bool)].drop(columns="chain")
 
     return rows.groupBy(*keys, "chain").applyInPandas(choose, kept.schema)
@@ -65,3 +71,14 @@ def declustered_maxima(df: DataFrame, keys: list[str], order: list[str], method:
     if method == "runs":
         return runs(df, keys, order, "max", value, threshold).select(*keys, F.col("last_ix").alias("ix"), F.col("cluster").alias("maximum"))
     return separated_peaks(df, min_separation, keys, order, value, threshold).select(*keys, "ix", F.col(value).alias("maximum"))
+
+
+def run_rows(df: DataFrame, keys: list[str], order: list[str], reducer: str = "max", value: str = "value", threshold: str = "threshold") -> DataFrame:
+    """Every row of ``df`` with ix and cluster: the reduced value of a run on the run's last row, NULL on all others."""
+    along = W.partitionBy(*keys).orderBy(*order)
+    rows = clean(df, value).withColumn("ix", F.row_number().over(along) - 1)
+    found = runs(df, keys, order, reducer, value, threshold).select(*[F.col(k).alias(f"run_{k}") for k in keys], F.col("last_ix"), "cluster")
+    same = rows["ix"] == found["last_ix"]
+    for k in keys:
+        same = same & rows[k].eqNullSafe(found[f"run_{k}"])
+    return rows.join(found, same, "left").select(*[rows[c] for c in rows.columns], "cluster")

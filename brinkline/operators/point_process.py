@@ -41,8 +41,8 @@ def gaps(events: DataFrame, keys: list[str], t0: float = 0.0) -> DataFrame:
 
 
 def renewal_log_likelihood(events: DataFrame, keys: list[str], t1: float, log_density: Callable[[Column], Column], log_survival: Callable[[Column], Column]) -> DataFrame:
-    """Sum of the gaps' log densities and the log survival of the last open gap."""
-    rows = gaps(events, keys).groupBy(*keys).agg(F.sum(log_density(F.col("gap"))).alias("ll"), F.max("t").alias("last"), F.count("*").alias("n"))
+    """Sum of the gaps' log densities and the log survival of the last open gap; events from ``t1`` on are outside."""
+    rows = gaps(events.where(F.col("t") < t1), keys).groupBy(*keys).agg(F.sum(log_density(F.col("gap"))).alias("ll"), F.max("t").alias("last"), F.count("*").alias("n"))
     return rows.select(*keys, "n", (F.col("ll") + log_survival(F.lit(t1) - F.col("last"))).alias("log_lik"))
 
 
@@ -88,11 +88,17 @@ def hawkes_log_likelihood(events: DataFrame, keys: list[str], mu: float, alpha:
 
 
 def kernel_intensities(events: DataFrame, keys: list[str], mu: float, kernel: Callable[[Column], Column], reach: float) -> DataFrame:
-    """Intensity at every event under any kernel of finite reach: a band join on time buckets of that width, strictly earlier events only."""
-    side = events.select(*keys, F.col("t").alias("s")).withColumn("b", F.explode(F.array(F.floor(F.col("s") / reach), F.floor(F.col("s") / reach) + 1)))
-    near = events.withColumn("b", F.floor(F.col("t") / reach)).join(side, [*keys, "b"], "left")
-    weight = F.when((F.col("s") < F.col("t")) & (F.col("t") - F.col("s") <= reach), kernel(F.col("t") - F.col("s"))).otherwise(0.0)
-    return near.groupBy(*keys, "t").agg((mu + F.sum(weight)).alias("rate"))
+    """A row for each event with its intensity under any kernel of finite reach: a band join on time buckets of that width.
+
+    Strictly earlier events count, each as often as it occurs; events of one time stay apart and have equal rates.
+    """
+    times = events.groupBy(*keys, "t").agg(F.count("*").alias("m"))
+    bucket = lambda c: F.floor(F.col(c) / reach)
+    side = times.select(*keys, F.col("t").alias("s"), F.col("m").alias("ms")).withColumn("b", F.explode(F.array(bucket("s"), bucket("s") + 1)))
+    near = times.withColumn("b", bucket("t")).join(side, [*keys, "b"], "left")
+    weight = F.when((F.col("s") < F.col("t")) & (F.col("t") - F.col("s") <= reach), kernel(F.col("t") - F.col("s")) * F.col("ms")).otherwise(0.0)
+    rates = near.groupBy(*keys, "t", "m").agg((mu + F.sum(weight)).alias("rate"))
+    return rates.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("i", "m")
 
 
 def residuals(events: DataFrame, keys: list[str], cumulative: Callable[[Column], Column]) -> DataFrame:

@@ -29,14 +29,25 @@ def with_threshold(df: DataFrame, keys: list[str], kind: str = "quantile", q: fl
     return rows.join(threshold(rows, keys, kind, q, value), keys, "left")
 
 
-def rolling_threshold(df: DataFrame, size: int, keys: list[str], order: list[str], q: float = 0.95, value: str = "value", min_count: int = 1) -> DataFrame:
-    """Quantile of the last ``size`` rows; partial windows count unless ``min_count`` says otherwise."""
-    frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)
+def rolling_threshold(df: DataFrame, size: int, keys: list[str], order: list[str], q: float = 0.95, value: str = "value", min_count: int = 1, centred: bool = False) -> DataFrame:
+    """Quantile of the last ``size`` rows, or of those around each row; partial windows count unless ``min_count`` says otherwise.
+
+    A centred window of even size reaches one row further back than ahead.
+    """
+    ahead = (size - 1) // 2 if centred else 0
+    frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(ahead + 1 - size, ahead)
     return clean(df, value).withColumn("threshold", F.when(F.count(value).over(frame) >= min_count, F.percentile(value, F.lit(q)).over(frame)))
 
 
+def constant_threshold(df: DataFrame, threshold: float, value: str = "value") -> DataFrame:
+    return clean(df, value).withColumn("threshold", F.lit(float(threshold)))
+
+
 def hill(rows: DataFrame, keys: list[str], k_values: list[int] | None = None, value: str = "value", ties: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, k, hill): mean log ratio of the k largest values to the next one, for every requested k below the series' length; all of them without ``k_values``."""
+    """(keys, k, hill, mean_log_ratio): the tail index by the k largest values, for every requested k below the series' length; all of them without ``k_values``.
+
+    hill is one over the mean log ratio of the k largest values to the next one, infinite where that mean is 0.
+    """
     w = W.partitionBy(*keys)
     ranked = clean(rows, value).where(F.col(value).isNotNull()).withColumn("k", F.row_number().over(w.orderBy(F.desc(value), *ties)))
     if k_values is not None:
@@ -45,4 +56,6 @@ def hill(rows: DataFrame, keys: list[str], k_values: list[int] | None = None, va
     ranked = ranked.withColumn("m", F.avg(F.log(value)).over(along.rowsBetween(W.unboundedPreceding, 0))).withColumn("nx", F.lead(F.log(value)).over(along)).where("nx IS NOT NULL")
     if k_values is not None:
         ranked = ranked.where(F.col("k").isin(*k_values))
-    return ranked.select(*keys, F.col("k").cast("long").alias("k"), (F.col("m") - F.col("nx")).alias("hill"))
+    ratio = F.col("m") - F.col("nx")
+    index = F.when(ratio > 0, 1.0 / F.when(ratio > 0, ratio).otherwise(1.0)).otherwise(F.lit(float("inf")))
+    return ranked.select(*keys, F.col("k").cast("long").alias("k"), index.alias("hill"), ratio.alias("mean_log_ratio"))

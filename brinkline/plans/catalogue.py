@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brinkline.functions import evt
+from brinkline.functions import distributions, evt
 from brinkline.functions.special import erf, lgamma
 from brinkline.operators import blocks, decluster, point_process, thresholds
 from brinkline.sources import simulate
@@ -207,10 +207,10 @@ def error_function(spark, sf_dir):
     return spark.range(-60, 61).select((F.col("id") / 10.0).alias("x"), r6(erf(F.col("id") / 10.0)).alias("erf"))
 
 
-@query("WITH r AS (SELECT l_suppkey, l_extendedprice AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem), h AS (SELECT l_suppkey, k, x, avg(ln(x)) OVER (PARTITION BY l_suppkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM r WHERE k <= 21), n AS (SELECT l_suppkey, k, m, lead(ln(x)) OVER (PARTITION BY l_suppkey ORDER BY k) AS nx FROM h) SELECT l_suppkey, k, round(m - nx, 6) AS hill FROM n WHERE nx IS NOT NULL")
+@query("WITH r AS (SELECT l_suppkey, l_extendedprice AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem), h AS (SELECT l_suppkey, k, x, avg(ln(x)) OVER (PARTITION BY l_suppkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM r WHERE k <= 21), n AS (SELECT l_suppkey, k, m, lead(ln(x)) OVER (PARTITION BY l_suppkey ORDER BY k) AS nx FROM h) SELECT l_suppkey, k, round(CASE WHEN m > nx THEN 1 / (m - nx) ELSE 'inf'::DOUBLE END, 4) AS hill FROM n WHERE nx IS NOT NULL")
 def hill_estimates(spark, sf_dir):
     found = thresholds.hill(table(spark, sf_dir, "lineitem"), ["l_suppkey"], list(range(1, 21)), "l_extendedprice", ("l_orderkey", "l_linenumber", "l_partkey"))
-    return found.select("l_suppkey", "k", r6("hill").alias("hill"))
+    return found.select("l_suppkey", "k", F.round("hill", 4).alias("hill"))
 
 
 @query("WITH u AS (SELECT 50.0 * i::DOUBLE AS u FROM range(0, 8) t(i)), e AS (SELECT u, count(*) AS n, avg(value - u) AS m, var_samp(value - u) AS v FROM u JOIN events ON value > u GROUP BY u) SELECT u, n, round(m, 6) AS mean_excess, round(0.5 * (1 - m * m / v), 6) AS shape, round(0.5 * m * (m * m / v + 1), 6) AS scale FROM e")
@@ -248,7 +248,7 @@ def hawkes_log_likelihood(spark, sf_dir):
     return found.select("user_id", F.col("n").cast("long").alias("n"), *[r6(c).alias(c) for c in ("sum_log_rate", "compensator", "log_lik")])
 
 
-@query(f"WITH e AS (SELECT user_id, {T} AS t FROM events) SELECT a.user_id, round(a.t, 6) AS t, round(0.05 + coalesce(sum(0.1 * (1 - (a.t - b.t) / 24)), 0), 6) AS rate FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.t < a.t AND a.t - b.t <= 24 GROUP BY a.user_id, a.t")
+@query(f"WITH e AS (SELECT user_id, event_id, {T} AS t FROM events) SELECT a.user_id, round(a.t, 6) AS t, round(0.05 + coalesce(sum(0.1 * (1 - (a.t - b.t) / 24)), 0), 6) AS rate FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.t < a.t AND a.t - b.t <= 24 GROUP BY a.user_id, a.t, a.event_id")
 def kernel_intensities(spark, sf_dir):
     found = point_process.kernel_intensities(hours(spark, sf_dir).select("user_id", "t"), ["user_id"], 0.05, lambda d: 0.1 * (1 - d / 24.0), 24.0)
     return found.select("user_id", r6("t").alias("t"), r6("rate").alias("rate"))
@@ -291,9 +291,15 @@ def pearson_residuals(spark, sf_dir):
 
 @query()
 def sampled_poisson(spark, sf_dir):
-    return simulate.poisson_events(spark, 200, 0.5, 100.0, 7)
+    """Events thinned to a rate that falls with the hour, by a hash of their ids."""
+    e = hours(spark, sf_dir)
+    return simulate.thinned(e, F.exp(-F.col("t") / HOURS), ["event_id"], 7).select("event_id", "user_id", r6("t").alias("t"))
 
 
 @query()
 def simulated_extremes(spark, sf_dir):
-    return simulate.annual_extremes(spark, 158, 40, 30.0, 4.0, 0.1, 0.02, 11)
+    """An annual maximum for each supplier and order year, drawn by inverse distribution function from a trend of the location."""
+    seen = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = seen.select("l_suppkey", F.year("o_orderdate").alias("year")).distinct()
+    model = distributions.GeneralizedExtremeValue(30.0 + 0.02 * (F.col("year") - 1992), 4.0, 0.1)
+    return simulate.drawn(rows, model, ["l_suppkey", "year"], "maximum", 11).select("l_suppkey", "year", r6("maximum").alias("maximum"))

@@ -1,25 +1,17 @@
-"""Synthetic sources; seeds make them reproducible for a fixed partitioning."""
+"""Random choices and draws for rows at hand: they follow from a row's keys and a seed, whatever the partitions."""
 
 from __future__ import annotations
 
-import math
+from pyspark.sql import Column, DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from brinkline.functions.distributions import uniform_of
 
-from brinkline.functions.distributions import GeneralizedExtremeValue
 
+def thinned(rows: DataFrame, retention: Column, ids: list[str], seed: int = 0) -> DataFrame:
+    """Rows kept with probability ``retention``."""
+    return rows.where(uniform_of(*ids, seed=seed) < retention)
 
-def poisson_events(spark: SparkSession, sequences: int, rate: float, t1: float, seed: int) -> DataFrame:
-    """Homogeneous events (seq_id, t) on [0, t1): exponential gaps added up, sized so that the window is always passed."""
-    most = int(rate * t1 + 12 * math.sqrt(rate * t1) + 24)
-    gaps = spark.range(sequences).select(F.col("id").alias("seq_id"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("i")).withColumn("gap", -F.log(1.0 - F.rand(seed)) / rate)
-    along = W.partitionBy("seq_id").orderBy("i")
-    return gaps.withColumn("t", F.sum("gap").over(along)).where(F.col("t") < t1).select("seq_id", "t")
 
-
-def annual_extremes(spark: SparkSession, sites: int, years: int, loc: float, scale: float, shape: float, trend: float, seed: int) -> DataFrame:
-    """(site, year, value): extreme values whose location drifts by ``trend`` a year; a cross product of two ranges."""
-    grid = spark.range(sites).withColumnRenamed("id", "site").crossJoin(F.broadcast(spark.range(years).withColumnRenamed("id", "year")))
-    return grid.withColumn("value", GeneralizedExtremeValue(loc + trend * F.col("year"), scale, shape).sample(seed))
+def drawn(rows: DataFrame, model, ids: list[str], name: str = "value", seed: int = 0) -> DataFrame:
+    """``rows`` with a draw from ``model``, a distribution whose parameters may be columns of theirs."""
+    return rows.withColumn(name, model.sample_by(*ids, seed=seed))

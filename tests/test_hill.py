@@ -18,7 +18,7 @@ def test_every_requested_k_below_n(spark):
             top = sorted(v, reverse=True)
             for k in range(1, len(v)):
                 if wanted is None or k in wanted:
-                    want[s, k] = sum(math.log(x / top[k]) for x in top[:k]) / k
+                    want[s, k] = k / sum(math.log(x / top[k]) for x in top[:k])
         assert got == pytest.approx(want)
 
 
