@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
 
 
+def give_back() -> None:
+    """Let the allocator return what a worker has freed, so that idle workers don't hold the memory of their largest batch."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a function of the GNU C library
+    if trim:
+        trim(0)
+
+
 def connected_components(edges: DataFrame, root: str, name: str) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b); component is the smallest id reachable.
 

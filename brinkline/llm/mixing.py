@@ -3,9 +3,10 @@
 Labelled rows teach a classifier: naive Bayes over hashed beginnings and endings of words, whose counts come from one
 aggregation. A document's score of a domain is the mean log weight of its features times as many of them as count as
 independent evidence; the posteriors follow. Document rates r >= least_rate are then fitted so that the expected
-tokens of each domain, sum of r * tokens * posterior, meet the targets: projected gradient on least squares weighted
-by the inverse Gram matrix of the posteriors, where a full step is a valid step. A pass returns one number a domain
-to the driver; a document's rate is replayed from the residuals of the passes so far, so nothing is kept per row.
+tokens of each domain, sum of r * tokens * posterior, meet the targets: projected gradient on least squares. A step is
+scaled by the Gram matrix of the posteriors of those rates that may move, and of a few lengths the best is taken; the
+plain step, by the Gram matrix of all, always is a valid one. A pass returns one small matrix to the driver; a
+document's rate is replayed from the steps so far, so nothing is kept per row.
 """
 
 from __future__ import annotations
@@ -88,6 +89,10 @@ def _replayed(steps: list[list[float]], least_rate: float) -> Column:
     )
 
 
+def _dot(name: str, x: np.ndarray) -> Column:
+    return sum((F.col(name)[i] * float(v) for i, v in enumerate(x)), F.lit(0.0))
+
+
 def mix_to_targets(
     docs: DataFrame,
     labelled: DataFrame,
@@ -95,7 +100,7 @@ def mix_to_targets(
     flatten: float = 0.3,
     low_share: float = 0.5,
     least_rate: float = 0.0,
-    passes: int = 40,
+    passes: int = 12,
     evidence: float = 12.0,
     smooth: float = 0.5,
     buckets: int = 8192,
@@ -103,7 +108,7 @@ def mix_to_targets(
     fit_rows: int = 100_000,
     most_domains: int = 64,
 ) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), p (posteriors), rate, copies and residual of every row of ``docs`` (doc_id, text).
+    """doc_id, n_tokens, domain (the likeliest), p (posteriors), rate, copies, residual and settled of every row of ``docs`` (doc_id, text).
 
     ``labelled`` (doc_id, domain) rows teach the classifier: about ``fit_rows`` of them at most, taken by a hash of the
     doc_id; null domains are ignored, of several domains of a doc_id the first in order counts, and more than
@@ -111,9 +116,9 @@ def mix_to_targets(
     without it, domains ending in ``/0`` keep ``low_share`` of their tokens and the others are evened out by the power
     ``flatten``. copies is the rate rounded up or down at random by a hash of doc_id, so that its expectation is the
     rate. residual, the same in all rows, is the distance of the expected tokens from the goal as a share of the goal.
-    It is at most ``tolerance`` unless ``least_rate`` or zero keeps rates from meeting the goal: then the passes go on
-    until they change no domain by more than a hundredth of ``tolerance``. If ``passes`` do not suffice, an error is
-    raised. Null and empty texts have no tokens and the prior's posteriors; without labelled rows rate and copies are
+    It is at most ``tolerance`` unless ``least_rate`` or zero keeps rates from meeting the goal: then steps go on until
+    none changes the totals by more than ``tolerance`` of the goal. settled tells whether ``passes`` steps sufficed for
+    either. Null and empty texts have no tokens and the prior's posteriors; without labelled rows rate and copies are
     1 and domain, p and residual null. Repeated rows are rated alike; extra columns are ignored; an empty table gives
     an empty result.
     """
@@ -127,7 +132,7 @@ def mix_to_targets(
     names = model[0]
     if not names:
         none = rows.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"))
-        return none.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), F.lit(None).cast("double").alias("residual"))
+        return none.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), F.lit(None).cast("double").alias("residual"), F.lit(True).alias("settled"))
     soft = materialize(posteriors(rows, model, buckets, evidence), root, "soft")
     d = len(names)
     mass = F.col("m") * F.col("n_tokens")
@@ -143,18 +148,35 @@ def mix_to_targets(
         goal = np.where(low, low_share * now, now * (most / np.maximum(now, 1e-9)) ** flatten)
     inverse, scale = np.linalg.pinv(gram, rcond=1e-8, hermitian=True), max(1.0, float(goal.sum()))
     steps: list[list[float]] = []
-    expected, before = now * max(1.0, least_rate), None
-    while np.abs(expected - goal).sum() > tolerance * scale and (before is None or np.abs(expected - before).sum() > 0.01 * tolerance * scale):
-        if len(steps) == passes:
-            raise RuntimeError(f"{passes} passes leave {np.abs(expected - goal).sum() / scale:.2g} of the goal unmet and still change the totals")
-        steps.append((inverse @ (expected - goal)).tolist())
+    expected = now * max(1.0, least_rate)
+    off = lambda e: float((e - goal) @ inverse @ (e - goal))
+    settled = False
+    while len(steps) < passes:
         rated = soft.select(mass.alias("mass"), "p", _replayed(steps, least_rate).alias("r"))
-        row = rated.agg(*[F.sum(F.col("r") * F.col("mass") * F.col("p")[i]).alias(f"e{i}") for i in range(d)]).first()
-        before, expected = expected, np.array([row[f"e{i}"] or 0.0 for i in range(d)])
+        # rates that may move: those above the bound, and those that the gradient raises
+        slope = _dot("p", inverse @ (expected - goal))
+        free = rated.where((F.col("r") > least_rate) | (slope < 0))
+        row = free.agg(*[F.sum(F.col("mass") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]).first()
+        loose = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
+        scaled = np.linalg.pinv(loose @ inverse @ loose, rcond=1e-10, hermitian=True) @ (loose @ inverse @ (expected - goal))
+        plain = inverse @ (expected - goal)
+        tried = [t * scaled for t in (1.0, 0.5, 0.25, 0.1)] + [plain]
+        moved = [F.greatest(F.lit(float(least_rate)), F.col("r") - _dot("p", x)) for x in tried]
+        row = rated.agg(*[F.sum(m * F.col("mass") * F.col("p")[i]).alias(f"e{k}_{i}") for k, m in enumerate(moved) for i in range(d)]).first()
+        ends = [np.array([row[f"e{k}_{i}"] or 0.0 for i in range(d)]) for k in range(len(tried))]
+        k = min(range(len(tried)), key=lambda k: off(ends[k]))
+        settled = off(ends[k]) >= off(expected) or np.abs(ends[k] - expected).sum() <= tolerance * scale
+        if settled:
+            break
+        steps.append(tried[k].tolist())
+        expected = ends[k]
+        settled = np.abs(expected - goal).sum() <= tolerance * scale
+        if settled:
+            break
     best = F.array_position("p", F.array_max("p"))
     copies = F.floor(F.col("rate") + F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)).cast("int")
     rated = soft.select("doc_id", "n_tokens", F.element_at(F.array(*[F.lit(n) for n in names]), best.cast("int")).alias("domain"), "p", _replayed(steps, least_rate).alias("rate"), "m")
-    rated = rated.withColumn("copies", copies).withColumn("residual", F.lit(float(np.abs(expected - goal).sum() / scale)))
+    rated = rated.withColumn("copies", copies).withColumn("residual", F.lit(float(np.abs(expected - goal).sum() / scale))).withColumn("settled", F.lit(bool(settled)))
     return rated.withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m")
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from brinkline.llm.common import connected_components
+from brinkline.llm.common import connected_components, give_back
 from brinkline.plans.shared import materialize, shared_root
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -239,6 +239,7 @@ def _set_batches(width: int):
                     maps.append(parity_bitmap(x))
                 cols = [ids.slice(at, 1000), *(pa.array(v, pa.int64()) for v in (n, hi, lo)), pa.array(maps, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_hi", "set_lo", "bitmap"])
+        give_back()
 
     return run
 
@@ -261,6 +262,7 @@ def _signature_batches(width: int, scheme: Scheme, frequent):
                 ends = pa.array(ends, pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(v))) for v in (sigs, keys)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *lists], names=["doc_id", "signatures", "keys"])
+        give_back()
 
     return run
 

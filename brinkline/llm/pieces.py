@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brinkline.llm.common import give_back
+
 MARK = "▁"
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x100000001B3)
@@ -409,7 +411,7 @@ def _ids(lattice: Lattice, path: np.ndarray, tails: dict[int, list[int]]) -> np.
     return np.concatenate([*parts, ids[at:]]).astype(np.int32)
 
 
-def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 17, batch_chars: int = 2_000_000) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 17, batch_chars: int = 1_500_000) -> DataFrame:
     """A row for each sample of each row of ``docs`` (doc_id, text): doc_id, sample_rank, ids, log_prob, perturbed, inclusion, decoded.
 
     ids holds the piece numbers as packed 32-bit little-endian integers (``unpack``); decoded tells whether decoding
@@ -442,6 +444,8 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int
                         rows.append((i, rank, path.tobytes(), logp, score, inclusion, decoded))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(7)], schema=schema)
                 at += n
+                del rows, texts
+                give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, sample_rank int, ids binary, log_prob double, perturbed double, inclusion double, decoded boolean")

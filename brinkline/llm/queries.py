@@ -68,7 +68,7 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.mix_to_targets(table(spark, sf_dir, "documents").select("doc_id", "text"), labelled_domains(spark, sf_dir))
-    return rates.select("doc_id", "n_tokens", "domain", F.array_max("p").alias("p_domain"), "rate", "copies", "residual")
+    return rates.select("doc_id", "n_tokens", "domain", F.array_max("p").alias("p_domain"), "rate", "copies", "residual", "settled")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

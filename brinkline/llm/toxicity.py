@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinkline.llm.common import extended, without
+from brinkline.llm.common import extended, give_back, without
 
 # Letters of the model, and what a symbol may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -86,7 +86,7 @@ def log_model(counts: np.ndarray, backoff: float = 2.0) -> np.ndarray:
 class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.decoded = lru_cache(200_000)(self._decode)
+        self.decoded = lru_cache(50_000)(self._decode)
 
     def _options(self, span: str) -> list[list[tuple[str, float]]]:
         """For each position of the lattice the strings that it may stand for, with costs."""
@@ -311,5 +311,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", fit_rows:
                 [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(restored, pa.int32())],
                 names=[*batch.schema.names, "score", "predicted", "n_restored"],
             )
+        give_back()
 
     return kept.mapInArrow(score, extended(kept.schema, score=T.DoubleType(), predicted=T.IntegerType(), n_restored=T.IntegerType()))

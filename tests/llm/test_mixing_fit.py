@@ -43,7 +43,7 @@ def brute(p, tokens, goal, least, steps=20_000):
 def test_rates_reach_what_plain_least_squares_reaches(corpus, least, targets):
     docs, rows = corpus
     known = docs.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("domain"))
-    got = mixing.mix_to_targets(docs, known, targets=targets, least_rate=least, passes=400, evidence=2.0).collect()
+    got = mixing.mix_to_targets(docs, known, targets=targets, least_rate=least, evidence=2.0, passes=60, tolerance=1e-6).collect()
     assert len(got) == len(rows) and min(r.rate for r in got) >= least
     p, tokens = np.array([r.p for r in got]), np.array([r.n_tokens for r in got], float)
     names = sorted(targets)
@@ -51,19 +51,18 @@ def test_rates_reach_what_plain_least_squares_reaches(corpus, least, targets):
     want, best = brute(p, tokens, goal, least)
     reached = np.array([r.rate * r.n_tokens for r in got]) @ p
     inverse = np.linalg.pinv((p * tokens[:, None]).T @ p, rcond=1e-8, hermitian=True)
-    assert (reached - goal) @ inverse @ (reached - goal) <= want + 1e-3 * tokens.sum()
+    assert (reached - goal) @ inverse @ (reached - goal) <= want + 1e-3 * tokens.sum() and got[0].settled
     assert np.abs(reached - best).sum() < 0.01 * tokens.sum()
     assert got[0].residual == pytest.approx(np.abs(reached - goal).sum() / goal.sum(), abs=1e-9)
     same = {r.rate for r in got if r.doc_id == 7}
     assert len(same) == 1 and sum(r.doc_id == 7 for r in got) == 2
 
 
-def test_partitions_do_not_matter_and_too_few_passes_raise(corpus):
+def test_partitions_do_not_matter_and_too_few_passes_are_told(corpus):
     docs, _ = corpus
     known = docs.select("doc_id", F.col("lang").alias("domain"))
     runs = [sorted((r.doc_id or -1, round(r.rate, 9), r.copies) for r in mixing.mix_to_targets(docs.repartition(n), known).collect()) for n in (1, 7)]
     assert runs[0] == runs[1]
-    with pytest.raises(RuntimeError):
-        mixing.mix_to_targets(docs, known, targets={"en": 0.1, "de": 8, "fr": 1}, least_rate=0.5, evidence=2.0, passes=1)
+    assert not mixing.mix_to_targets(docs, known, targets={"en": 0.1, "de": 8, "fr": 1}, least_rate=0.5, evidence=2.0, passes=1).first().settled
     with pytest.raises(ValueError):
         mixing.mix_to_targets(docs, known, most_domains=2)
