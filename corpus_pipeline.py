@@ -1,6 +1,10 @@
 """Corpus pipeline: toxicity, near-duplicates, PII, mixing and piece sampling over ``documents``.
 
-Each stage works on all that its predecessor kept. All but the last return the columns of ``documents``.
+Each stage works on all that its predecessor kept. All but the last return the columns of ``documents``, extra ones
+too. Null and empty texts stay: they are not toxic, are no copies, and have no entities and no pieces. Rows with a null
+doc_id stay. Rows that repeat a doc_id are judged each by its own text by the first and the third stage; the second
+takes the texts of a doc_id as one document, so that its rows stay or go together; the fourth repeats them alike. An
+empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -21,13 +25,13 @@ BROADCAST_IDS = 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; trained on all labelled rows."""
+    """Documents that score below one half; trained on labelled rows that are still there. Without toxic labels all stay."""
     scored = toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return scored.where("predicted = 0").select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a Jaccard similarity of 0.8 over five-word shingles the smallest doc_id stays."""
+    """Of documents linked at a Jaccard similarity of 0.8 over five-word shingles those of the smallest doc_id stay, repeated rows too."""
     found = ngram_jaccard_join(docs.select("doc_id", "text"), width=5, num=80, den=100)
     gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), shared_root(spark), "gone")
     small = gone.count() <= BROADCAST_IDS
@@ -41,7 +45,7 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Languages evened out: documents are repeated by their rates, which are one at least, so none goes."""
+    """Languages evened out: documents are repeated by their rates, which are one at least, so none goes. Without labels each occurs as before."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     labelled = docs.select("doc_id", "lang").join(labels, "doc_id").select("doc_id", F.concat_ws("/", "lang", "quality").alias("domain"))
     rates = mix_to_targets(docs.select("doc_id", "text"), labelled, low_share=1.0, least_rate=1.0)
@@ -49,8 +53,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One sampled segmentation of each document, as packed piece numbers."""
-    return sample_segmentations(docs.select("doc_id", "text"), PIECE_MODEL, k=1)
+    """Two different sampled segmentations of each document (one where there is no other), as packed piece numbers."""
+    return sample_segmentations(docs.select("doc_id", "text"), PIECE_MODEL, k=2)
 
 
 STAGES = [
