@@ -462,7 +462,8 @@ def ngram_jaccard_join(
 
     # hubs query the documents that may reach them, dealt into shards so that no hub's group lands in one task
     shards = pairs.select(F.col("hub").alias("block"), "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("r"))
-    sizes = pairs.groupBy(F.col("hub").alias("block")).agg(F.count("*").alias("m"))
+    sizes = materialize(pairs.groupBy(F.col("hub").alias("block")).agg(F.count("*").alias("m")), root, "hub-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= broadcast_ids else sizes
     shards = shards.join(sizes, "block").withColumn("shard", (F.col("r") % F.ceil(F.col("m") / shard_docs)).cast("long"))
     once = F.lit(0).cast("long").alias("turn")
     members = shards.select("block", "shard", once, F.lit(False).alias("query"), "doc_id", F.lit(0).cast("long").alias("part"))
