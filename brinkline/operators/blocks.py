@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brinkline.operators.positions import CHUNK_ROWS, numbered, own_rows, same_keys, segments
+
 
 def clean(df: DataFrame, value: str = "value") -> DataFrame:
     """NaN to NULL, once: Spark orders NaN above every number."""
@@ -18,13 +20,12 @@ def temporal_block_maxima(df: DataFrame, unit: str, keys: list[str], time: str =
     return blocks.select(*keys, "block", F.when(F.col("n") >= min_count, F.col("m")).alias("maximum"), "n")
 
 
-def sliding_block_maxima(df: DataFrame, size: int, keys: list[str], order: list[str], value: str = "value", stride: int = 1, min_count: int | None = None) -> DataFrame:
+def sliding_block_maxima(df: DataFrame, size: int, keys: list[str], order: list[str], value: str = "value", stride: int = 1, min_count: int | None = None, chunk_rows: int = CHUNK_ROWS, segment_rows: int = CHUNK_ROWS) -> DataFrame:
     """Maximum of the last ``size`` rows at every ``stride``-th row; NULL until ``min_count`` (default: size) values are there."""
-    along = W.partitionBy(*keys).orderBy(*order)
-    frame = along.rowsBetween(1 - size, 0)
-    rows = clean(df, value).withColumn("ix", F.row_number().over(along) - 1)
+    frame = W.partitionBy(*keys, "brinkline_segment").orderBy("ix").rowsBetween(1 - size, 0)
+    rows = segments(numbered(clean(df, value), keys, order, chunk_rows=chunk_rows), size - 1, 0, length=segment_rows)
     rows = rows.withColumn("maximum", F.when(F.count(value).over(frame) >= (size if min_count is None else min_count), F.max(value).over(frame)))
-    return rows.where(F.col("ix") % stride == 0)
+    return own_rows(rows.where(F.col("ix") % stride == 0))
 
 
 def tile_maxima(df: DataFrame, sizes: dict[str, int], extents: dict[str, int], keys: list[str], value: str = "value") -> DataFrame:
@@ -42,11 +43,12 @@ def r_largest(df: DataFrame, r: int, keys: list[str], block: str, tie: list[str]
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= r)
 
 
-def fixed_blocks(df: DataFrame, size: int, keys: list[str], order: list[str]) -> DataFrame:
+def fixed_blocks(df: DataFrame, size: int, keys: list[str], order: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Numbers blocks of ``size`` rows along ``order`` and trims the incomplete tail."""
-    w = W.partitionBy(*keys)
-    rows = df.withColumn("ix", F.row_number().over(w.orderBy(*order)) - 1).withColumn("brinkline_n", F.count("*").over(w))
-    return rows.where(F.col("ix") < F.floor(F.col("brinkline_n") / size) * size).withColumn("block", F.floor(F.col("ix") / size)).drop("brinkline_n")
+    rows = numbered(df, keys, order, chunk_rows=chunk_rows).withColumn("block", F.floor(F.col("ix") / size))
+    lengths = df.groupBy(*[F.col(k).alias(f"brinkline_key_{k}") for k in keys]).agg(F.count("*").alias("brinkline_n"))
+    joined = rows.join(lengths, same_keys(rows, lengths, {k: f"brinkline_key_{k}" for k in keys}))
+    return joined.where((F.col("block") + 1) * size <= F.col("brinkline_n")).select(*[rows[c] for c in rows.columns])
 
 
 def with_empty_blocks(maxima: DataFrame, unit: str, keys: list[str]) -> DataFrame:

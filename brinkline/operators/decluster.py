@@ -11,46 +11,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinkline.operators.blocks import clean
+from brinkline.operators.positions import CHUNK_ROWS, numbered, own_rows, running_sums, segments
 
 _REDUCERS = {"max": F.max, "mean": F.avg, "sum": F.sum, "min": F.min}
 
 
-def runs(df: DataFrame, keys: list[str], order: list[str], reducer: str = "max", value: str = "value", threshold: str = "threshold") -> DataFrame:
+def runs(df: DataFrame, keys: list[str], order: list[str], reducer: str = "max", value: str = "value", threshold: str = "threshold", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row a run of consecutive exceedances (strictly above): keys, last_ix, n, cluster (the reduced value)."""
-    along = W.partitionBy(*keys).orderBy(*order)
-    rows = clean(df, value).withColumn("ix", F.row_number().over(along) - 1).where(F.col(value) > F.col(threshold))
+    above = F.col(value) > F.col(threshold)
+    rows = clean(df, value).select(*keys, *[c for c in order if c not in keys], *[c for c in (value, threshold) if c not in [*keys, *order]])
+    rows = running_sums(rows, keys, order, {"brinkline_row": F.lit(1), "brinkline_rank": above.cast("long")}, chunk_rows).where(above)
     # consecutive exceedances share the difference of position and rank
-    rows = rows.withColumn("run", F.col("ix") - F.row_number().over(W.partitionBy(*keys).orderBy("ix")))
-    return rows.groupBy(*keys, "run").agg(F.max("ix").alias("last_ix"), F.count("*").alias("n"), _REDUCERS[reducer](value).alias("cluster")).drop("run")
+    rows = rows.withColumn("brinkline_run", F.col("brinkline_row") - F.col("brinkline_rank"))
+    return rows.groupBy(*keys, "brinkline_run").agg((F.max("brinkline_row") - 1).alias("last_ix"), F.count("*").alias("n"), _REDUCERS[reducer](value).alias("cluster")).drop("brinkline_run")
 
 
-def extremal_index(df: DataFrame, keys: list[str], order: list[str], value: str = "value", threshold: str = "threshold") -> DataFrame:
+def extremal_index(df: DataFrame, keys: list[str], order: list[str], value: str = "value", threshold: str = "threshold", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Runs over exceedances of each key; NULL where nothing exceeds."""
-    found = runs(df, keys, order, "max", value, threshold).groupBy(*keys).agg(F.sum("n").alias("exceedances"), F.count("*").alias("runs"))
+    found = runs(df, keys, order, "max", value, threshold, chunk_rows).groupBy(*keys).agg(F.sum("n").alias("exceedances"), F.count("*").alias("runs"))
     every = df.select(*keys).distinct()
     return every.join(found, keys, "left").select(*keys, F.coalesce("exceedances", F.lit(0)).alias("exceedances"), F.coalesce("runs", F.lit(0)).alias("runs"), (F.col("runs") / F.col("exceedances")).alias("theta"))
 
 
-def peaks(df: DataFrame, keys: list[str], order: list[str], value: str = "value", threshold: str = "threshold") -> DataFrame:
+def peaks(df: DataFrame, keys: list[str], order: list[str], value: str = "value", threshold: str = "threshold", chunk_rows: int = CHUNK_ROWS, segment_rows: int = CHUNK_ROWS) -> DataFrame:
     """Exceedances strictly above both neighbours; a missing neighbour is no constraint."""
-    along = W.partitionBy(*keys).orderBy(*order)
-    rows = clean(df, value).withColumn("ix", F.row_number().over(along) - 1)
+    along = W.partitionBy(*keys, "brinkline_segment").orderBy("ix")
+    rows = segments(numbered(clean(df, value), keys, order, chunk_rows=chunk_rows), 1, 1, length=segment_rows)
     rows = rows.withColumn("before", F.lag(value).over(along)).withColumn("after", F.lead(value).over(along))
     above = lambda n: F.col(n).isNull() | (F.col(value) > F.col(n))
-    return rows.where((F.col(value) > F.col(threshold)) & above("before") & above("after")).drop("before", "after")
+    return own_rows(rows.where((F.col(value) > F.col(threshold)) & above("before") & above("after")), "before", "after")
 
 
-def separated_peaks(df: DataFrame, min_separation: int, keys: list[str], order: list[str], value: str = "value", threshold: str = "threshold") -> DataFrame:
+def separated_peaks(df: DataFrame, min_separation: int, keys: list[str], order: list[str], value: str = "value", threshold: str = "threshold", chunk_rows: int = CHUNK_ROWS, segment_rows: int = CHUNK_ROWS) -> DataFrame:
     """Peaks kept greedily by height, at least ``min_separation`` positions apart; of equal ones the later goes first.
 
     The greedy choice only looks ``min_separation`` positions away, so a key's peaks are cut into independent chains
     where the gap to the next peak is that wide; a chain, not a key, is what a task holds.
     """
-    rows = peaks(df, keys, order, value, threshold)
-    along = W.partitionBy(*keys).orderBy("ix")
-    rows = rows.withColumn("gap", F.coalesce((F.col("ix") - F.lag("ix").over(along) >= min_separation).cast("int"), F.lit(0)))
-    rows = rows.withColumn("chain", F.sum("gap").over(along)).drop("gap")
-    kept = rows.drop("chain")
+    kept = peaks(df, keys, order, value, threshold, chunk_rows, segment_rows)
+    along = W.partitionBy(*keys, "brinkline_segment").orderBy("ix")
+    # a peak that sees none within min_separation positions before it begins a chain
+    far = F.coalesce(F.col("ix") - F.lag("ix").over(along) >= min_separation, F.lit(True))
+    rows = own_rows(segments(kept, min_separation, 0, length=segment_rows).withColumn("begins", far))
+    rows = running_sums(rows, keys, ["ix"], {"chain": F.col("begins").cast("long")}, chunk_rows).drop("begins")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([value, "ix"], ascending=[False, False])
@@ -73,11 +76,10 @@ def declustered_maxima(df: DataFrame, keys: list[str], order: list[str], method:
     return separated_peaks(df, min_separation, keys, order, value, threshold).select(*keys, "ix", F.col(value).alias("maximum"))
 
 
-def run_rows(df: DataFrame, keys: list[str], order: list[str], reducer: str = "max", value: str = "value", threshold: str = "threshold") -> DataFrame:
+def run_rows(df: DataFrame, keys: list[str], order: list[str], reducer: str = "max", value: str = "value", threshold: str = "threshold", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Every row of ``df`` with ix and cluster: the reduced value of a run on the run's last row, NULL on all others."""
-    along = W.partitionBy(*keys).orderBy(*order)
-    rows = clean(df, value).withColumn("ix", F.row_number().over(along) - 1)
-    found = runs(df, keys, order, reducer, value, threshold).select(*[F.col(k).alias(f"run_{k}") for k in keys], F.col("last_ix"), "cluster")
+    rows = numbered(clean(df, value), keys, order, chunk_rows=chunk_rows)
+    found = runs(df, keys, order, reducer, value, threshold, chunk_rows).select(*[F.col(k).alias(f"run_{k}") for k in keys], F.col("last_ix"), "cluster")
     same = rows["ix"] == found["last_ix"]
     for k in keys:
         same = same & rows[k].eqNullSafe(found[f"run_{k}"])
