@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from brinkline.operators.blocks import clean
 from brinkline.operators.positions import CHUNK_ROWS, numbered, own_rows, running_sums, segments
+from brinkline.plans.shared import materialize, shared_root
 
 _REDUCERS = {"max": F.max, "mean": F.avg, "sum": F.sum, "min": F.min}
 
@@ -46,14 +47,16 @@ def separated_peaks(df: DataFrame, min_separation: int, keys: list[str], order:
     """Peaks kept greedily by height, at least ``min_separation`` positions apart; of equal ones the later goes first.
 
     The greedy choice only looks ``min_separation`` positions away, so a key's peaks are cut into independent chains
-    where the gap to the next peak is that wide; a chain, not a key, is what a task holds.
+    where the gap to the next peak is that wide; 64 neighbouring chains, not a key, are what a call holds.
     """
-    kept = peaks(df, keys, order, value, threshold, chunk_rows, segment_rows)
+    # written once: few rows, which are counted, numbered and cut behind the windows that found them
+    kept = materialize(peaks(df, keys, order, value, threshold, chunk_rows, segment_rows), shared_root(df.sparkSession), "peaks")
     along = W.partitionBy(*keys, "brinkline_segment").orderBy("ix")
     # a peak that sees none within min_separation positions before it begins a chain
     far = F.coalesce(F.col("ix") - F.lag("ix").over(along) >= min_separation, F.lit(True))
     rows = own_rows(segments(kept, min_separation, 0, length=segment_rows).withColumn("begins", far))
     rows = running_sums(rows, keys, ["ix"], {"chain": F.col("begins").cast("long")}, chunk_rows).drop("begins")
+    rows = rows.withColumn("chain", F.floor(F.col("chain") / 64))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([value, "ix"], ascending=[False, False])
