@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinkline.llm import chat, mixing, quality, tiff, warc
+from brinkline.llm import chat, merkle, mixing, quality, tiff, warc
 from brinkline.llm import secrets as secret_spans
 from brinkline.llm.common import table
 from brinkline.llm.ngram_join import ngram_jaccard_join
@@ -76,6 +77,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_entropy")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of whole rows by language; tampering lower-cases the letters A-Z of the texts of every third document."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = merkle.field_digest(*fields, F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = merkle.merkle_manifest(docs, "lang", "doc_id", merkle.field_digest(*fields, F.col("text")), F.when(hit, tampered))
+    return found.drop("lang")
+
+
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents
@@ -105,6 +116,55 @@ WITH c AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars, escaped FROM g
 """
 
+def crc32_sql(byte_list: str) -> str:
+    """DuckDB's unsigned CRC-32 of a list of bytes."""
+    step = "list_reduce([xor(c, b)] || range(8)::UBIGINT[], lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))"
+    return f"xor(list_reduce([4294967295::UBIGINT] || {byte_list}, lambda c, b: {step}), 4294967295::UBIGINT)"
+
+
+def tree_sql(nodes: str, walks: str, tree: str, prefix: str, levels: int = 8) -> str:
+    """DuckDB CTEs of digest trees over ``nodes`` (the tree's column, ix, digest), up to 8 to the power of ``levels`` a tree.
+
+    ``prefix``_top has each tree's last node; ``prefix``_walk takes ``walks`` (rid, the tree's column, place, proof, now)
+    to the top: their siblings are appended to ``proof``, and ``now`` is folded with them.
+    """
+    ctes = [f"{prefix}0 AS (SELECT {tree}, ix, digest FROM {nodes})", f"{prefix}w0 AS (SELECT rid, {tree}, place, proof, now FROM {walks})"]
+    before, behind = "array_to_string(r.parts[1:w.place % 8], '')", "array_to_string(r.parts[w.place % 8 + 2:], '')"
+    for k in range(levels):
+        same = f"IS NOT DISTINCT FROM x.{tree}"
+        ctes += [
+            f"{prefix}n{k} AS (SELECT {tree}, count(*) AS n FROM {prefix}{k} GROUP BY ALL)",
+            f"{prefix}r{k} AS (SELECT x.{tree}, x.ix // 8 AS run, list(x.digest ORDER BY x.ix) AS parts, any_value(n.n) AS n FROM {prefix}{k} x JOIN {prefix}n{k} n ON n.{tree} {same} GROUP BY ALL)",
+            f"{prefix}{k + 1} AS (SELECT {tree}, run AS ix, CASE WHEN n > 1 THEN sha256(array_to_string(parts, '')) ELSE parts[1] END AS digest FROM {prefix}r{k})",
+            f"{prefix}w{k + 1} AS (SELECT w.rid, w.{tree}, w.place // 8 AS place, CASE WHEN r.n > 1 THEN w.proof || {before} || {behind} ELSE w.proof END AS proof, "
+            f"CASE WHEN r.n > 1 THEN sha256({before} || w.now || {behind}) ELSE w.now END AS now "
+            f"FROM {prefix}w{k} w JOIN {prefix}r{k} r ON r.{tree} IS NOT DISTINCT FROM w.{tree} AND r.run = w.place // 8)",
+        ]
+    return ", ".join([*ctes, f"{prefix}_top AS (SELECT * FROM {prefix}{levels})", f"{prefix}_walk AS (SELECT * FROM {prefix}w{levels})"])
+
+
+def _field_sql(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
+_OP12_FIELDS = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR")
+_ID_CRC = crc32_sql("list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::UBIGINT)")
+OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, lang, {_field_sql(*_OP12_FIELDS, "text")} AS digest, {_ID_CRC} % 3 = 0 AS hit,
+    {_field_sql(*_OP12_FIELDS, "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS changed FROM documents
+), l AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, digest, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS ix,
+    CASE WHEN hit THEN changed ELSE digest END AS now FROM d
+), aw AS (SELECT rid, lang, ix AS place, '' AS proof, now FROM l),
+{tree_sql("l", "aw", "lang", "a")},
+s AS (SELECT 0 AS one, lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS ix FROM a_top),
+bw AS (SELECT w.rid, 0 AS one, s.ix AS place, w.proof, w.now FROM a_walk w JOIN s ON s.lang IS NOT DISTINCT FROM w.lang),
+{tree_sql("s", "bw", "one", "b")}
+SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, t.digest AS root, sha256(w.proof) AS proof_sha256, w.now AS folded_root, w.now = t.digest AS verified
+FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN b_walk w ON w.rid = l.rid JOIN b_top t ON t.one = w.one
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -116,8 +176,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
+    "op12_merkle": op12_merkle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": OP3_SQL,
     "op7_chat": OP7_SQL,
+    "op12_merkle": OP12_SQL,
 }
