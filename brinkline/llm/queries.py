@@ -12,10 +12,12 @@ from brinkline.llm import chat, merkle, mixing, quality, tiff, warc
 from brinkline.llm import secrets as secret_spans
 from brinkline.llm.common import table
 from brinkline.llm.ngram_join import ngram_jaccard_join
+from brinkline.llm.packing import pack_mixture
 from brinkline.llm.pieces import sample_segmentations
 from brinkline.llm.pii import surrogate_pii
 from brinkline.llm.toxicity import toxicity
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WARC_ROLL = 1 << 20
 PII_KEY = b"brinkline production key 1"
@@ -87,6 +89,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("lang")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of 1024 tokens in the proportions that the sources have of all tokens."""
+    pieces = pack_mixture(table(spark, sf_dir, "documents"), TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents
@@ -177,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
     "op12_merkle": op12_merkle,
+    "op13_packing": op13_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": OP3_SQL,
