@@ -15,6 +15,7 @@ from brinkline.llm.ngram_join import ngram_jaccard_join
 from brinkline.llm.packing import pack_mixture
 from brinkline.llm.pieces import sample_segmentations
 from brinkline.llm.pii import surrogate_pii
+from brinkline.llm.spelling import spelling_variants
 from brinkline.llm.toxicity import toxicity
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -79,6 +80,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_entropy")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of whole rows by language; tampering lower-cases the letters A-Z of the texts of every third document."""
     docs = table(spark, sf_dir, "documents")
@@ -155,6 +160,26 @@ def _field_sql(*values: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
 
 
+_RUN_BYTES = "flatten(list_transform(range(1, length(run) + 1), lambda i: CASE WHEN ord(run[i]) < 128 THEN [ord(run[i])] ELSE [192 + ord(run[i]) // 64, 128 + ord(run[i]) % 64] END))::UBIGINT[]"
+_DIGITS = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i]))::UBIGINT[]"
+OP11_SQL = rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), c AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, n, {crc32_sql(f"coalesce({_DIGITS}, []::UBIGINT[]) || [58::UBIGINT] || {_RUN_BYTES}")} AS h FROM c),
+o AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w),
+e AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS v FROM d),
+p AS (
+  SELECT a.word, b.word AS near FROM e a JOIN e b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+  UNION SELECT e.word, w.word FROM e JOIN w ON e.v = w.word UNION SELECT w.word, e.word FROM e JOIN w ON e.v = w.word
+), g AS (SELECT p.word, count(*) AS n_near, arg_min(near, (-b.n, near)) AS near, max(b.n) AS near_n FROM p JOIN w b ON b.word = p.near GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN g ON g.word = w.word),
+s(word, last) AS (SELECT word, word FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, s.last AS root FROM f JOIN s ON s.word = f.word JOIN f t ON t.word = s.last AND t.form IS NULL
+"""
+
 _OP12_FIELDS = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR")
 _ID_CRC = crc32_sql("list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::UBIGINT)")
 OP12_SQL = f"""
@@ -184,11 +209,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
+    "op11_spelling": op11_spelling,
     "op12_merkle": op12_merkle,
     "op13_packing": op13_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": OP3_SQL,
     "op7_chat": OP7_SQL,
+    "op11_spelling": OP11_SQL,
     "op12_merkle": OP12_SQL,
 }
