@@ -7,8 +7,10 @@ a surname behind it; within the document their other mentions, whole or in part,
 Digits stay digits, letters keep their script and case, listed given names come from a list of the same script and
 gender, other parts of names keep their pattern of vowels and consonants, card numbers keep their Luhn state,
 addresses stay public. A surrogate that equals an entity found anywhere in the corpus (listed given names aside, whose
-lists are shared) is replaced by one of a spare permutation that meets neither an entity nor another surrogate; those
-checks are distributed joins. Names are checked by their parts.
+lists are shared and in which none stays itself) is replaced by one of a spare permutation that meets neither an entity
+nor another surrogate; those checks are distributed joins. A format may be too small or too full for that, so spare
+permutations are of ever longer formats, a fixed number of them, and what is left then gets values by rank that are
+longer than all others. Names are checked by their parts.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brinkline.llm.common import extended, without
+from brinkline.operators.positions import numbered
 from brinkline.plans.shared import materialize, shared_root
 
+#: Letters or digits that the spare permutations add to a format, in turn.
+GROWTH = (0, 2, 4, 8)
+
 KINDS = ("email", "phone", "ip", "ip6", "card", "ssn", "name")
 
 # Given names by (script, gender), honorifics by gender.
@@ -99,6 +105,11 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
         self.of = lru_cache(100_000)(self._of)
+        self.order = lru_cache(None)(self._order)
+
+    def _order(self, names: tuple[str, ...]) -> tuple[str, ...]:
+        """The names in a keyed order, in which each stands for the one before it, so that none stays itself."""
+        return tuple(sorted(names, key=lambda n: self.permute(f"given{names[0]}", names.index(n), len(names))))
 
     def _round(self, tweak: str, r: int, x: int, size: int) -> int:
         h = hashlib.blake2b(f"{tweak}|{r}|{x}".encode(), key=self.key, digest_size=32).digest()
@@ -161,12 +172,16 @@ class Surrogates:
 
         return spelled(self.mixed(f"{tweak}|{','.join(str(alphabets.index(a)) for _, a in at)}", values, radix, lambda v: valid(spelled(v))))
 
-    def _of(self, kind: str, canonical: str) -> str:
-        """The surrogate's canonical form."""
+    def _of(self, kind: str, canonical: str, grow: int = 0) -> str:
+        """The surrogate's canonical form, ``grow`` letters or digits longer where the kind's length may vary.
+
+        Of one ``grow`` different entities get different surrogates, whatever their formats.
+        """
+        tag = f"+{grow}" if grow else ""
         if kind == "email":
             local, _, domain = canonical.partition("@")
             host, _, rest = domain.partition(".")
-            return self.letters("email", f"{local}@{host}") + f".{rest}"
+            return self.letters(f"email{tag}", f"{local}{'a' * grow}@{host}") + f".{rest}"
         if kind == "ip":
             octets = [int(o) for o in canonical.split(".")]
             public = lambda o: 0 < o[0] < 224 and o[0] not in (10, 127) and o[:2] not in ([192, 168], [169, 254]) and not (o[0] == 172 and 16 <= o[1] < 32)
@@ -174,24 +189,55 @@ class Surrogates:
             return ".".join(map(str, self.mixed("ip", octets, [256] * 4, lambda o: public(o) == same)))
         if kind == "card":
             same = luhn(canonical)
-            rest = self.mixed(f"card{canonical[0]}", [int(d) for d in canonical[1:]], [10] * (len(canonical) - 1), lambda v: luhn(canonical[0] + "".join(map(str, v))) == same)
+            longer = canonical + "0" * (grow - 1)
+            longer = next(x for x in (longer + d for d in "0123456789") if luhn(x) == same) if grow else canonical
+            rest = self.mixed(f"card{canonical[0]}{tag}", [int(d) for d in longer[1:]], [10] * (len(longer) - 1), lambda v: luhn(canonical[0] + "".join(map(str, v))) == same)
             return canonical[0] + "".join(map(str, rest))
         if kind == "ssn":
-            return "".join(map(str, self.mixed("ssn", [int(d) for d in canonical], [10] * 9)))
+            return "".join(map(str, self.mixed(f"ssn{tag}", [int(d) for d in canonical] + [0] * grow, [10] * (9 + grow))))
         if kind == "phone":
             code, _, digits = canonical.partition(" ")
-            fixed = lambda v: [x >= 2 for x in (v[0], v[3])] if len(v) == 10 else [v[0] > 0]
-            values = [int(d) for d in digits]
+            fixed = lambda v: [x >= 2 for x in (v[0], v[3])] if len(digits) == 10 else [v[0] > 0]
+            values = [int(d) for d in digits] + [0] * grow
             same = fixed(values)
-            return f"{code} " + "".join(map(str, self.mixed(f"phone{code}", values, [10] * len(values), lambda v: fixed(v) == same)))
+            return f"{code} " + "".join(map(str, self.mixed(f"phone{code}{tag}", values, [10] * len(values), lambda v: fixed(v) == same)))
         if kind == "ip6":
             groups = [int(g, 16) for g in ipaddress.IPv6Address(canonical).exploded.split(":")]
             rest = self.mixed(f"ip6{groups[0]}", groups[1:], [65536] * 7, lambda g: any(g))
             return ipaddress.IPv6Address(":".join(f"{g:x}" for g in (groups[0], *rest))).compressed
         if kind == "given":
-            names = next(n for (_, g), n in GIVEN.items() if canonical in n)
-            return names[self.permute(f"given{names[0]}", names.index(canonical), len(names))]
-        return self.letters("name", canonical, _SOUNDS, lambda w: w.capitalize() not in _LISTED)
+            order = self.order(tuple(next(n for n in GIVEN.values() if canonical in n)))
+            return order[(order.index(canonical) + 1) % len(order)]
+        free = lambda w: w.capitalize() not in _LISTED
+        vowels, consonants = sounds_of(canonical)
+        longer = next(w for v in vowels if free(w := canonical + (consonants[0] + v) * (grow // 2)))
+        return self.letters(f"name{tag}", longer, _SOUNDS, free)
+
+    def last(self, kind: str, canonical: str, rank: int, width: int) -> str:
+        """A surrogate by rank: longer than ``width``, the longest canonical form of its kind, and so unlike any other."""
+        if kind in ("ip", "ip6"):  # of the discard prefix
+            return ipaddress.IPv6Address((0x0100 << 112) + self.permute(kind, rank, 1 << 64)).compressed
+        digits, n = "abcdefghijklmnopqrstuvwxyz" if kind in ("email", "part") else "0123456789", rank
+        places = []
+        while len(places) < width + 1 or n:
+            n, d = divmod(n, len(digits))
+            places.append(digits[d])
+        tail = "".join(reversed(places))
+        if kind == "email":
+            return f"{tail}@{canonical.partition('@')[2]}"
+        if kind == "part":
+            vowels, consonants = sounds_of(canonical)
+            return "".join(consonants[digits.index(c) // len(vowels) % len(consonants)] + vowels[digits.index(c) % len(vowels)] for c in tail)
+        return f"{canonical.partition(' ')[0]} {tail}" if kind == "phone" else tail
+
+
+def sounds_of(word: str) -> tuple[str, str]:
+    """Plain vowels and consonants of a word's script."""
+    for c in reversed(word):
+        for vowels, consonants in (_SOUNDS[2:4], _SOUNDS[4:6]):
+            if c in vowels or c in consonants:
+                return vowels, consonants
+    return _SOUNDS[:2]
 
 
 #: Vowels and consonants by script.
@@ -247,11 +293,14 @@ def rendered(kind: str, text: str, surrogate: str) -> str:
     if kind == "name":
         return surrogate.partition(" ")[2]
     if kind == "email":
-        return "".join(s.upper() if o.isupper() else s for o, s in zip(text, surrogate, strict=True))
+        sides = zip(text.split("@"), surrogate.split("@"), strict=True)
+        return "@".join("".join(s.upper() if o.isupper() else s for o, s in zip(old, new, strict=False)) + new[len(old) :] for old, new in sides)
     fill = surrogate.replace(" ", "").replace("+", "")
     ahead = "".join(c for c in text if c in "0123456789")
-    digits = iter(ahead[: len(ahead) - len(fill)] + fill)  # a code in front that the surrogate lacks stays
-    return "".join(next(digits) if c in "0123456789" else c for c in text)
+    fill = ahead[: max(0, len(ahead) - len(fill))] + fill  # a code in front that the surrogate lacks stays
+    digits, end = iter(fill), max(i for i, c in enumerate(text) if c in "0123456789") + 1
+    told = "".join(next(digits) if c in "0123456789" else c for c in text)
+    return told[:end] + fill[len(ahead) :] + told[end:]
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -288,7 +337,7 @@ def surrogate_pii(docs: DataFrame, key: bytes, broadcast_rows: int = 200_000) ->
     """docs (doc_id, text, ...) with entities in ``text`` replaced and n_entities, kinds (sorted, joined) added; every row is kept.
 
     A null text stays null; a text without entities stays as it is. Of overlapping entities the kind first looked for
-    stays. Repeated rows and repeated entities get equal replacements; existing columns of the added names are replaced; an empty table gives an empty result.
+    stays. No entity is replaced by itself. Repeated rows and repeated entities get equal replacements; existing columns of the added names are replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     root = shared_root(spark)
@@ -310,27 +359,43 @@ def surrogate_pii(docs: DataFrame, key: bytes, broadcast_rows: int = 200_000) ->
     def clashing(rows: DataFrame, taken: DataFrame) -> DataFrame:
         return rows.where("kind <> 'given'").join(taken, ["kind", "surrogate"], "left_semi").select("kind", "entity", "surrogate")
 
-    def again(k: int):
+    named = "kind string, entity string, surrogate string"
+
+    def again(k: int, grow: int):
         """The entities' surrogates under the k-th spare permutation."""
 
         def run(batches):
             surrogates = Surrogates(key + b"|%d" % k)
             for batch in batches:
-                new = [surrogates.of(*e) for e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                new = [surrogates.of(*e, grow) for e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
 
         return run
 
     # a spare permutation could meet a surrogate given by another one, so those are taken too
-    moved, clash, k = None, materialize(clashing(every, originals), root, "clash-0"), 0
+    moved, clash = None, materialize(clashing(every, originals), root, "clash-0")
     taken = originals.union(every.select("kind", "surrogate"))
-    while clash.limit(1).count():
-        k += 1
-        new = materialize(clash.mapInArrow(again(k), "kind string, entity string, surrogate string"), root, f"moved-{k}")
+    for k, grow in enumerate(GROWTH, 1):
+        if not clash.limit(1).count():
+            break
+        new = materialize(clash.mapInArrow(again(k, grow), named), root, f"moved-{k}")
         clash = materialize(clashing(new, taken), root, f"clash-{k}")
         settled = new.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti")
         taken = taken.union(settled.select("kind", "surrogate"))
         moved = settled if moved is None else moved.union(settled)
+    else:
+        if clash.limit(1).count():
+            widths = {r.kind: r.width for r in taken.groupBy("kind").agg(F.max(F.length("surrogate")).alias("width")).collect()}
+
+            def by_rank(batches):
+                surrogates = Surrogates(key)
+                for batch in batches:
+                    new = [surrogates.last(k, e, n, widths[k]) for k, e, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
+
+            ranked = numbered(clash.select("kind", "entity"), ["kind"], ["entity"], "rank")
+            settled = materialize(ranked.mapInArrow(by_rank, named), root, "by-rank")
+            moved = settled if moved is None else moved.union(settled)
     small = moved is None or moved.count() <= broadcast_rows
     changed = spark.sparkContext.broadcast({(r.kind, r.entity): r.surrogate for r in moved.collect()} if moved is not None and small else {})
     if not small:  # too many to send out: hand each row the changes of its own entities
