@@ -90,37 +90,36 @@ def _cuts(sizes: DataFrame, shard_bytes: int, most_shards: int, cells_a_shard: i
     """Range bounds of shards, from exact sums: ([(bits, table of cell and shard)], number of shards).
 
     ``sizes`` (page_id, bytes). A cell is the ids that agree in all but their last ``bits`` bits. Bytes are summed by
-    cell; cells that would overfill a shard are cut into finer ones, down to single ids, and neighbours are packed
-    into a shard until it is full. What comes out depends on the ids and sizes alone, neither on samples nor on the
-    order or the partitions of the rows. At most ``cells_a_shard * most_shards`` sums a round reach the driver, plus
-    65536 for each cell that is cut.
+    cell; a cell that would overfill a shard is cut into ``cells_a_shard`` to twice as many for each shard it fills,
+    down to single ids, and neighbours are packed into a shard until it is full. What comes out depends on the ids and
+    sizes alone, neither on samples nor on the order or the partitions of the rows. The sums that reach the driver in a
+    round are at most ``4 * cells_a_shard`` for each shard, whatever the ids; a round takes four bits or more off a
+    cell, so there are at most 17.
     """
     spark = sizes.sparkSession
     ends = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
     if ends[0] is None:
         return [], 1
     shard_bytes = max(shard_bytes, -(-ends[2] // most_shards))
-    cells, bits = cells_a_shard * -(-ends[2] // shard_bytes), 0
-    while (ends[1] >> bits) - (ends[0] >> bits) >= cells:
-        bits += 1
-    found, todo, levels = {}, sizes, []  # first id of a cell: (bits, bytes)
+    parts = lambda size: (cells_a_shard * -(-size // shard_bytes) - 1).bit_length()  # noqa: E731  bits that tell a cell's parts apart
+    bits = max(0, (ends[1] - ends[0]).bit_length() - parts(ends[2]))
+    found, todo = {}, sizes.withColumn("bits", F.lit(bits))  # first id of a cell: (bits, bytes)
+    cell = F.expr("shiftright(page_id, bits)")
     while True:
-        cell = F.shiftright("page_id", bits)
-        sums = todo.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes")).collect()
-        heavy = [r.cell for r in sums if r.bytes > shard_bytes and bits]
-        found |= {r.cell << bits: (bits, r.bytes) for r in sums if r.cell not in set(heavy)}
-        levels.append(bits)
+        sums = todo.groupBy("bits", cell.alias("cell")).agg(F.sum("bytes").alias("bytes")).collect()
+        heavy = [(r.bits, r.cell, max(0, r.bits - parts(r.bytes))) for r in sums if r.bytes > shard_bytes and r.bits]
+        found |= {r.cell << r.bits: (r.bits, r.bytes) for r in sums if r.bytes <= shard_bytes or not r.bits}
         if not heavy:
             break
-        todo = todo.join(F.broadcast(spark.createDataFrame([(c,) for c in heavy], "cell long")), cell == F.col("cell")).drop("cell")
-        bits = max(0, bits - 16)
-    shard, full, by_bits = 0, 0, {b: [] for b in levels}
+        cut = F.broadcast(spark.createDataFrame(heavy, "bits int, cell long, finer int"))
+        todo = todo.withColumn("cell", cell).join(cut, ["bits", "cell"]).select("page_id", "bytes", F.col("finer").alias("bits"))
+    shard, full, by_bits = 0, 0, {}
     for first, (b, size) in sorted(found.items()):
         if full and full + size > shard_bytes:
             shard, full = shard + 1, 0
-        by_bits[b].append((first >> b, shard))
+        by_bits.setdefault(b, []).append((first >> b, shard))
         full += size
-    return [(b, spark.createDataFrame(rows, "cell long, shard int")) for b, rows in by_bits.items() if rows], shard + 1
+    return [(b, spark.createDataFrame(rows, "cell long, shard int")) for b, rows in sorted(by_bits.items(), reverse=True)], shard + 1
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, shard_bytes: int = 16 << 20, most_shards: int = 32_768, least_revisit_bytes: int = 0, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -131,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, sh
     ``roll_bytes`` compressed. Names and bytes of the files follow from the rows alone. Payloads are the html in
     UTF-8, null: empty. Of records with equal payloads of at least ``least_revisit_bytes`` the one with the smallest
     page_id is a response and the others revisit it; other records are responses. Null urls count as empty. Rows with
-    a null page_id come last; they revisit the smallest page_id of their payload, or are responses if it has none.
+    a null page_id come last, in shards by a hash of url and payload; they revisit the smallest page_id of their payload, or are responses if it has none.
     Rows that repeat a page_id are decided each by its own payload; those with equal content that no smaller page_id
     has are each a response. Extra columns are ignored; an empty table gives an empty manifest.
     """
@@ -143,8 +142,11 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, sh
     firsts = keys.where(F.col("size") >= least_revisit_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     firsts = firsts.select("same", "first", F.explode(F.when(F.col("n") > 1000, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"), (F.col("n") > 1000).alias("large"))
     small, large = firsts.where("not large"), firsts.where("large")
+    # rows of large groups keep their salt, so that they stay spread when the others look for small groups
     salted = keys.select("page_id", "same", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int").alias("salt"))
-    joined = salted.join(large.select("same", "salt", F.col("first").alias("first_l")), ["same", "salt"], "left").join(small.select("same", F.col("first").alias("first_s")), "same", "left")
+    spread = salted.join(large.select("same", "salt", F.col("first").alias("first_l")), ["same", "salt"], "left")
+    spread = spread.withColumn("salt", F.when(F.col("first_l").isNotNull(), F.col("salt")).otherwise(F.lit(-1)))
+    joined = spread.join(small.select("same", "salt", F.col("first").alias("first_s")), ["same", "salt"], "left")
     thin = joined.select(F.col("page_id").alias("id"), F.col("same").alias("digest"), F.coalesce("first_l", "first_s").alias("refers_to")).where("not refers_to <=> id and refers_to is not null").distinct()
     thin = materialize(thin, folder, "revisits")
     revisits = thin.count()
@@ -153,7 +155,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, sh
     for bits, table in cuts:
         table = table.toDF("cell", "found")
         placed = placed.join(F.broadcast(table), F.shiftright("page_id", bits) == F.col("cell"), "left").withColumn("shard", F.coalesce("shard", "found")).drop("cell", "found")
-    placed = placed.withColumn("shard", F.coalesce("shard", F.lit(shards - 1)))
+    unnumbered = keys.where("page_id is null").agg(F.sum(F.col("size") + 500)).first()[0] or 0
+    more = min(most_shards, -(-unnumbered // shard_bytes))
+    placed = placed.withColumn("shard", F.coalesce("shard", shards + F.pmod(F.xxhash64("url", "same"), F.lit(max(1, more))).cast("int")))
+    shards += more
     known = (placed["page_id"].eqNullSafe(thin["id"])) & (placed["same"] == thin["digest"])
     # payloads are shuffled once, by shard, unless the revisits are too many to be broadcast
     ready = placed.join(F.broadcast(thin) if revisits <= broadcast_rows else thin, known, "left").select("shard", "page_id", "url", "payload", "refers_to", "same")
