@@ -16,21 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brinkline.functions.special import INF, col, poisson_cdf, safe_ln
+from brinkline.functions.special import INF, col, log_poisson_sf
 from brinkline.operators import point_process
+from brinkline.operators.history import history_at
+from brinkline.operators.quadrature import simpson, trapezoid
 from brinkline.sources.simulate import thinned
 
 FLOOR = 1e-30
 
 
-def trapezoid(f: Callable[[Column], Column], lo: Column, hi: Column, nodes: int) -> Column:
-    """Integral of ``f`` from ``lo`` to ``hi`` on evenly spaced nodes, the ends included."""
-    step = (hi - lo) / float(nodes - 1)
-    at = lambda i: f(lo + step * i.cast("double"))
-    inner = F.aggregate(F.sequence(F.lit(1), F.lit(nodes - 2)), F.lit(0.0), lambda s, i: s + at(i))
-    return step * (inner + 0.5 * (f(lo) + f(hi)))
-
-
 def in_windows(events: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """Every window with its events: rows (keys, t0, t1, t), t null where a window has none."""
     inside = windows.join(events.select(*keys, "t"), keys, "left")
@@ -70,7 +64,7 @@ class Poisson:
 
     def exceedance_log_prob(self, k, start, end) -> Column:
         """Log probability of more than ``k`` events."""
-        return safe_ln(F.greatest(1.0 - poisson_cdf(col(k), self.predict_count(start, end)), F.lit(0.0)))
+        return log_poisson_sf(k, self.predict_count(start, end))
 
     def log_prob(self, events: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
         """(keys, t0, t1, n, log_lik) of every window."""
@@ -109,16 +103,18 @@ class HomogeneousPoisson(Poisson):
 
 @dataclass(frozen=True)
 class InhomogeneousPoisson(Poisson):
-    """Any log intensity, integrated by quadrature."""
+    """Any log intensity, integrated by quadrature: ``trapezoid`` or, on an odd number of nodes, ``simpson``."""
 
     log_rate: Callable[[Column], Column]
     nodes: int = 100
+    rule: str = "trapezoid"
 
     def log_intensity(self, t: Column) -> Column:
         return self.log_rate(t)
 
     def cumulative(self, lo: Column, hi: Column) -> Column:
-        return trapezoid(lambda t: F.exp(self.log_rate(t)), lo, hi, self.nodes)
+        rule = {"trapezoid": trapezoid, "simpson": simpson}[self.rule]
+        return rule(lambda t: F.exp(self.log_rate(t)), lo, hi, self.nodes)
 
     def sample(self, candidates: DataFrame, most: float, ids: list[str], seed: int = 0) -> DataFrame:
         """Thins candidate events of the constant rate ``most`` down to this process."""
@@ -237,13 +233,8 @@ class Renewal:
 
 def as_of(events: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
     """``queries`` with last_t, the time of their key's last event strictly before their own t; null if there is none."""
-    times = events.select(*keys, F.col("t").cast("double").alias("t"), F.lit(0).alias("ask")).union(queries.select(*keys, F.col("t").cast("double"), F.lit(1)).distinct())
-    along = W.partitionBy(*keys).orderBy("t", F.desc("ask")).rowsBetween(W.unboundedPreceding, -1)
-    found = times.withColumn("last_t", F.max(F.when(F.col("ask") == 0, F.col("t"))).over(along)).where("ask = 1").select(*keys, F.col("t").alias("at"), "last_t")
-    same = queries["t"].cast("double") == found["at"]
-    for k in keys:
-        same = same & queries[k].eqNullSafe(found[k])
-    return queries.join(found, same, "left").select(queries["*"], found["last_t"])
+    found = history_at(events.select(*keys, F.col("t").cast("double").alias("t")), queries.drop("last_t"), keys)
+    return found.drop("n_before", "last_mark", "mark_sum")
 
 
 def decayed_sums(events: DataFrame, queries: DataFrame, keys: list[str], beta: float) -> DataFrame:

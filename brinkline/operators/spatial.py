@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from brinkline.functions.special import col, erf, lgamma
 from brinkline.operators.processes import FLOOR
+from brinkline.operators.quadrature import halton_points, integral_over
 
 
 def unit_ball_volume(n_dims: int) -> float:
@@ -80,8 +81,17 @@ class Box:
         index = [F.floor(F.col("node") / nodes**i) % nodes for i in range(self.n_dims)]
         return rows.select("node", *[(float(a) + (k + 0.5) * (s / nodes)).alias(n) for k, a, s, n in zip(index, self.lo, self.sides, names, strict=True)])
 
-    def integral(self, spark: SparkSession, f: Callable[..., Column], nodes: int = 64) -> float:
-        """Integral of ``f`` over the box: one aggregation over the grid, one number to the driver."""
+    def halton(self, spark: SparkSession, n: int, names: list[str]) -> DataFrame:
+        """The first ``n`` Halton points of the box, a row each: ``names`` and node."""
+        return halton_points(spark, list(self.lo), list(self.hi), n, names)
+
+    def integral(self, spark: SparkSession, f: Callable[..., Column], nodes: int = 64, points: int = 0) -> float:
+        """Integral of ``f`` over the box: one aggregation over the grid, or over ``points`` Halton points, one number to the driver.
+
+        A grid has ``nodes`` to the power of the dimensions; from three on points are the way.
+        """
+        if points:
+            return integral_over(spark, f, list(self.lo), list(self.hi), points)
         names = [f"x{i}" for i in range(self.n_dims)]
         total = self.grid(spark, nodes, names).agg(F.sum(f(*[F.col(n) for n in names])).alias("s")).first().s
         return float(total) * self.volume / nodes**self.n_dims
@@ -129,12 +139,13 @@ class InhomogeneousSpatial:
     log_intensity: Callable[..., Column]
     box: Box
     nodes: int = 64
+    points: int = 0
 
     def intensity(self, *coordinates) -> Column:
         return F.exp(self.log_intensity(*map(col, coordinates)))
 
     def expected(self, spark: SparkSession, part: Box | None = None) -> float:
-        return (part or self.box).integral(spark, self.intensity, self.nodes)
+        return (part or self.box).integral(spark, self.intensity, self.nodes, self.points)
 
     def log_prob(self, points: DataFrame, sequences: DataFrame, keys: list[str], coordinates: list[str]) -> DataFrame:
         """(keys, n, log_lik) for every key of ``sequences``."""
