@@ -244,21 +244,32 @@ def _set_batches(width: int):
     return run
 
 
-def _signature_batches(width: int, scheme: Scheme, frequent):
-    """Signatures of the sets, each with a key: the set's digest, its last byte replaced by the signature's need."""
+def _signature_batches(width: int, scheme: Scheme, frequent, most_seen: int = 200_000):
+    """Signatures of the sets, each with a key: the set's digest, its last byte replaced by the signature's need.
+
+    Of equal sets that a task meets only those are given whose doc_id is smaller than all before (``most_seen`` sets are
+    remembered at a time), so that a text of a million copies leaves a few rows a task.
+    """
 
     def run(batches):
         hot = np.sort(np.asarray(frequent.value, np.int64).view(np.uint64))
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(ids), 1000):
                 sigs, keys, ends = [], [], [0]
-                for text in texts.slice(at, 1000).to_pylist():
+                for doc_id, text in zip(ids.slice(at, 1000).to_pylist(), texts.slice(at, 1000).to_pylist(), strict=True):
                     x = shingles(text, width)
-                    found, needs = scheme.signatures(x, hot) if len(x) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                    digest = (_digest(x, _M1), _digest(x, _M3))
+                    new = len(x) and seen.get(digest, doc_id + 1) > doc_id
+                    found, needs = scheme.signatures(x, hot) if new else (np.empty(0, np.uint64), np.empty(0, np.int64))
                     sigs.append(found.view(np.int64))
-                    keys.append((np.int64(_digest(x, _M1)) & np.int64(~_MOST_NEED)) | needs)
+                    keys.append((np.int64(digest[0]) & np.int64(~_MOST_NEED)) | needs)
                     ends.append(ends[-1] + len(found))
+                    if new:
+                        if len(seen) >= most_seen:
+                            seen.clear()
+                        seen[digest] = doc_id
                 ends = pa.array(ends, pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(v))) for v in (sigs, keys)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), *lists], names=["doc_id", "signatures", "keys"])
@@ -267,25 +278,54 @@ def _signature_batches(width: int, scheme: Scheme, frequent):
     return run
 
 
-def _pruned(met: DataFrame) -> DataFrame:
-    """Rows (sig, doc_id, need) of sets that have their need of met signatures, in groups that still have two."""
+def _by_group(rows: DataFrame, root: str, name: str, several: dict[str, tuple], keep: str) -> DataFrame:
+    """``rows`` (sig, salt, ...), written, with aggregates over each signature's group, where ``keep`` holds.
+
+    ``several``: by name the aggregate and how its parts are put together. Groups of salt -1 are whole; frequent ones
+    (salt 0 and more; a bounded list) are spread, and their totals are broadcast.
+    """
+    spread = W.partitionBy("sig", "salt")
+    held = rows.withColumns({c: one.over(spread) for c, (one, _) in several.items()}).where(f"{keep} or salt >= 0")
+    held = materialize(held, root, name)
+    whole = held.where("salt >= 0").select("sig", "salt", *several).distinct().groupBy("sig").agg(*[both.alias(f"whole_{c}") for c, (_, both) in several.items()])
+    told = held.join(F.broadcast(whole), "sig", "left").withColumns({c: F.coalesce(f"whole_{c}", c) for c in several})
+    return told.drop(*[f"whole_{c}" for c in several]).where(keep)
+
+
+def _counted(rows: DataFrame, root: str, name: str) -> DataFrame:
+    """``rows`` with n, the size of their signature's group, where that is two or more."""
+    return _by_group(rows, root, name, {"n": (F.count("*"), F.sum("n"))}, "n > 1")
+
+
+def _pruned(met: DataFrame, root: str, name: str) -> DataFrame:
+    """Rows (sig, salt, doc_id, need, n) of sets that have their need of met signatures, in groups that still have two."""
     slot = W.partitionBy("doc_id", F.col("sig").bitwiseAND(F.lit(3)))
-    enough = met.withColumn("had", F.count("*").over(slot)).where("had >= need").drop("had")
-    return enough.withColumn("n", F.count("*").over(W.partitionBy("sig"))).where("n > 1").select("sig", "doc_id", "need", "n")
+    enough = met.drop("n").withColumn("had", F.count("*").over(slot)).where("had >= need").drop("had")
+    return _counted(enough, root, name)
 
 
-def _open(rest: DataFrame) -> DataFrame:
-    """Rows (sig, doc_id, need, hub, part) of sets that have their need of open groups, where groups still hold two parts."""
+def _open(rest: DataFrame, root: str, name: str) -> DataFrame:
+    """Rows (sig, salt, doc_id, need, hub, part) of sets that have their need of open groups, where groups still hold two parts."""
     slot = W.partitionBy("doc_id", F.col("sig").bitwiseAND(F.lit(3)))
     enough = rest.withColumn("had", F.count("*").over(slot)).where("had >= need").drop("had")
-    group = W.partitionBy("sig")
-    return enough.withColumn("differ", F.min("part").over(group) < F.max("part").over(group)).where("differ").drop("differ")
+    ends = {"low": (F.min("part"), F.min("low")), "high": (F.max("part"), F.max("high"))}
+    return _by_group(enough, root, name, ends, "low < high").drop("low", "high")
 
 
-def _frequent(docs: DataFrame, width: int, sample_docs: int, share: float, most: int) -> list[int]:
-    """Shingles in at least ``share`` of a bounded sample of documents; a routing hint that never affects results."""
+def _sampled(docs: DataFrame, sample_docs: int) -> tuple[DataFrame, int]:
+    """About ``sample_docs`` documents by a hash of their id, and how many rows there are."""
     total = docs.count()
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_docs / max(total, 1))))
+    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_docs / max(total, 1)))), total
+
+
+def _frequent_signatures(part: DataFrame, width: int, scheme: Scheme, frequent, least: int, most: int) -> DataFrame:
+    """(sig) of signatures in at least ``least`` documents of a sample, ``most`` at most; like frequent shingles they only affect routing."""
+    signed = part.where("doc_id is not null").mapInArrow(_signature_batches(width, scheme, frequent, 1), _SIGNED)
+    return signed.select(F.explode("signatures").alias("sig")).groupBy("sig").count().where(F.col("count") >= least).orderBy(F.desc("count"), "sig").limit(most).select("sig")
+
+
+def _frequent(part: DataFrame, width: int, least: int, most: int) -> list[int]:
+    """Shingles in at least ``least`` documents of a bounded sample; a routing hint that never affects results."""
 
     def run(batches):
         for batch in batches:
@@ -295,7 +335,6 @@ def _frequent(docs: DataFrame, width: int, sample_docs: int, share: float, most:
                 keep = n > 1
                 yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
 
-    least = max(8, int(share * min(total, sample_docs)))
     rows = part.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return [r.token for r in rows.orderBy(F.desc("n"), "token").limit(most).collect()]
 
@@ -415,16 +454,20 @@ def ngram_jaccard_join(
     root = shared_root(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scheme = Scheme(num, den)
-    frequent = spark.sparkContext.broadcast(_frequent(docs, width, sample_docs, frequent_share, frequent_most))
+    part, total = _sampled(docs, sample_docs)
+    part, least = materialize(part, root, "sample"), max(8, int(frequent_share * min(total, sample_docs)))
+    frequent = spark.sparkContext.broadcast(_frequent(part, width, least, frequent_most))
+    hot = materialize(_frequent_signatures(part, width, scheme, frequent, least, frequent_most), root, "hot")
     # groups of one signature, after equal sets have collapsed to their smallest doc_id: one shuffle, keyed by signature
     signed = docs.where("doc_id is not null").mapInArrow(_signature_batches(width, scheme, frequent), _SIGNED)
     by_sig = signed.select(F.explode(F.arrays_zip("signatures", "keys")).alias("s"), "doc_id").select("s.signatures", "s.keys", "doc_id")
-    by_sig = by_sig.toDF("sig", "key", "doc_id").repartition("sig").groupBy("sig", "key").agg(F.min("doc_id").alias("doc_id"))
-    group = W.partitionBy("sig")
-    met = by_sig.select("sig", "doc_id", F.col("key").bitwiseAND(F.lit(_MOST_NEED)).alias("need"), F.count("*").over(group).alias("n")).where("n > 1")
-    met = materialize(met, root, "met-0")
+    by_sig = by_sig.toDF("sig", "key", "doc_id").join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left")
+    dealt = F.pmod(F.xxhash64("key"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int")
+    by_sig = by_sig.withColumn("salt", F.when(F.col("hot"), dealt).otherwise(F.lit(-1)))
+    by_sig = by_sig.repartition("sig", "salt").groupBy("sig", "salt", "key").agg(F.min("doc_id").alias("doc_id"))
+    met = _counted(by_sig.select("sig", "salt", "doc_id", F.col("key").bitwiseAND(F.lit(_MOST_NEED)).alias("need")), root, "met-0")
     for k in range(prune_rounds):
-        met = materialize(_pruned(met), root, f"met-{k + 1}")
+        met = _pruned(met, root, f"met-{k + 1}")
     # a signature's hub is the member that meets most others: the original among its edited copies
     degree = met.groupBy("doc_id").agg(F.sum("n").alias("degree"))
     central = (
@@ -475,7 +518,7 @@ def ngram_jaccard_join(
     parts = connected_components(links, root, "parts").select(F.col("id").alias("doc_id"), F.col("component").alias("part"))
     rest = met.join(central, "sig").where("doc_id <> hub").drop("n").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     for k in range(prune_rounds):
-        rest = materialize(_open(rest), root, f"open-{k}")
+        rest = _open(rest, root, f"open-{k}")
     # groups of one hub are searched together. A part of a shard's size or more has shards of its own, in order of
     # size; the others lie whole in shards behind those
     placed = rest.select(F.col("hub").alias("block"), "doc_id", "part").distinct()
@@ -514,6 +557,6 @@ def ngram_jaccard_join(
 
     final = connected_components(links, root, "final").select(F.col("id").alias("rep"), "component")
     equal = equal.join(final, "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
-    return sets.drop("bitmap").join(equal, ["set_hi", "set_lo"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id")
-    )
+    told = told.drop("bitmap").join(equal, ["set_hi", "set_lo"]).select("doc_id", "n_shingles", "component_id")
+    alone = sets.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return told.union(alone)
