@@ -417,7 +417,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", fit_rows:
             scores, restored = [], []
             for t in batch.column(batch.schema.get_field_index("text")).cast(pa.string()).to_pylist():
                 low = restorer.restore(t)
-                miss = 1.0 - (base if grade is None else grade.probability(low))
+                miss = 1.0 - (base if grade is None else grade.probability(low) ** 2)  # squared: alone it must be sure
                 for plain, pattern, p in tests:
                     if plain in low and pattern.search(low):
                         miss *= 1.0 - p
