@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brinkline.operators.blocks import clean
-from brinkline.operators.positions import CHUNK_ROWS, numbered, own_rows, running_sums, segments
+from brinkline.operators.history import with_history
+from brinkline.operators.positions import CHUNK_ROWS, numbered, own_rows, running_sums, same_keys, segments
 from brinkline.plans.shared import materialize, shared_root
 
 _REDUCERS = {"max": F.max, "mean": F.avg, "sum": F.sum, "min": F.min}
@@ -34,6 +35,52 @@ def extremal_index(df: DataFrame, keys: list[str], order: list[str], value: str
     return every.join(found, keys, "left").select(*keys, F.coalesce("exceedances", F.lit(0)).alias("exceedances"), F.coalesce("runs", F.lit(0)).alias("runs"), (F.col("runs") / F.col("exceedances")).alias("theta"))
 
 
+def exceedance_gaps(df: DataFrame, keys: list[str], order: list[str], value: str = "value", threshold: str = "threshold", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The exceedances (strictly above) with ix, their position, and gap, positions since the exceedance before (null for the first)."""
+    rows = numbered(clean(df, value), keys, order, chunk_rows=chunk_rows).where(F.col(value) > F.col(threshold))
+    found = with_history(rows.withColumn("t", F.col("ix")), keys, ["t"], chunk_rows=chunk_rows)
+    return found.withColumn("gap", F.col("ix") - F.col("last_t")).drop("t", "n_before", "last_t", "last_mark", "mark_sum")
+
+
+def intervals_index(df: DataFrame, keys: list[str], order: list[str], value: str = "value", threshold: str = "threshold", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(keys, exceedances, theta, clusters, run_length) by the intervals estimator, from the moments of the gaps between exceedances.
+
+    ``run_length`` is the widest gap inside a cluster: the gaps wider than it part ``clusters`` clusters, about theta
+    times the exceedances (fewer where gaps are equal). NULL theta with fewer than two exceedances.
+    """
+    here = [F.col(k).alias(f"brinkline_{k}") for k in keys]
+    rows = materialize(exceedance_gaps(df, keys, order, value, threshold, chunk_rows).select(*here, F.col("gap").cast("double").alias("gap")), shared_root(df.sparkSession), "gaps")
+    held, g = [f"brinkline_{k}" for k in keys], F.col("gap")
+    # a gap of one joins neighbours; where gaps are all short, their own moments serve
+    short = 2.0 * F.sum(g) * F.sum(g) / (F.count(g) * F.sum(g * g))
+    long = 2.0 * F.sum(g - 1.0) * F.sum(g - 1.0) / (F.count(g) * F.sum((g - 1.0) * (g - 2.0)))
+    theta = F.when(F.count(g) > 0, F.least(F.when(F.max(g) <= 2, short).otherwise(long), F.lit(1.0)))
+    moments = rows.groupBy(*held).agg(F.count("*").alias("exceedances"), theta.alias("theta"))
+    moments = moments.withColumn("wanted", F.floor(F.col("theta") * F.col("exceedances")) + 1)
+    # how many gaps are as wide as each width or wider
+    widths = rows.where("gap is not null").groupBy(*held, "gap").agg(F.count("*").alias("m")).withColumn("narrow", -g)
+    wider = running_sums(widths, held, ["narrow"], {"upto": F.col("m")}, chunk_rows)
+    asked = moments.select(*[F.col(h).alias(f"asked_{h}") for h in held], "wanted")
+    met = wider.join(asked, same_keys(wider, asked, {h: f"asked_{h}" for h in held}))
+    length = F.coalesce(F.max(F.when(F.col("upto") >= F.col("wanted"), F.col("gap"))), F.lit(0.0))
+    found = met.groupBy(*[f"asked_{h}" for h in held]).agg(length.cast("long").alias("run_length"), (F.coalesce(F.sum(F.when(F.col("upto") < F.col("wanted"), F.col("m"))), F.lit(0)) + 1).alias("clusters"))
+    told = moments.join(found, same_keys(moments, found, {h: f"asked_{h}" for h in held}), "left").select(*held, "exceedances", "theta", "clusters", "run_length")
+    every = df.select(*keys).distinct()
+    done = every.join(told, same_keys(every, told, dict(zip(keys, held, strict=True))), "left")
+    return done.select(*[every[k] for k in keys], F.coalesce("exceedances", F.lit(0)).alias("exceedances"), "theta", "clusters", "run_length")
+
+
+def intervals_clusters(df: DataFrame, keys: list[str], order: list[str], value: str = "value", threshold: str = "threshold", reducer: str = "max", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """One row a cluster: keys, first_ix, last_ix, n, cluster (the reduced value); a gap wider than the key's ``run_length`` parts two."""
+    rows = exceedance_gaps(df, keys, order, value, threshold, chunk_rows)
+    lengths = intervals_index(df, keys, order, value, threshold, chunk_rows).select(*[F.col(k).alias(f"brinkline_{k}") for k in keys], "run_length")
+    begins = F.coalesce(F.col("gap") > F.col("run_length"), F.lit(True)).cast("long")
+    told = rows.join(lengths, same_keys(rows, lengths, {k: f"brinkline_{k}" for k in keys})).withColumn("brinkline_begins", begins).drop(*[f"brinkline_{k}" for k in keys])
+    told = running_sums(told, keys, ["ix"], {"brinkline_cluster": F.col("brinkline_begins")}, chunk_rows)
+    found = told.groupBy(*keys, "brinkline_cluster").agg(F.min("ix").alias("first_ix"), F.max("ix").alias("last_ix"), F.count("*").alias("n"), _REDUCERS[reducer](value).alias("cluster"))
+    return found.drop("brinkline_cluster")
+
+
 def peaks(df: DataFrame, keys: list[str], order: list[str], value: str = "value", threshold: str = "threshold", chunk_rows: int = CHUNK_ROWS, segment_rows: int = CHUNK_ROWS) -> DataFrame:
     """Exceedances strictly above both neighbours; a missing neighbour is no constraint."""
     along = W.partitionBy(*keys, "brinkline_segment").orderBy("ix")

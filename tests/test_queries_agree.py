@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from brinkline.plans import catalogue, conditional, families, models  # noqa: F401
+from brinkline.plans import catalogue, conditional, families, fields, models  # noqa: F401
 
 AT = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
