@@ -279,7 +279,7 @@ def graded(restored: str) -> tuple[list[str], float]:
     return sorted(set(words)), 1.0 / math.sqrt(1.0 + len(words) / 50.0)
 
 
-def buckets(word: str, lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)) -> list[int]:
+def buckets(word: str, lengths: tuple[int, ...] = (4, 6)) -> list[int]:
     """Hashes of a word and its beginnings."""
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) >> (32 - quality.BITS) for f in (f"{word}$", *(word[:k] for k in lengths if len(word) > k))]
 
@@ -336,7 +336,7 @@ class _Grades(dict):
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", fit_rows: int = 20_000, graded_rows: int = 4_000, graded_bytes: int = 128 << 20) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", fit_rows: int = 20_000, graded_rows: int = 2_000, graded_bytes: int = 32 << 20) -> DataFrame:
     """docs (doc_id, text, ...) with score, predicted (score >= 0.5) and n_restored added; every row is kept.
 
     ``labels`` (doc_id, toxic) rows for which the SQL condition ``train`` holds are learned from: ``fit_rows`` at
@@ -379,10 +379,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", fit_rows:
             ids = [sorted(number.value[f] for f in evidence(restore(t)) if f in number.value) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["toxic", "ids"])
 
-    # a text has no more features than buckets, nor than seven for every two characters
+    # a text has no more features than buckets, nor than three for every two characters
     rates = {k: min(share[k], graded_rows / 2 / n) for k, n in sizes.items()}
     few = rows.where(F.col("toxic") & (F.col("dice") < rates.get(True, 1.0)) | ~F.col("toxic") & (F.col("dice") < rates.get(False, 1.0)))
-    need = few.agg(F.sum(F.least(F.lit(12 * quality.SIZE), 42 * F.length("text")))).first()[0] or 0
+    need = few.agg(F.sum(F.least(F.lit(12 * quality.SIZE), 18 * F.length("text")))).first()[0] or 0
     if need > graded_bytes:
         rates = {k: r * graded_bytes / need for k, r in rates.items()}
         few = rows.where(F.col("toxic") & (F.col("dice") < rates.get(True, 1.0)) | ~F.col("toxic") & (F.col("dice") < rates.get(False, 1.0)))
