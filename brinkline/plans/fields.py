@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from brinkline.operators import decluster, masks, raster, thresholds
-from brinkline.plans.catalogue import ISLANDS, exceeding, query, r6, table
+from brinkline.operators.quantile_regression import threshold_by_key, with_covariates
+from brinkline.plans.catalogue import ISLANDS, T, exceeding, hours, query, r6, table
 
 CORNERS = "c AS (SELECT r_regionkey, j, 50.123 + (20 + 2 * r_regionkey) * (CASE WHEN j % 2 = 0 THEN 1 ELSE 0.45 END) * cos(2 * pi() * j / (6 + 2 * r_regionkey) + 0.1) AS x, 25.4567 + (12 + r_regionkey) * (CASE WHEN j % 2 = 0 THEN 1 ELSE 0.45 END) * sin(2 * pi() * j / (6 + 2 * r_regionkey) + 0.1) AS y FROM region, range(0, 6 + 2 * r_regionkey) r(j))"
 EDGES = "d AS (SELECT a.r_regionkey, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM c a JOIN c b ON b.r_regionkey = a.r_regionkey AND b.j = (a.j + 1) % (6 + 2 * a.r_regionkey))"
@@ -119,3 +120,28 @@ SELECT event_type, min(ix) AS first_ix, max(ix) AS last_ix, count(*) AS n, round
 def intervals_clusters(spark, sf_dir):
     found = decluster.intervals_clusters(exceeding(spark, sf_dir), ["event_type"], ["ts", "event_id"])
     return found.select("event_type", "first_ix", "last_ix", "n", r6("cluster").alias("cluster"))
+
+
+def _best_lines(rows: str, key: str, q: float) -> str:
+    """The line of least loss by key among those through two rows (key, x, y), where the optimum lies."""
+    loss = f"sum(greatest({q} * (p.y - a - b * p.x), ({q} - 1) * (p.y - a - b * p.x)))"
+    return f"""s AS (SELECT i.{key}, (j.y - i.y) / (j.x - i.x) AS b, i.y - i.x * (j.y - i.y) / (j.x - i.x) AS a FROM {rows} i JOIN {rows} j ON j.{key} = i.{key} AND j.x > i.x),
+o AS (SELECT s.{key}, a, b, {loss} AS loss FROM s JOIN {rows} p ON p.{key} = s.{key} GROUP BY 1, 2, 3), f AS (SELECT {key}, arg_min(a, loss) AS a, arg_min(b, loss) AS b FROM o GROUP BY 1)"""
+
+
+@query(f"WITH p AS (SELECT user_id, event_id, {T} AS x, value AS y FROM events), {_best_lines('p', 'user_id', 0.87)} SELECT event_id, round(a + b * x, 3) AS threshold, y > a + b * x + 1e-9 AS exceeds FROM p LEFT JOIN f ON f.user_id = p.user_id")
+def regression_threshold_by_user(spark, sf_dir):
+    """A line in time for every user; rows on the line don't exceed it."""
+    rows = hours(spark, sf_dir).select("user_id", "event_id", F.col("t").alias("hour"), "value")
+    found = threshold_by_key(rows, ["user_id"], ["hour"], 0.87)
+    return found.select("event_id", F.round("threshold", 3).alias("threshold"), (F.col("value") > F.col("threshold") + 1e-9).alias("exceeds"))
+
+
+@query(f"""WITH c AS (SELECT date_trunc('day', ts) AS d, avg(value) AS x FROM events WHERE day(ts) % 5 <> 0 GROUP BY 1), r AS (SELECT user_id, event_id, value AS y, x FROM events LEFT JOIN c ON c.d = date_trunc('day', ts)),
+p AS (SELECT * FROM r WHERE x IS NOT NULL), {_best_lines('p', 'user_id', 0.83)} SELECT event_id, round(x, 6) AS covariate, round(a + b * x, 3) AS threshold FROM r LEFT JOIN f ON f.user_id = r.user_id""")
+def regression_threshold_covariate(spark, sf_dir):
+    """The day's mean over all users as covariate, missing on every fifth day."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.date_trunc("day", "ts").alias("d"), "ts")
+    side = rows.where(F.dayofmonth("ts") % 5 != 0).groupBy("d").agg(F.avg("value").alias("level"))
+    found = threshold_by_key(with_covariates(rows, side, ["d"], ["level"]), ["user_id"], ["level"], 0.83)
+    return found.select("event_id", r6("level").alias("covariate"), F.round("threshold", 3).alias("threshold"))
