@@ -77,7 +77,7 @@ class QuantileRegressor:
 
     Majorise-minimise: the loss of a residual r is bounded by a parabola of weight 1 / (eps + |r|), so a pass solves
     weighted normal equations, whose few cells are one aggregation; eps is lowered from pass to pass. Without a penalty
-    the result is then made exact with about ``near`` rows at a time on the driver.
+    the result is then made exact with about ``near`` rows at a time on the driver; ``exact`` tells whether it was.
     """
 
     quantile: float = 0.5
@@ -87,6 +87,7 @@ class QuantileRegressor:
     tolerance: float = 1e-9
     coef: list[float] = field(default_factory=list)
     intercept: float = 0.0
+    exact: bool = False
 
     def fit(self, rows: DataFrame, features: list[str], target: str) -> QuantileRegressor:
         """Rows with a null or NaN in a used column are left out; without rows an error is raised."""
@@ -119,6 +120,7 @@ class QuantileRegressor:
                 break
             loss, beta = found.loss, np.linalg.lstsq(gram + penalty, right, rcond=None)[0]
             eps = max(1e-9, eps * 0.7)
+        self.exact = False
         for _ in range(10 if not self.alpha else 0):
             r = y - sum((x[i] * float(beta[i]) for i in range(d)), F.lit(0.0))
             cut = kept.agg(F.percentile_approx(F.abs(r), F.lit(min(1.0, self.near / stats.n)), F.lit(10_000)).alias("c")).first().c
@@ -134,6 +136,7 @@ class QuantileRegressor:
             moved = kept.where(away & (F.signum(now) != F.signum(r))).limit(1).count()
             beta = found
             if not moved:
+                self.exact = True
                 break
         self.coef = [float(beta[i + 1] * unit[target] / unit[c]) for i, c in enumerate(features)]
         self.intercept = float(mean[target] + beta[0] * unit[target] - sum(b * mean[c] for b, c in zip(self.coef, features, strict=True)))
@@ -163,13 +166,29 @@ def _weighted(x: np.ndarray, y: np.ndarray, quantile: float, beta: np.ndarray, e
     return (x * w[:, None]).T @ x, x.T @ (w * y) + (2 * quantile - 1) * x.sum(0)
 
 
+def _independent(x: np.ndarray) -> list[int]:
+    """Columns that aren't sums of those before them."""
+    found: list[int] = []
+    for i in range(x.shape[1]):
+        if np.linalg.matrix_rank(x[:, [*found, i]]) > len(found):
+            found.append(i)
+    return found
+
+
+def _exact(x: np.ndarray, y: np.ndarray, quantile: float, pull: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """``_vertex`` for columns that may depend on each other: those that do get a coefficient of 0."""
+    use, out = _independent(x), np.zeros(x.shape[1])
+    out[use] = _vertex(x[:, use], y, quantile, pull[use], beta[use])
+    return out
+
+
 def _local_fit(x: np.ndarray, y: np.ndarray, quantile: float, passes: int) -> np.ndarray:
     beta, eps = np.zeros(x.shape[1]), 1.0
     beta[0] = np.quantile(y, quantile)
     for _ in range(passes):
         gram, right = _weighted(x, y, quantile, beta, eps)
         beta, eps = np.linalg.lstsq(gram, right, rcond=None)[0], max(1e-9, eps * 0.6)
-    return _vertex(x, y, quantile, np.zeros(x.shape[1]), beta)
+    return _exact(x, y, quantile, np.zeros(x.shape[1]), beta)
 
 
 def fit_by_key(rows: DataFrame, keys: list[str], features: list[str], target: str, quantile: float, local_rows: int = 50_000, near: int = 2_000, passes: int = 30) -> DataFrame:
@@ -271,7 +290,7 @@ def _long_fits(rows: DataFrame, stats: DataFrame, held: list[str], xs: list[str]
         pdf = pdf.sort_values([*xs, "y"])
         a = np.column_stack([np.ones(len(pdf)), *[pdf[c].to_numpy() for c in xs]])
         out = pdf[held].iloc[:1].copy()
-        out["better"] = [_vertex(a, pdf["y"].to_numpy(), quantile, np.array(pdf["pull"].iloc[0]), np.array(pdf["beta"].iloc[0])).tolist()]
+        out["better"] = [_exact(a, pdf["y"].to_numpy(), quantile, np.array(pdf["pull"].iloc[0]), np.array(pdf["beta"].iloc[0])).tolist()]
         return out
 
     better = close.groupBy(*held).applyInPandas(exactly, T.StructType([*fields, T.StructField("better", T.ArrayType(T.DoubleType()))]))
