@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brinkline.operators.history import NAMES, with_history
+from brinkline.operators.positions import CHUNK_ROWS, numbered, same_keys
 from brinkline.plans.shared import materialize, shared_root
 
 FLOOR = 1e-30
@@ -35,9 +37,10 @@ def piecewise_log_likelihood(events: DataFrame, pieces: list[tuple[float, float,
     return events.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(F.log(rate)) - integral).alias("log_lik"))
 
 
-def gaps(events: DataFrame, keys: list[str], t0: float = 0.0) -> DataFrame:
-    along = W.partitionBy(*keys).orderBy("t")
-    return events.withColumn("gap", F.col("t") - F.coalesce(F.lag("t").over(along), F.lit(t0)))
+def gaps(events: DataFrame, keys: list[str], t0: float = 0.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``events`` with gap, the time since the event before, or since ``t0``; keys may be longer than a task."""
+    rows = with_history(events.drop("gap"), keys, ["t"], chunk_rows=chunk_rows)
+    return rows.withColumn("gap", F.col("t") - F.coalesce("last_t", F.lit(t0))).drop(*NAMES)
 
 
 def renewal_log_likelihood(events: DataFrame, keys: list[str], t1: float, log_density: Callable[[Column], Column], log_survival: Callable[[Column], Column]) -> DataFrame:
@@ -101,25 +104,30 @@ def kernel_intensities(events: DataFrame, keys: list[str], mu: float, kernel: Ca
     return rates.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("i", "m")
 
 
-def residuals(events: DataFrame, keys: list[str], cumulative: Callable[[Column], Column]) -> DataFrame:
+def residuals(events: DataFrame, keys: list[str], cumulative: Callable[[Column], Column], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Time-rescaling residuals: differences of the compensator between successive events, the first from 0."""
-    along = W.partitionBy(*keys).orderBy("t")
-    at = cumulative(F.col("t"))
-    return events.withColumn("residual", at - F.coalesce(F.lag(at).over(along), cumulative(F.lit(0.0))))
+    rows = with_history(events.drop("residual"), keys, ["t"], chunk_rows=chunk_rows)
+    return rows.withColumn("residual", cumulative(F.col("t")) - cumulative(F.coalesce("last_t", F.lit(0.0)))).drop(*NAMES)
 
 
-def ks_exponential(rows: DataFrame, keys: list[str], residual: str = "residual") -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], residual: str, chunk_rows: int) -> DataFrame:
+    """(keys, residual) with i, the rank from 1, and n, the key's rows."""
+    asked = rows.select(*keys, residual)
+    ranked = numbered(asked, keys, [residual], "i", chunk_rows).withColumn("i", F.col("i") + 1)
+    counts = asked.groupBy(*[F.col(k).alias(f"brinkline_{k}") for k in keys]).agg(F.count("*").alias("n"))
+    found = ranked.join(counts, same_keys(ranked, counts, {k: f"brinkline_{k}" for k in keys}))
+    return found.drop(*[f"brinkline_{k}" for k in keys])
+
+
+def ks_exponential(rows: DataFrame, keys: list[str], residual: str = "residual", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Two-sided Kolmogorov-Smirnov distance of the residuals from the unit exponential."""
-    w = W.partitionBy(*keys)
-    ranked = rows.withColumn("i", F.row_number().over(w.orderBy(residual))).withColumn("n", F.count("*").over(w))
     cdf = 1.0 - F.exp(-F.col(residual))
-    return ranked.groupBy(*keys).agg(F.max(F.greatest(F.col("i") / F.col("n") - cdf, cdf - (F.col("i") - 1) / F.col("n"))).alias("ks"), F.count("*").alias("n"))
+    return _ranked(rows, keys, residual, chunk_rows).groupBy(*keys).agg(F.max(F.greatest(F.col("i") / F.col("n") - cdf, cdf - (F.col("i") - 1) / F.col("n"))).alias("ks"), F.count("*").alias("n"))
 
 
-def qq_exponential(rows: DataFrame, keys: list[str], residual: str = "residual") -> DataFrame:
+def qq_exponential(rows: DataFrame, keys: list[str], residual: str = "residual", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Sorted residuals beside unit exponential quantiles at (i - 1/2) / n."""
-    w = W.partitionBy(*keys)
-    ranked = rows.withColumn("i", F.row_number().over(w.orderBy(residual))).withColumn("n", F.count("*").over(w))
+    ranked = _ranked(rows, keys, residual, chunk_rows)
     return ranked.select(*keys, "i", F.col(residual).alias("empirical"), (-F.log(1.0 - (F.col("i") - 0.5) / F.col("n"))).alias("theoretical"))
 
 

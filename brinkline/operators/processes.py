@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from brinkline.functions.special import INF, col, log_poisson_sf
 from brinkline.operators import point_process
-from brinkline.operators.history import history_at
+from brinkline.operators.history import NAMES, history_at, with_history
+from brinkline.operators.positions import running_sums
 from brinkline.operators.quadrature import simpson, trapezoid
 from brinkline.sources.simulate import thinned
 
@@ -31,6 +32,12 @@ def in_windows(events: DataFrame, windows: DataFrame, keys: list[str]) -> DataFr
     return inside.withColumn("t", F.when((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")), F.col("t")))
 
 
+def _counted(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t, n) of every event: n counts the key's events up to and with its time."""
+    times = running_sums(events.groupBy(*keys, "t").agg(F.count("*").alias("brinkline_m")), keys, ["t"], {"n": F.col("brinkline_m")})
+    return times.withColumn("brinkline_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("brinkline_m")))).select(*keys, "t", "n")
+
+
 class Poisson:
     """What all Poisson processes share; a subclass gives ``log_intensity`` and ``cumulative``."""
 
@@ -79,8 +86,7 @@ class Poisson:
 
     def compensator_curve(self, events: DataFrame, keys: list[str]) -> DataFrame:
         """(keys, t, n, compensator): events counted up to each event's time beside what the model expects by then."""
-        upto = W.partitionBy(*keys).orderBy("t").rangeBetween(W.unboundedPreceding, 0)
-        return events.select(*keys, "t", F.count("*").over(upto).alias("n"), self.cumulative_intensity(F.col("t")).alias("compensator"))
+        return _counted(events, keys).withColumn("compensator", self.cumulative_intensity(F.col("t")))
 
 
 @dataclass(frozen=True)
@@ -193,9 +199,8 @@ class Renewal:
 
     def log_prob(self, events: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
         """(keys, t0, t1, n, log_lik): log densities of the gaps from t0 on, and the survival of the one still open at t1."""
-        along = W.partitionBy(*keys, "t0", "t1").orderBy("t")
         rows = in_windows(events, windows, keys)
-        gaps = rows.withColumn("gap", F.col("t") - F.coalesce(F.lag("t").over(along), F.col("t0")))
+        gaps = with_history(rows, [*keys, "t0", "t1"], ["t"]).withColumn("gap", F.col("t") - F.coalesce("last_t", F.col("t0")))
         found = gaps.groupBy(*keys, "t0", "t1").agg(F.count("t").alias("n"), F.sum(F.when(F.col("t").isNotNull(), self.inter_event_log_prob(F.col("gap")))).alias("ll"), F.max("t").alias("last"))
         return found.select(*keys, "t0", "t1", "n", (F.coalesce("ll", F.lit(0.0)) - self.cumulative_hazard(F.col("t1") - F.coalesce("last", F.col("t0")))).alias("log_lik"))
 
@@ -212,9 +217,9 @@ class Renewal:
         return point_process.ks_exponential(self.residuals(events, keys), keys)
 
     def compensator_curve(self, events: DataFrame, keys: list[str]) -> DataFrame:
-        along = W.partitionBy(*keys).orderBy("t").rangeBetween(W.unboundedPreceding, 0)
-        rows = self.residuals(events, keys)
-        return rows.select(*keys, "t", F.count("*").over(along).alias("n"), F.sum("residual").over(along).alias("compensator"))
+        at_once = self.residuals(events, keys).groupBy(*keys, "t").agg(F.count("*").alias("brinkline_m"), F.sum("residual").alias("brinkline_r"))
+        rows = running_sums(at_once, keys, ["t"], {"n": F.col("brinkline_m"), "compensator": F.col("brinkline_r")})
+        return rows.withColumn("brinkline_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("brinkline_m")))).select(*keys, "t", "n", "compensator")
 
     def expected_count(self, spark: SparkSession, t: float, nodes: int = 200) -> float:
         """E[N(t)] by the renewal equation m = F + f * m, solved forwards on a grid of ``nodes`` points."""
@@ -303,14 +308,14 @@ class ExponentialHawkes:
 
     def residuals(self, events: DataFrame, keys: list[str]) -> DataFrame:
         at = self.cumulative_intensity(events, events.select(*keys, "t"), keys)
-        return at.withColumn("residual", F.col("compensator") - F.coalesce(F.lag("compensator").over(W.partitionBy(*keys).orderBy("t")), F.lit(0.0))).drop("compensator")
+        rows = with_history(at, keys, ["t"], "compensator")
+        return rows.withColumn("residual", F.col("compensator") - F.coalesce("last_mark", F.lit(0.0))).drop("compensator", *NAMES)
 
     def goodness_of_fit(self, events: DataFrame, keys: list[str]) -> DataFrame:
         return point_process.ks_exponential(self.residuals(events, keys), keys)
 
     def compensator_curve(self, events: DataFrame, keys: list[str]) -> DataFrame:
-        upto = W.partitionBy(*keys).orderBy("t").rangeBetween(W.unboundedPreceding, 0)
-        return self.cumulative_intensity(events, events.select(*keys, "t"), keys).select(*keys, "t", F.count("*").over(upto).alias("n"), "compensator")
+        return self.cumulative_intensity(events, _counted(events, keys), keys)
 
 
 @dataclass(frozen=True)
@@ -353,7 +358,8 @@ class GeneralHawkes:
 
     def residuals(self, events: DataFrame, keys: list[str]) -> DataFrame:
         at = self.cumulative_intensity(events, events.select(*keys, "t"), keys)
-        return at.withColumn("residual", F.col("compensator") - F.coalesce(F.lag("compensator").over(W.partitionBy(*keys).orderBy("t")), F.lit(0.0))).drop("compensator")
+        rows = with_history(at, keys, ["t"], "compensator")
+        return rows.withColumn("residual", F.col("compensator") - F.coalesce("last_mark", F.lit(0.0))).drop("compensator", *NAMES)
 
     def goodness_of_fit(self, events: DataFrame, keys: list[str]) -> DataFrame:
         return point_process.ks_exponential(self.residuals(events, keys), keys)

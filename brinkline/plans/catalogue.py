@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, lo: int, hi: int) -> DataFrame:
+    """The parts' keys, dealt over the whole numbers from ``lo`` up to ``hi``, as id."""
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") % (hi - lo) + lo).alias("id"))
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -189,22 +194,23 @@ def gpd_functions(spark, sf_dir):
     return _grid(spark, sf_dir).select("x", *[r6(c).alias(k) for k, c in cols.items()])
 
 
-@query("WITH g AS (SELECT i / 100.0 AS xi FROM range(-40, 30) t(i) WHERE i <> 0), m AS (SELECT xi, gamma(1 - xi) AS g1, gamma(1 - 2 * xi) AS g2, gamma(1 - 3 * xi) AS g3 FROM g) SELECT round(xi, 2) AS xi, round(3 + 2 / xi * (g1 - 1), 5) AS mean, round(4 / (xi * xi) * (g2 - g1 * g1), 5) AS variance, round(sign(xi) * (g3 - 3 * g2 * g1 + 2 * g1 * g1 * g1) / pow(g2 - g1 * g1, 1.5), 5) AS skewness, round(3 + 2 / xi * (pow(1 + xi, -xi) - 1), 5) AS mode, round(ln(2) + 0.5772156649015329 * (1 + xi) + 1, 5) AS entropy FROM m")
+@query("WITH g AS (SELECT i / 100.0 AS xi FROM (SELECT p_partkey % 70 - 40 AS i FROM part) t WHERE i <> 0), m AS (SELECT xi, gamma(1 - xi) AS g1, gamma(1 - 2 * xi) AS g2, gamma(1 - 3 * xi) AS g3 FROM g) SELECT round(xi, 2) AS xi, round(3 + 2 / xi * (g1 - 1), 5) AS mean, round(4 / (xi * xi) * (g2 - g1 * g1), 5) AS variance, round(sign(xi) * (g3 - 3 * g2 * g1 + 2 * g1 * g1 * g1) / pow(g2 - g1 * g1, 1.5), 5) AS skewness, round(3 + 2 / xi * (pow(1 + xi, -xi) - 1), 5) AS mode, round(ln(2) + 0.5772156649015329 * (1 + xi) + 1, 5) AS entropy FROM m")
 def gev_moments(spark, sf_dir):
-    rows = spark.range(-40, 30).where("id <> 0").select((F.col("id") / 100.0).alias("xi"))
+    rows = spread(spark, sf_dir, -40, 30).where("id <> 0").select((F.col("id") / 100.0).alias("xi"))
     p = (3.0, 2.0, F.col("xi"))
     cols = {"mean": evt.gev_mean(*p), "variance": evt.gev_variance(*p), "skewness": evt.gev_skewness(*p), "mode": evt.gev_mode(*p), "entropy": evt.gev_entropy(*p)}
     return rows.select(F.round("xi", 2).alias("xi"), *[F.round(c, 5).alias(k) for k, c in cols.items()])
 
 
-@query("SELECT i AS k, round(lgamma(i / 7.0), 6) AS lgamma FROM range(1, 200) t(i)")
+@query("SELECT i AS k, round(lgamma(i / 7.0), 6) AS lgamma FROM (SELECT p_partkey % 199 + 1 AS i FROM part) t")
 def special_functions(spark, sf_dir):
-    return spark.range(1, 200).select(F.col("id").alias("k"), r6(lgamma(F.col("id") / 7.0)).alias("lgamma"))
+    return spread(spark, sf_dir, 1, 200).select(F.col("id").alias("k"), r6(lgamma(F.col("id") / 7.0)).alias("lgamma"))
 
 
-@query()
+@query("""WITH x AS (SELECT (p_partkey % 121 - 60) / 10.0 AS x FROM part) SELECT x, round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * least(2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 160),
+lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(greatest(abs(x), 1e-9)) + lgamma(n + 1) - lgamma(2 * n + 2)))), 1) END, 6) AS erf FROM x""")
 def error_function(spark, sf_dir):
-    return spark.range(-60, 61).select((F.col("id") / 10.0).alias("x"), r6(erf(F.col("id") / 10.0)).alias("erf"))
+    return spread(spark, sf_dir, -60, 61).select((F.col("id") / 10.0).alias("x"), r6(erf(F.col("id") / 10.0)).alias("erf"))
 
 
 @query("WITH r AS (SELECT l_suppkey, l_extendedprice AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem), h AS (SELECT l_suppkey, k, x, avg(ln(x)) OVER (PARTITION BY l_suppkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM r WHERE k <= 21), n AS (SELECT l_suppkey, k, m, lead(ln(x)) OVER (PARTITION BY l_suppkey ORDER BY k) AS nx FROM h) SELECT l_suppkey, k, round(CASE WHEN m > nx THEN 1 / (m - nx) ELSE 'inf'::DOUBLE END, 4) AS hill FROM n WHERE nx IS NOT NULL")

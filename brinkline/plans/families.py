@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brinkline.functions import distributions as D
 from brinkline.operators import blocks, decluster, quantile_regression, thresholds
-from brinkline.plans.catalogue import ISLANDS, exceeding, query, r6, table
+from brinkline.plans.catalogue import ISLANDS, exceeding, query, r6, spread, table
 
 FAMILIES = {
     "gev": (D.GeneralizedExtremeValue(2.0, 1.5, 0.2), 2.0, 1.5, 0.2),
@@ -78,7 +78,7 @@ for _name, (_model, _l, _s, _k) in FAMILIES.items():
 
 
 def _moment_sql(l, s):  # noqa: E741
-    return f"""WITH g AS (SELECT i / 40.0 AS k FROM range(-44, 44) t(i) WHERE i <> 0), m AS (SELECT k, gamma(greatest(1 - k, 1e-9)) AS g1, gamma(greatest(1 - 2 * k, 1e-9)) AS g2, gamma(greatest(1 - 3 * k, 1e-9)) AS g3, gamma(greatest(1 - 4 * k, 1e-9)) AS g4 FROM g)
+    return f"""WITH g AS (SELECT i / 40.0 AS k FROM (SELECT p_partkey % 88 - 44 AS i FROM part) t WHERE i <> 0), m AS (SELECT k, gamma(greatest(1 - k, 1e-9)) AS g1, gamma(greatest(1 - 2 * k, 1e-9)) AS g2, gamma(greatest(1 - 3 * k, 1e-9)) AS g3, gamma(greatest(1 - 4 * k, 1e-9)) AS g4 FROM g)
 SELECT round(k, 3) AS k, CASE WHEN k < 0.25 THEN round((g4 - 4 * g1 * g3 + 6 * g1 * g1 * g2 - 3 * pow(g1, 4)) / pow(g2 - g1 * g1, 2) - 3, 3) ELSE 'inf'::DOUBLE END AS kurtosis,
 CASE WHEN k < 1.0 / 3 THEN round(sign(k) * (g3 - 3 * g1 * g2 + 2 * pow(g1, 3)) / pow(g2 - g1 * g1, 1.5), 4) ELSE 'inf'::DOUBLE END AS skew,
 CASE WHEN k < 0.5 THEN round({s} / abs(k) * sqrt(greatest(g2 - g1 * g1, 0)), 4) ELSE 'inf'::DOUBLE END AS stddev,
@@ -89,25 +89,25 @@ CASE WHEN k > 0 THEN round(1 / k, 6) ELSE 'inf'::DOUBLE END AS tail_index, round
 
 @query(_moment_sql(2.0, 1.5))
 def gev_moments_by_shape(spark, sf_dir):
-    grid = spark.range(-44, 44).where("id <> 0").select((F.col("id") / 40.0).alias("k"))
+    grid = spread(spark, sf_dir, -44, 44).where("id <> 0").select((F.col("id") / 40.0).alias("k"))
     m = D.GeneralizedExtremeValue(2.0, 1.5, F.col("k"))
     cols = {"kurtosis": F.round(m.kurtosis(), 3), "skew": F.round(m.skew(), 4), "stddev": F.round(m.stddev(), 4), "mode": r6(m.mode()), "median": r6(m.median()), "lower_bound": r6(m.lower_bound()), "upper_bound": r6(m.upper_bound()), "tail_index": r6(m.tail_index()), "level_100": F.round(m.return_level(100.0), 5), "entropy": r6(m.entropy())}
     return grid.select(F.round("k", 3).alias("k"), *[c.alias(n) for n, c in cols.items()])
 
 
-@query("""WITH g AS (SELECT i / 40.0 AS k FROM range(-44, 44) t(i) WHERE i <> 0)
+@query("""WITH g AS (SELECT i / 40.0 AS k FROM (SELECT p_partkey % 88 - 44 AS i FROM part) t WHERE i <> 0)
 SELECT round(k, 3) AS k, 0.0::DOUBLE AS mode, CASE WHEN k < 1 THEN round(3 / (1 - k), 6) ELSE 'inf'::DOUBLE END AS mean, CASE WHEN k < 0.5 THEN round(9 / (pow(1 - k, 2) * (1 - 2 * k)), 5) ELSE 'inf'::DOUBLE END AS variance,
 CASE WHEN k < 1.0 / 3 THEN round(2 * (1 + k) * sqrt(1 - 2 * k) / (1 - 3 * k), 5) ELSE 'inf'::DOUBLE END AS skew, CASE WHEN k < 0.25 THEN round(3 * (1 - 2 * k) * (2 * k * k + k + 3) / ((1 - 3 * k) * (1 - 4 * k)) - 3, 4) ELSE 'inf'::DOUBLE END AS kurtosis,
 CASE WHEN k > 0 THEN round(1 / k, 6) ELSE 'inf'::DOUBLE END AS tail_index, 0.0::DOUBLE AS lower_bound, CASE WHEN k < 0 THEN round(-3 / k, 6) ELSE 'inf'::DOUBLE END AS upper_bound, round(ln(3) + k + 1, 6) AS entropy,
 CASE WHEN 1 + k * 2 / 3 > 0 THEN round(pow(1 + k * 2 / 3, -1 / k), 6) ELSE 0 END AS exceedance, k > 0 OR 2 <= -3 / k AS inside FROM g""")
 def gpd_moments_by_shape(spark, sf_dir):
-    grid = spark.range(-44, 44).where("id <> 0").select((F.col("id") / 40.0).alias("k"))
+    grid = spread(spark, sf_dir, -44, 44).where("id <> 0").select((F.col("id") / 40.0).alias("k"))
     m = D.GeneralizedPareto(3.0, F.col("k"))
     cols = {"mode": m.mode(), "mean": r6(m.mean()), "variance": F.round(m.variance(), 5), "skew": F.round(m.skew(), 5), "kurtosis": F.round(m.kurtosis(), 4), "tail_index": r6(m.tail_index()), "lower_bound": m.lower_bound(), "upper_bound": r6(m.upper_bound()), "entropy": r6(m.entropy()), "exceedance": r6(m.exceedance_probability(2.0)), "inside": m.in_support(2.0)}
     return grid.select(F.round("k", 3).alias("k"), *[c.alias(n) for n, c in cols.items()])
 
 
-@query("""WITH g AS (SELECT i / 20.0 AS t FROM range(-40, 41) t(i)), y AS (SELECT t, -1.5 * t AS y FROM g),
+@query("""WITH g AS (SELECT i / 20.0 AS t FROM (SELECT p_partkey % 81 - 40 AS i FROM part) t), y AS (SELECT t, -1.5 * t AS y FROM g),
 p AS (SELECT t, y, CASE WHEN y = 0 THEN 1 ELSE sqrt(pi() * y / ((exp(pi() * y) - exp(-pi() * y)) / 2)) END AS size, -0.5772156649015329 * y + list_sum(list_transform(range(1, 40001), lambda n: y / n - atan(y / n))) AS angle FROM y)
 SELECT round(t, 3) AS t, CASE WHEN t < 1 / 1.5 THEN round(exp(2 * t) * gamma(greatest(1 - 1.5 * t, 1e-9)), 5) ELSE 'inf'::DOUBLE END AS mgf, round(size * cos(angle + 2 * t), 5) AS re, round(size * sin(angle + 2 * t), 5) AS im,
 round(2 + 4 * t, 6) AS paper_x, round(greatest(4 * t / 1.5, -ln(-ln(1e-15))), 5) AS paper_y, round(-1.5 * ln(-ln(0.75)) + 1.5 * ln(-ln(0.25)), 6) AS iqr, round(1.5 * pi() / sqrt(6) / (2 + 0.5772156649015329 * 1.5), 6) AS variation,
@@ -116,20 +116,20 @@ def gumbel_transforms(spark, sf_dir):
     m, t = D.Gumbel(2.0, 1.5), F.col("t")
     wave, paper = m.characteristic_function(t), m.probability_paper(2.0 + 4.0 * t)
     cols = {"mgf": F.round(m.moment_generating_function(t), 5), "re": F.round(wave["re"], 5), "im": F.round(wave["im"], 5), "paper_x": r6(paper["x"]), "paper_y": F.round(paper["y"], 5), "iqr": r6(m.interquartile_range()), "variation": r6(m.coefficient_of_variation()), "median": r6(m.median()), "mode": m.mode(), "variance": r6(m.variance()), "skew": r6(m.skew()), "kurtosis": m.kurtosis(), "entropy": r6(m.entropy()), "level_100": r6(m.return_level(100.0)), "mean": r6(m.mean())}
-    return spark.range(-40, 41).select((F.col("id") / 20.0).alias("t")).select(F.round("t", 3).alias("t"), *[c.alias(n) for n, c in cols.items()])
+    return spread(spark, sf_dir, -40, 41).select((F.col("id") / 20.0).alias("t")).select(F.round("t", 3).alias("t"), *[c.alias(n) for n, c in cols.items()])
 
 
 def _var(q):
     return f"(2 + 5 * (pow(-ln({q}), -0.3) - 1))"
 
 
-@query(f"""WITH g AS (SELECT i / 50.0 AS q FROM range(1, 50) t(i)), a AS (SELECT q, {_var('q')} AS x, -ln(q) AS tau FROM g)
+@query(f"""WITH g AS (SELECT i / 50.0 AS q FROM (SELECT p_partkey % 49 + 1 AS i FROM part) t), a AS (SELECT q, {_var('q')} AS x, -ln(q) AS tau FROM g)
 SELECT round(q, 3) AS q, round(x, 6) AS value_at_risk, round(x, 6) AS hill_threshold, round({_over('tau', 2.0, 1.5, 0.3)} / (1 - q), 4) AS expected_shortfall, round(1.5 + 0.3 * (x - 2), 6) AS tail_scale, 0.3::DOUBLE AS tail_shape, round(pow(1 + q, -1 / 0.3), 6) AS scaling FROM a""")
 def frechet_risk(spark, sf_dir):
     m, q = D.Frechet(2.0, 1.5, 0.3), F.col("q")
     tail = m.pareto_tail_approx(m.value_at_risk(q))
     cols = {"value_at_risk": r6(m.value_at_risk(q)), "hill_threshold": r6(m.hill_estimator_threshold(q)), "expected_shortfall": F.round(m.expected_shortfall(q), 4), "tail_scale": r6(tail["scale"]), "tail_shape": r6(tail["concentration"]), "scaling": r6(m.power_law_scaling(1.0 + q))}
-    return spark.range(1, 50).select((F.col("id") / 50.0).alias("q")).select(F.round("q", 3).alias("q"), *[c.alias(n) for n, c in cols.items()])
+    return spread(spark, sf_dir, 1, 50).select((F.col("id") / 50.0).alias("q")).select(F.round("q", 3).alias("q"), *[c.alias(n) for n, c in cols.items()])
 
 
 @query("""WITH p AS (SELECT s_suppkey AS i, s_nationkey::DOUBLE AS x, s_acctbal::DOUBLE AS y FROM supplier), l AS (SELECT a.i AS i, b.i AS j, (b.y - a.y) / (b.x - a.x) AS s, a.y - a.x * (b.y - a.y) / (b.x - a.x) AS c FROM p a JOIN p b ON a.i < b.i AND a.x <> b.x),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brinkline.operators import processes as P
 from brinkline.operators import spatial as S
-from brinkline.plans.catalogue import HOURS, T, hours, query, r6, table
+from brinkline.plans.catalogue import HOURS, T, hours, query, r6, spread, table
 
 EVENTS = f"e AS (SELECT user_id, event_id, {T} AS t FROM events)"
 USERS = "w AS (SELECT c_custkey - 1 AS user_id FROM customer)"
@@ -206,12 +206,12 @@ def spatial_marks_log_likelihood(spark, sf_dir):
 
 
 @query("""SELECT i::DOUBLE / 10 AS r, round(2 * i / 10.0, 6) AS k1, round(pi() * pow(i / 10.0, 2), 6) AS k2, round(4.0 / 3 * pi() * pow(i / 10.0, 3), 6) AS k3, round(i / 10.0, 6) AS l2, round(i / 10.0, 6) AS l4, 1.0::DOUBLE AS g,
-round(0.5 / sqrt(120.0), 6) AS nearest, 120.0 * 10 * 0.02 AS expected FROM range(1, 51) t(i)""")
+round(0.5 / sqrt(120.0), 6) AS nearest, 120.0 * 10 * 0.02 AS expected FROM (SELECT p_partkey % 50 + 1 AS i FROM part) t""")
 def spatial_randomness(spark, sf_dir):
     r, m = F.col("r"), S.HomogeneousSpatial(120.0, PLANE)
     mean, _ = m.predict_count(S.Box((5.0, 0.01), (15.0, 0.03)))
     cols = {"k1": r6(S.ripleys_k(r, 1)), "k2": r6(S.ripleys_k(r, 2)), "k3": r6(S.ripleys_k(r, 3)), "l2": r6(S.l_function(r, 2)), "l4": r6(S.l_function(r, 4)), "g": S.pair_correlation(r, 2), "nearest": F.round(F.lit(m.nearest_neighbor_distance()), 6), "expected": F.round(F.lit(mean), 6)}
-    return spark.range(1, 51).select((F.col("id") / 10.0).alias("r")).select("r", *[c.alias(n) for n, c in cols.items()])
+    return spread(spark, sf_dir, 1, 51).select((F.col("id") / 10.0).alias("r")).select("r", *[c.alias(n) for n, c in cols.items()])
 
 
 # space and time: events by value and hour, an event type a pattern
