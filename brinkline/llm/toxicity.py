@@ -11,6 +11,7 @@ grades what no rule covers. Either one may make a text toxic.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -298,20 +299,22 @@ def cover(docs: list[tuple[bool, list[int]]], names: list[str], negative_weight:
     everywhere = {f: (len(r & pos), len(r - pos)) for f, r in rows.items()}
     left = set(range(len(docs)))
     rules: dict[str, float] = {}
-    gains = {f: p - strictness * negative_weight * n for f, (p, n) in everywhere.items()}
-    while gains:
-        f = max(gains, key=lambda g: (gains[g], len(names[g]), names[g]))
-        if gains[f] < 2:
-            break
+    # of equal gains the longest name goes first, of those the last one; gains only fall, so the heap's are bounds
+    rank = {f: i for i, f in enumerate(sorted(everywhere, key=lambda g: (len(names[g]), names[g]), reverse=True))}
+    heap = [(-(p - strictness * negative_weight * n), rank[f], f) for f, (p, n) in everywhere.items()]
+    heapq.heapify(heap)
+    while heap and -heap[0][0] >= 2:
+        bound, place, f = heap[0]
         now = rows[f] & left
-        gain = len(now & pos) - strictness * negative_weight * len(now - pos)
-        if gain < gains[f]:
-            gains[f] = gain
+        good = len(now & pos)
+        gain = good - strictness * negative_weight * (len(now) - good)
+        if gain < -bound:
+            heapq.heapreplace(heap, (-gain, place, f))
             continue
         p, n = everywhere[f]
         rules[names[f]] = (p + 0.1) / (p + negative_weight * n + 0.2)
         left -= now
-        del gains[f]
+        heapq.heappop(heap)
     missed = len(left & pos)
     base = (missed + 0.5) / (missed + negative_weight * len(left - pos) + (1.0 if pos else 2.0))
     return base, rules
