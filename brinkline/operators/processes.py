@@ -342,9 +342,8 @@ class GeneralHawkes:
     def cumulative_intensity(self, events: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
         """``queries`` with compensator: kernels in reach in part, those further back whole."""
         near = self._near(events, queries, keys, self.integral)
-        times = events.select(*keys, F.col("t").cast("double").alias("t"), F.lit(0).alias("ask")).union(queries.select(*keys, F.col("t").cast("double"), F.lit(1)).distinct())
-        before = W.partitionBy(*keys).orderBy("t", F.desc("ask")).rowsBetween(W.unboundedPreceding, -1)
-        counts = times.withColumn("n", F.count(F.when(F.col("ask") == 0, 1)).over(before)).where("ask = 1").select(*keys, "t", "n")
+        asked = queries.select(*keys, F.col("t").cast("double").alias("t")).distinct()
+        counts = history_at(events.select(*keys, F.col("t").cast("double").alias("t")), asked, keys).select(*keys, "t", F.col("n_before").alias("n"))
         whole = self.mu * F.col("t") + F.col("near") + (F.col("n") - F.col("near_n")) * self.integral(F.lit(float(self.reach)))
         return queries.join(near, [*keys, "t"]).join(counts, [*keys, "t"]).withColumn("compensator", whole).drop("near", "near_n", "n")
 

@@ -148,7 +148,11 @@ for _kind, _sql in {"max": "mx", "mean": "mean", "sum": "sm", "min": "mn"}.items
     _runs(_kind, _sql)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS ix FROM events), u AS (SELECT event_type, quantile_cont(value, 0.95) AS threshold FROM events GROUP BY 1),
+n AS (SELECT *, lag(value) OVER o AS before, lead(value) OVER o AS after FROM e WINDOW o AS (PARTITION BY event_type ORDER BY ix)),
+r AS (SELECT n.event_type, ix, value, false AS kept FROM n JOIN u USING (event_type) WHERE value > threshold AND value > coalesce(before, -1) AND value > coalesce(after, -1) UNION ALL SELECT * FROM (
+WITH l AS (SELECT * FROM r WHERE NOT kept), t AS (SELECT l.* FROM l WHERE NOT EXISTS (SELECT 1 FROM l h WHERE h.event_type = l.event_type AND abs(h.ix - l.ix) < 25 AND (h.value > l.value OR h.value = l.value AND h.ix > l.ix)))
+SELECT event_type, ix, value, true FROM t UNION ALL SELECT l.event_type, l.ix, l.value, false FROM l WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.event_type = l.event_type AND abs(t.ix - l.ix) < 25))) SELECT event_type, ix, value FROM r WHERE kept""")
 def separation_peaks(spark, sf_dir):
     return decluster.separated_peaks(exceeding(spark, sf_dir), 25, ["event_type"], ["ts", "event_id"]).select("event_type", "ix", "value")
 
