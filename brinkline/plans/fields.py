@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from brinkline.operators import decluster, masks, raster, thresholds
+from brinkline.operators import decluster, dependence, estimation, masks, raster, thresholds
 from brinkline.operators.quantile_regression import threshold_by_key, with_covariates
 from brinkline.plans.catalogue import ISLANDS, T, exceeding, hours, query, r6, table
 
@@ -145,3 +145,59 @@ def regression_threshold_covariate(spark, sf_dir):
     side = rows.where(F.dayofmonth("ts") % 5 != 0).groupBy("d").agg(F.avg("value").alias("level"))
     found = threshold_by_key(with_covariates(rows, side, ["d"], ["level"]), ["user_id"], ["level"], 0.83)
     return found.select("event_id", r6("level").alias("covariate"), F.round("threshold", 3).alias("threshold"))
+
+
+_SITES = "s AS (SELECT s_suppkey AS k, s_nationkey::DOUBLE AS x, s_acctbal / 500 AS y FROM supplier), m AS (SELECT l_suppkey AS k, year(l_shipdate) AS t, max(l_extendedprice) AS z FROM lineitem GROUP BY 1, 2)"
+_RANKS = "n AS (SELECT k, count(*) AS n FROM m GROUP BY 1), u AS (SELECT a.k, a.t, count(*) / (any_value(n) + 1) AS u FROM m a JOIN m b ON b.k = a.k AND b.z <= a.z JOIN n ON n.k = a.k GROUP BY 1, 2)"
+_PAIRS = "p AS (SELECT a.k AS a, b.k AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS h FROM s a JOIN s b ON a.k < b.k WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 7)"
+_BINS_OF = "SELECT floor(h / 1.7)::BIGINT AS bin, round(sum(h) / count(*), 6) AS distance, count(*) AS pairs, sum(n)::BIGINT AS n"
+
+
+def yearly(spark, sf_dir):
+    """Yearly maxima by supplier, and where suppliers are in the plane of nation and balance."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("t")).agg(F.max("l_extendedprice").alias("z"))
+    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("double").alias("x"), (F.col("s_acctbal") / 500).alias("y"))
+    return items, sites
+
+
+@query(f"WITH {_SITES}, {_RANKS}, {_PAIRS}, j AS (SELECT a, b, h, count(*) AS n, sum(abs(x.u - y.u)) AS d FROM p JOIN u x ON x.k = a JOIN u y ON y.k = b AND y.t = x.t GROUP BY 1, 2, 3), g AS ({_BINS_OF}, 0.5 * sum(d) / sum(n) AS nu FROM j GROUP BY 1) SELECT bin, distance, pairs, n, round(nu, 6) AS nu, round((1 + 2 * nu) / (1 - 2 * nu), 5) AS theta FROM g")
+def site_madogram(spark, sf_dir):
+    items, sites = yearly(spark, sf_dir)
+    found = dependence.madogram(items, sites, "k", "t", "z", 7.0, 1.7)
+    return found.select("bin", r6("distance").alias("distance"), "pairs", "n", r6("nu").alias("nu"), F.round("theta", 5).alias("theta"))
+
+
+@query(f"WITH {_SITES}, {_PAIRS}, j AS (SELECT a, b, h, count(*) AS n, sum(pow(ln(x.z) - ln(y.z), 2)) AS d FROM p JOIN m x ON x.k = a JOIN m y ON y.k = b AND y.t = x.t GROUP BY 1, 2, 3) {_BINS_OF}, round(0.5 * sum(d) / sum(n), 6) AS gamma FROM j GROUP BY 1")
+def site_variogram(spark, sf_dir):
+    items, sites = yearly(spark, sf_dir)
+    found = dependence.variogram(items, sites, "k", "t", "z", 7.0, 1.7, F.log)
+    return found.select("bin", r6("distance").alias("distance"), "pairs", "n", r6("gamma").alias("gamma"))
+
+
+@query(f"""WITH {_SITES}, {_RANKS}, {_PAIRS}, j AS (SELECT a, b, h, count(*) AS n, sum(CASE WHEN x.u > 0.7 AND y.u > 0.7 THEN 1 ELSE 0 END) AS c, sum((x.u > 0.7)::INT + (y.u > 0.7)::INT) AS o FROM p JOIN u x ON x.k = a JOIN u y ON y.k = b AND y.t = x.t GROUP BY 1, 2, 3),
+g AS ({_BINS_OF}, sum(c) / sum(n) AS c, sum(o) / (2 * sum(n)) AS o FROM j GROUP BY 1) SELECT bin, distance, pairs, n, round(CASE WHEN o > 0 THEN c / o END, 6) AS chi, round(CASE WHEN c > 0 AND c < 1 THEN 2 * ln(o) / ln(c) - 1 END, 6) AS chi_bar FROM g""")
+def site_joint_exceedances(spark, sf_dir):
+    items, sites = yearly(spark, sf_dir)
+    found = dependence.joint_exceedances(items, sites, "k", "t", "z", 7.0, 1.7, 0.7)
+    return found.select("bin", r6("distance").alias("distance"), "pairs", "n", r6("chi").alias("chi"), r6("chi_bar").alias("chi_bar"))
+
+
+_MOMENTS = "AS (SELECT k, n, avg(x) AS b0, avg(i / (n - 1) * x) AS b1, avg(i / (n - 1) * ((i - 1) / (n - 2)) * x) AS b2 FROM (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM {rows}) WHERE n > 2 GROUP BY 1, 2)"
+
+
+@query(f"""WITH y AS (SELECT l_suppkey AS k, max(l_extendedprice) AS x FROM lineitem GROUP BY l_suppkey, date_trunc('month', l_shipdate)), m {_MOMENTS.format(rows="y")},
+c AS (SELECT *, (2 * b1 - b0) / (3 * b2 - b0) - ln(2) / ln(3) AS c FROM m), q AS (SELECT *, 7.8590 * c + 2.9554 * c * c AS q FROM c), s AS (SELECT *, (2 * b1 - b0) * q / (gamma(1 + q) * (1 - pow(2, -q))) AS scale FROM q)
+SELECT k AS l_suppkey, n, round(b0 + scale * (gamma(1 + q) - 1) / q, 2) AS loc, round(scale, 2) AS scale, round(-q, 6) AS shape FROM s""")
+def gev_fit_by_supplier(spark, sf_dir):
+    """Monthly maxima of every supplier."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.date_trunc("month", "l_shipdate").alias("month")).agg(F.max("l_extendedprice").alias("value"))
+    found = estimation.fit_gev(items, ["l_suppkey"])
+    return found.select("l_suppkey", "n", F.round("loc", 2).alias("loc"), F.round("scale", 2).alias("scale"), r6("shape").alias("shape"))
+
+
+@query(f"""WITH u AS (SELECT l_suppkey AS k, quantile_cont(l_extendedprice, 0.9) AS u FROM lineitem GROUP BY 1), y AS (SELECT l_suppkey AS k, l_extendedprice - u AS x FROM lineitem JOIN u ON u.k = l_suppkey WHERE l_extendedprice > u), m {_MOMENTS.format(rows="y")}
+SELECT k AS l_suppkey, n, round(2 * b0 * (b0 - b1) / (2 * b1 - b0), 2) AS scale, round(2 - b0 / (2 * b1 - b0), 5) AS shape FROM m""")
+def gpd_fit_by_supplier(spark, sf_dir):
+    rows = thresholds.with_threshold(table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("value")), ["l_suppkey"], q=0.9)
+    found = estimation.fit_gpd(rows, ["l_suppkey"])
+    return found.select("l_suppkey", "n", F.round("scale", 2).alias("scale"), F.round("shape", 5).alias("shape"))
