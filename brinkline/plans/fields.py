@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from brinkline.operators import decluster, dependence, estimation, masks, raster, thresholds
+from brinkline.operators import decluster, dependence, estimation, features, masks, raster, thresholds
 from brinkline.operators.quantile_regression import threshold_by_key, with_covariates
 from brinkline.plans.catalogue import ISLANDS, T, exceeding, hours, query, r6, table
 
@@ -201,3 +201,34 @@ def gpd_fit_by_supplier(spark, sf_dir):
     rows = thresholds.with_threshold(table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("value")), ["l_suppkey"], q=0.9)
     found = estimation.fit_gpd(rows, ["l_suppkey"])
     return found.select("l_suppkey", "n", F.round("scale", 2).alias("scale"), F.round("shape", 5).alias("shape"))
+
+
+_NORMAL = """v AS (SELECT o_orderpriority AS k, dayofyear(o_orderdate) AS d, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1, 2),
+c AS (SELECT k, (d + i - 1 + 366) % 366 + 1 AS d, sum(n) AS n, sum(s) / sum(n) AS normal FROM v, range(-10, 11) r(i) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_NORMAL} SELECT k AS o_orderpriority, d::INT AS day, n::BIGINT AS n, round(ln(normal), 9) AS log_normal FROM c")
+def climatology_by_priority(spark, sf_dir):
+    found = features.climatology(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice", 10)
+    return found.select("o_orderpriority", F.col("day").cast("int").alias("day"), "n", F.round(F.log("normal"), 9).alias("log_normal"))
+
+
+@query(f"WITH {_NORMAL} SELECT o_orderkey, round((o_totalprice - normal) / normal, 9) AS anomaly FROM orders LEFT JOIN c ON c.k = o_orderpriority AND c.d = dayofyear(o_orderdate)")
+def order_anomalies(spark, sf_dir):
+    """Anomalies as shares of the normal."""
+    found = features.anomalies(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice", 10)
+    return found.select("o_orderkey", F.round(F.col("anomaly") / F.col("normal"), 9).alias("anomaly"))
+
+
+_SPELL = "e AS (SELECT user_id, value > 60 AS met, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ix FROM events), x AS (SELECT *, ix - row_number() OVER (PARTITION BY user_id ORDER BY ix) AS run FROM e WHERE met), s AS (SELECT user_id, min(ix) AS first_ix, max(ix) AS last_ix, count(*) AS length FROM x GROUP BY user_id, run)"
+
+
+@query(f"WITH {_SPELL} SELECT * FROM s")
+def value_spells(spark, sf_dir):
+    return features.spells(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value") > 60)
+
+
+@query(f"WITH {_SPELL} SELECT u.user_id, count(length) AS spells, coalesce(max(length), 0) AS longest, round(avg(length), 6) AS mean_length FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN s ON s.user_id = u.user_id GROUP BY 1")
+def spells_by_user(spark, sf_dir):
+    found = features.spell_summary(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value") > 60)
+    return found.select("user_id", "spells", "longest", r6("mean_length").alias("mean_length"))
