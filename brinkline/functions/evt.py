@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brinkline.functions.special import EULER, INF, NAN, col, gamma, log_gamma_complex, safe_ln
+from brinkline.functions.special import EULER, INF, NAN, col, gamma, let, log_gamma_complex, safe_ln
 
 CUTOFF = 1e-7
 
@@ -125,25 +125,37 @@ def gev_mean_excess(u, loc, scale, shape, terms: int = 160) -> Column:
     series. Beyond tau = 40 nothing lies below ``u`` to double precision, and whole gamma functions take their place.
     """
     u, loc, scale, shape = map(col, (u, loc, scale, shape))
+    given = F.struct(u.alias("u"), loc.alias("loc"), scale.alias("scale"), shape.alias("shape"))
+    # folds evaluate what they name at every step, so what they name is computed before them
+    return let(given, lambda g: _mean_excess(g["u"], g["loc"], g["scale"], g["shape"], terms))
+
+
+def _mean_excess(u: Column, loc: Column, scale: Column, shape: Column, terms: int) -> Column:
     xi = _guarded(shape)
     t = 1.0 + xi * (u - loc) / scale
     inside = F.when(t > 0, t).otherwise(1.0)
     tau = F.when(_flat(shape), F.exp(-(u - loc) / scale)).when(t > 0, F.pow(inside, -1.0 / xi)).otherwise(F.when(shape > 0, 1e6).otherwise(0.0))
-    all_ = tau > 40.0
-    x = F.when(all_, 40.0).when(tau > 0, tau).otherwise(1.0)
-    a = F.when(shape < 1, 1.0 - xi).otherwise(1.0)
-    start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
-    # lower incomplete gamma: x^a e^-x sum of x^n / (a (a + 1) ... (a + n))
-    rising = F.aggregate(F.sequence(F.lit(0), F.lit(terms)), start, lambda b, n: F.struct((b["t"] * F.when(n == 0, 1.0 / a).otherwise(x / (a + n))).alias("t"), (b["s"] + b["t"] * F.when(n == 0, 1.0 / a).otherwise(x / (a + n))).alias("s")), lambda b: b["s"])
-    lower = F.when(all_, gamma(a)).otherwise(F.pow(x, a) * F.exp(-x) * rising)
-    # integral of (1 - e^-t) / t: e^-x sum of x^n / n! times the n-th harmonic number
-    zero = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("h"), F.lit(0.0).alias("s"))
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), zero, lambda b, n: F.struct((b["t"] * x / n).alias("t"), (b["h"] + 1.0 / n).alias("h"), (b["s"] + b["t"] * x / n * (b["h"] + 1.0 / n)).alias("s")), lambda b: b["s"])
-    ein = F.when(all_, F.log(x) + EULER).otherwise(F.exp(-x) * harmonic)
-    over = F.when(all_, 1.0).otherwise(-F.expm1(-x))
-    flat = loc * over + scale * (F.when(all_, F.lit(EULER)).otherwise(ein - F.log(x) * over))
-    whole = F.when(_flat(shape), flat).otherwise(loc * over + scale / xi * (lower - over))
-    return F.when((shape >= 1) | (tau <= 0), NAN).otherwise(whole / over - u)
+
+    def of(given: Column) -> Column:
+        tau, a, xi = given["tau"], given["a"], given["xi"]
+        all_ = tau > 40.0
+        return let(F.when(all_, 40.0).when(tau > 0, tau).otherwise(1.0), lambda x: summed(x, tau, a, xi, all_))
+
+    def summed(x: Column, tau: Column, a: Column, xi: Column, all_: Column) -> Column:
+        start = F.struct((1.0 / a).alias("t"), F.lit(0.0).alias("s"))
+        # lower incomplete gamma: x^a e^-x sum of x^n / (a (a + 1) ... (a + n))
+        rising = F.aggregate(F.sequence(F.lit(1), F.lit(terms + 1)), start, lambda b, n: F.struct((b["t"] * (x / (a + n))).alias("t"), (b["s"] + b["t"]).alias("s")), lambda b: b["s"])
+        lower = F.when(all_, gamma(a)).otherwise(F.pow(x, a) * F.exp(-x) * rising)
+        # integral of (1 - e^-t) / t: e^-x sum of x^n / n! times the n-th harmonic number
+        zero = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("h"), F.lit(0.0).alias("s"))
+        harmonic = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), zero, lambda b, n: F.struct((b["t"] * x / n).alias("t"), (b["h"] + 1.0 / n).alias("h"), (b["s"] + b["t"] * x / n * (b["h"] + 1.0 / n)).alias("s")), lambda b: b["s"])
+        ein = F.when(all_, F.log(x) + EULER).otherwise(F.exp(-x) * harmonic)
+        over = F.when(all_, 1.0).otherwise(-F.expm1(-x))
+        flat = loc * over + scale * (F.when(all_, F.lit(EULER)).otherwise(ein - F.log(x) * over))
+        whole = F.when(_flat(shape), flat).otherwise(loc * over + scale / xi * (lower - over))
+        return F.when((shape >= 1) | (tau <= 0), NAN).otherwise(whole / over - u)
+
+    return let(F.struct(tau.alias("tau"), F.when(shape < 1, 1.0 - xi).otherwise(1.0).alias("a"), xi.alias("xi")), of)
 
 
 def gev_percentile_residual_life(t, share, loc, scale, shape) -> Column:

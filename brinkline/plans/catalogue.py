@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a small file dealt to all cores, for work that is long by row."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def spread(spark: SparkSession, sf_dir: str, lo: int, hi: int) -> DataFrame:
     """The parts' keys, dealt over the whole numbers from ``lo`` up to ``hi``, as id."""
     return table(spark, sf_dir, "part").select((F.col("p_partkey") % (hi - lo) + lo).alias("id"))
