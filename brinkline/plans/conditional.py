@@ -6,13 +6,13 @@ import math
 
 from pyspark.sql import functions as F
 
-from brinkline.functions.special import log_poisson_cdf, log_poisson_sf
+from brinkline.functions.special import log_poisson_cdf, log_poisson_sf, safe_ln
 from brinkline.operators import processes as P
 from brinkline.operators import quadrature as Q
 from brinkline.operators import spatial as S
 from brinkline.operators.history import History, history_at, marked_log_prob, marks_log_prob, with_history
 from brinkline.operators.thinning import Thinned
-from brinkline.plans.catalogue import HOURS, T, hours, query, r6, table
+from brinkline.plans.catalogue import HOURS, T, dealt, hours, query, r6, table
 from brinkline.plans.models import ASKED, EVENTS, RATE, USERS, WAVE, asked, windows
 from brinkline.plans.models import _mass as mass
 
@@ -57,7 +57,7 @@ _X, _Y, _Z = (inverse_sql("i", p, 512) for p in (2, 3, 5))
 SELECT s_suppkey, round(b * c / 512 * list_sum(list_transform(range(1, 513), lambda i: exp(-b * {_X} - 0.5 * c * {_Y}))), 7) AS plane,
 round(b * c * 2 / 512 * list_sum(list_transform(range(1, 513), lambda i: exp(-b * {_X} - 0.5 * c * {_Y}) * cos(2 * {_Z} - 1))), 7) AS space FROM a""")
 def halton_box_integrals(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (1 + F.col("s_nationkey") / 10.0).alias("b"), (1 + (F.col("s_suppkey") % 7) / 3.0).alias("c"))
+    rows = dealt(table(spark, sf_dir, "supplier")).select("s_suppkey", (1 + F.col("s_nationkey") / 10.0).alias("b"), (1 + (F.col("s_suppkey") % 7) / 3.0).alias("c"))
     plane = Q.box_integral(lambda x, y: F.exp(-x - 0.5 * y), [0.0, 0.0], [F.col("b"), F.col("c")], 512)
     space = Q.box_integral(lambda x, y, z: F.exp(-x - 0.5 * y) * F.cos(z), [0.0, 0.0, -1.0], [F.col("b"), F.col("c"), 1.0], 512)
     return rows.select("s_suppkey", F.round(plane, 7).alias("plane"), F.round(space, 7).alias("space"))
@@ -91,11 +91,11 @@ def history_at_times(spark, sf_dir):
 
 
 def following(t, mark, past: History):
-    """ln m is normal around half of the last ln m, the wider the longer ago that was."""
-    centre = F.coalesce(0.5 * F.log(past.last_mark), F.lit(1.0)) + 0.001 * past.mean_mark()
+    """ln m is normal around half of the last ln m, the wider the longer ago that was; marks of 0 have a ln of -inf and count."""
+    centre = F.coalesce(0.5 * safe_ln(past.last_mark), F.lit(1.0)) + 0.001 * past.mean_mark()
     width = 1.0 + 0.01 * past.time_since_last(t)
-    z = (F.log(mark) - centre) / width
-    return -0.5 * z * z - F.log(width * mark) - 0.5 * math.log(2 * math.pi)
+    z = (safe_ln(mark) - centre) / width
+    return -0.5 * z * z - safe_ln(width * mark) - 0.5 * math.log(2 * math.pi)
 
 
 _WIDTH, _CENTRE = "(1 + 0.01 * (t - coalesce(lt, 0)))", "(coalesce(0.5 * ln(lm), 1.0) + 0.001 * CASE WHEN n > 0 THEN s / n ELSE 0 END)"
