@@ -23,3 +23,12 @@ def test_shortfall_computes_its_level_once(spark):
         s = [(i + 0.5) / n for i in range(n)]
         want = sum(4 * v**3 * (2 + 5 * ((-math.log1p(-(1 - alpha) * v**4)) ** -0.3 - 1)) for v in s) / n
         assert r.v == pytest.approx(want, rel=1e-5)
+
+
+def test_halton_points_of_rows_are_constants(spark):
+    f = lambda x, y, z: F.exp(-x - 0.5 * y) * F.cos(z)
+    lo, hi, n = [0.0, 0.5, -1.0], [F.col("id") + 1.0, F.lit(2.0), F.lit(1.0)], 300
+    df = spark.range(3).select("id", Q.box_integral(f, lo, hi, n).alias("v"))
+    assert "floor(" not in plan(df)
+    for r in df.collect():
+        assert r.v == pytest.approx(Q.integral_over(spark, lambda x, y, z: f(x, y, z), lo, [r.id + 1.0, 2.0, 1.0], n), rel=1e-12)
