@@ -19,13 +19,18 @@ from brinkline.operators.positions import same_keys
 from brinkline.plans.shared import materialize, shared_root
 
 
-def _vertex(x: np.ndarray, y: np.ndarray, quantile: float, pull: np.ndarray, beta: np.ndarray, steps: int = 500) -> np.ndarray:
+def _vertex(x: np.ndarray, y: np.ndarray, quantile: float, pull: np.ndarray, beta: np.ndarray, steps: int = 500, weights: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
     """Coefficients that minimise the pinball loss of a few rows plus ``pull`` times the coefficients, from ``beta`` on.
 
     Goes from one line through d rows to the next: lets go of one row, moves along the edge that falls most steeply to
-    where the slope turns, and takes the row that lies there.
+    where the slope turns, and takes the row that lies there. Equal rows are one row of their number's weight: a copy of a row on
+    the line would otherwise lie a rounding error beside it and end the way there. The second result is false where the
+    loss still falls beyond the last of these rows: then the least lies among rows that ``pull`` stands for.
     """
     d = x.shape[1]
+    rows, place = np.unique(np.column_stack([x, y]), axis=0, return_inverse=True)
+    m = np.bincount(place.ravel(), weights, len(rows)).astype(float)
+    x, y = rows[:, :d], rows[:, d]
     basis: list[int] = []
     for i in np.argsort(np.abs(y - x @ beta)):
         if np.linalg.matrix_rank(x[[*basis, int(i)]]) > len(basis):
@@ -33,42 +38,41 @@ def _vertex(x: np.ndarray, y: np.ndarray, quantile: float, pull: np.ndarray, bet
         if len(basis) == d:
             break
     if len(basis) < d:
-        return beta
-    best = None
+        return beta, False
+    best, inside = None, True
     for _ in range(steps):
         inverse = np.linalg.inv(x[basis])
         beta = inverse @ y[basis]
         r = y - x @ beta
         r[basis] = 0.0
-        loss = float(np.maximum(quantile * r, (quantile - 1) * r).sum() + pull @ beta)
+        loss = float((m * np.maximum(quantile * r, (quantile - 1) * r)).sum() + pull @ beta)
         if best is not None and loss >= best[0] - 1e-12 * abs(best[0]):
-            return best[1]
-        best = (loss, beta)
+            return best[1], inside
+        best, inside = (loss, beta), True
         move = None
         for k in range(d):
             for sign in (1.0, -1.0):
                 way = sign * inverse[:, k]
                 along = x @ way  # a residual falls by this along the way
                 others = np.abs(r) > 1e-12
-                slope = float(-((quantile - (r < 0)) * along)[others].sum() + pull @ way + np.maximum(-quantile * along, (1 - quantile) * along)[~others].sum())
+                slope = float(-(m * (quantile - (r < 0)) * along)[others].sum() + pull @ way + (m * np.maximum(-quantile * along, (1 - quantile) * along))[~others].sum())
                 if slope < -1e-9 and (move is None or slope < move[0]):
                     move = (slope, k, along, others)
         if move is None:
-            return beta
+            return beta, True
         slope, k, along, others = move
         reach = np.full(len(r), np.inf)
         some = others & (np.abs(along) > 1e-14)
         reach[some] = r[some] / along[some]
-        for i in np.argsort(np.where(reach > 0, reach, np.inf)):
-            if not np.isfinite(reach[i]) or reach[i] <= 0:
-                return beta
-            slope += abs(along[i])  # the row changes its side
-            if slope >= 0:
-                basis[k] = int(i)
-                break
-        else:
-            return beta
-    return best[1]
+        ahead = np.flatnonzero(np.isfinite(reach) & (reach > 0))
+        if not len(ahead):
+            return beta, False
+        ahead = ahead[np.argsort(reach[ahead], kind="stable")]
+        slopes = slope + np.cumsum(m[ahead] * np.abs(along[ahead]))  # the rows passed change their side
+        turned = np.flatnonzero(slopes >= 0)
+        inside = len(turned) > 0
+        basis[k] = int(ahead[turned[0] if inside else -1])
+    return best[1], False
 
 
 @dataclass
@@ -97,8 +101,9 @@ class QuantileRegressor:
         kept = rows.select(*[F.col(c).cast("double").alias(c) for c in used])
         for c in used:
             kept = kept.where(F.col(c).isNotNull() & ~F.isnan(c))
-        kept = materialize(kept, shared_root(rows.sparkSession), "regression")
-        stats = kept.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in used], *[F.stddev_pop(c).alias(f"s_{c}") for c in used]).first()
+        kept = materialize(kept.groupBy(*used).agg(F.count("*").alias("brinkline_m")), shared_root(rows.sparkSession), "regression")
+        m = F.col("brinkline_m")  # equal rows are one row of this weight
+        stats = kept.agg(F.sum(m).alias("n"), F.count("*").alias("rows"), *[F.avg(c).alias(f"m_{c}") for c in used], *[F.stddev_pop(c).alias(f"s_{c}") for c in used]).first()
         if not stats.n:
             raise ValueError("no rows to fit")
         mean, scale = ({c: float(stats[f"{k}_{c}"]) for c in used} for k in ("m", "s"))
@@ -110,9 +115,9 @@ class QuantileRegressor:
         beta[0] = (float(kept.select(F.percentile_approx(target, F.lit(self.quantile)).alias("q")).first().q) - mean[target]) / unit[target]
         for k in range(self.passes):
             r = y - sum((x[i] * float(beta[i]) for i in range(d)), F.lit(0.0))
-            w = 1.0 / (float(eps) + F.abs(r))
+            w = m / (float(eps) + F.abs(r))
             cells = [F.sum(w * x[i] * x[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]
-            found = kept.agg(*cells, *[F.sum(w * x[i] * y).alias(f"y{i}") for i in range(d)], *[F.sum(x[i]).alias(f"x{i}") for i in range(d)], F.avg(F.greatest(self.quantile * r, (self.quantile - 1.0) * r)).alias("loss")).first()
+            found = kept.agg(*cells, *[F.sum(w * x[i] * y).alias(f"y{i}") for i in range(d)], *[F.sum(m * x[i]).alias(f"x{i}") for i in range(d)], (F.sum(m * F.greatest(self.quantile * r, (self.quantile - 1.0) * r)) / float(stats.n)).alias("loss")).first()
             gram = np.array([[found[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
             right = np.array([found[f"y{i}"] + (2 * self.quantile - 1) * found[f"x{i}"] for i in range(d)])
             penalty = np.diag([0.0, *[2 * self.alpha * stats.n / (eps + abs(b)) for b in beta[1:]]])
@@ -120,24 +125,28 @@ class QuantileRegressor:
                 break
             loss, beta = found.loss, np.linalg.lstsq(gram + penalty, right, rcond=None)[0]
             eps = max(1e-9, eps * 0.7)
-        self.exact = False
-        for _ in range(10 if not self.alpha else 0):
+        self.exact, near = False, self.near
+        for _ in range(40 if not self.alpha else 0):
             r = y - sum((x[i] * float(beta[i]) for i in range(d)), F.lit(0.0))
-            cut = kept.agg(F.percentile_approx(F.abs(r), F.lit(min(1.0, self.near / stats.n)), F.lit(10_000)).alias("c")).first().c
+            cut = kept.agg(F.percentile_approx(F.abs(r), F.lit(min(1.0, near / stats.rows)), F.lit(10_000)).alias("c")).first().c
             away = F.abs(r) > float(cut)
             side = F.lit(self.quantile) - (r < 0).cast("double")
-            pull = kept.where(away).agg(*[F.sum(-side * x[i]).alias(f"p{i}") for i in range(d)]).first()
-            rows_ = kept.where(~away).select(*[c.alias(f"x{i}") for i, c in enumerate(x)], y.alias("y")).limit(10 * self.near + 1).collect()
-            if len(rows_) > 10 * self.near:  # too many rows equally near: the passes' result stays
+            pull = kept.where(away).agg(*[F.sum(-m * side * x[i]).alias(f"p{i}") for i in range(d)]).first()
+            rows_ = kept.where(~away).select(*[c.alias(f"x{i}") for i, c in enumerate(x)], y.alias("y"), m.alias("m")).limit(20 * self.near + 1).collect()
+            if len(rows_) > 20 * self.near:  # too many rows equally near: the passes' result stays
                 break
             a, b = np.array([[q[f"x{i}"] for i in range(d)] for q in rows_]), np.array([q.y for q in rows_])
-            found = _vertex(a, b, self.quantile, np.array([pull[f"p{i}"] or 0.0 for i in range(d)]), beta)
+            found, inside = _vertex(a, b, self.quantile, np.array([pull[f"p{i}"] or 0.0 for i in range(d)]), beta, weights=np.array([q.m for q in rows_]))
             now = y - sum((x[i] * float(found[i]) for i in range(d)), F.lit(0.0))
             moved = kept.where(away & (F.signum(now) != F.signum(r))).limit(1).count()
-            beta = found
-            if not moved:
-                self.exact = True
+            if inside and not moved:
+                beta, self.exact = found, True
                 break
+            # the least is further away than these rows: as far that way as the loss of all rows falls
+            steps = [0.0, *[0.5**k for k in range(30)]]
+            tried = [y - sum((x[i] * float(beta[i] + t * (found[i] - beta[i])) for i in range(d)), F.lit(0.0)) for t in steps]
+            losses = kept.agg(*[F.sum(m * F.greatest(self.quantile * r, (self.quantile - 1.0) * r)) for r in tried]).first()
+            beta, near = beta + steps[int(np.argmin(losses))] * (found - beta), min(2 * near, 10 * self.near)
         self.coef = [float(beta[i + 1] * unit[target] / unit[c]) for i, c in enumerate(features)]
         self.intercept = float(mean[target] + beta[0] * unit[target] - sum(b * mean[c] for b, c in zip(self.coef, features, strict=True)))
         return self
@@ -175,11 +184,11 @@ def _independent(x: np.ndarray) -> list[int]:
     return found
 
 
-def _exact(x: np.ndarray, y: np.ndarray, quantile: float, pull: np.ndarray, beta: np.ndarray) -> np.ndarray:
+def _exact(x: np.ndarray, y: np.ndarray, quantile: float, pull: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, bool]:
     """``_vertex`` for columns that may depend on each other: those that do get a coefficient of 0."""
     use, out = _independent(x), np.zeros(x.shape[1])
-    out[use] = _vertex(x[:, use], y, quantile, pull[use], beta[use])
-    return out
+    out[use], inside = _vertex(x[:, use], y, quantile, pull[use], beta[use])
+    return out, inside
 
 
 def _local_fit(x: np.ndarray, y: np.ndarray, quantile: float, passes: int) -> np.ndarray:
@@ -188,7 +197,7 @@ def _local_fit(x: np.ndarray, y: np.ndarray, quantile: float, passes: int) -> np
     for _ in range(passes):
         gram, right = _weighted(x, y, quantile, beta, eps)
         beta, eps = np.linalg.lstsq(gram, right, rcond=None)[0], max(1e-9, eps * 0.6)
-    return _exact(x, y, quantile, np.zeros(x.shape[1]), beta)
+    return _exact(x, y, quantile, np.zeros(x.shape[1]), beta)[0]
 
 
 def fit_by_key(rows: DataFrame, keys: list[str], features: list[str], target: str, quantile: float, local_rows: int = 50_000, near: int = 2_000, passes: int = 30) -> DataFrame:
@@ -290,8 +299,9 @@ def _long_fits(rows: DataFrame, stats: DataFrame, held: list[str], xs: list[str]
         pdf = pdf.sort_values([*xs, "y"])
         a = np.column_stack([np.ones(len(pdf)), *[pdf[c].to_numpy() for c in xs]])
         out = pdf[held].iloc[:1].copy()
-        out["better"] = [_exact(a, pdf["y"].to_numpy(), quantile, np.array(pdf["pull"].iloc[0]), np.array(pdf["beta"].iloc[0])).tolist()]
-        return out
+        line, inside = _exact(a, pdf["y"].to_numpy(), quantile, np.array(pdf["pull"].iloc[0]), np.array(pdf["beta"].iloc[0]))
+        out["better"] = [line.tolist()]
+        return out if inside else out.iloc[:0]
 
     better = close.groupBy(*held).applyInPandas(exactly, T.StructType([*fields, T.StructField("better", T.ArrayType(T.DoubleType()))]))
     better = materialize(better, root, "better")
