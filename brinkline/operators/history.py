@@ -79,7 +79,8 @@ def history_at(events: DataFrame, queries: DataFrame, keys: list[str], order: li
     here, there = kept["t"].cast("double") == counted["brinkline_t"], counted["n_before"] == past["brinkline_n"]
     for k in keys:
         here, there = here & kept[k].eqNullSafe(counted[f"brinkline_{k}"]), there & counted[f"brinkline_{k}"].eqNullSafe(past[f"past_{k}"])
-    found = kept.join(counted, here).join(past, there, "left")
+    # sizes before an explode, or of well packed files, say little of the rows: none of these is to be broadcast
+    found = kept.join(counted.hint("merge"), here).join(past.hint("merge"), there, "left")
     return found.select(*[kept[c] for c in kept.columns], "n_before", "last_t", "last_mark", F.coalesce("mark_sum", F.lit(0.0)).alias("mark_sum"))
 
 

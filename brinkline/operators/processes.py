@@ -28,7 +28,7 @@ FLOOR = 1e-30
 
 def in_windows(events: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """Every window with its events: rows (keys, t0, t1, t), t null where a window has none."""
-    inside = windows.join(events.select(*keys, "t"), keys, "left")
+    inside = windows.join(events.select(*keys, "t").hint("merge"), keys, "left")
     return inside.withColumn("t", F.when((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")), F.col("t")))
 
 
@@ -263,13 +263,13 @@ def decayed_sums(events: DataFrame, queries: DataFrame, keys: list[str], beta: f
     steps = spine.withColumn("upto", F.lit(None).cast("long")).withColumn("ask", F.lit(1)).union(count.select(*keys, "b", "upto", F.lit(0).alias("ask")))
     earlier = W.partitionBy(*keys).orderBy("b", F.desc("ask")).rowsBetween(W.unboundedPreceding, -1)
     steps = steps.withColumn("ahead", F.coalesce(F.max("upto").over(earlier), F.lit(0))).where("ask = 1").select(*keys, "b", "ahead")
-    found = inside.join(carried, [*keys, "b"], "left").join(steps, [*keys, "b"], "left")
+    found = inside.join(carried.hint("merge"), [*keys, "b"], "left").join(steps.hint("merge"), [*keys, "b"], "left")
     fade = F.exp(-beta * (F.col("t") - F.col("b") * width))
     found = found.select(*keys, F.col("t").alias("at"), (F.col("own_n") + F.col("ahead")).alias("n"), (fade * (F.col("own") + F.coalesce("carried", F.lit(0.0)))).alias("decayed"))
     same = queries["t"].cast("double") == found["at"]
     for k in keys:
         same = same & (queries[k] == found[k])
-    return queries.join(found, same).select(queries["*"], found["n"], found["decayed"])
+    return queries.join(found.hint("merge"), same).select(queries["*"], found["n"], found["decayed"])
 
 
 @dataclass(frozen=True)
@@ -299,10 +299,10 @@ class ExponentialHawkes:
 
     def log_prob(self, events: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
         """(keys, t1, n, log_lik) over windows (keys, t1) that start at 0."""
-        inside = windows.join(events.select(*keys, "t"), keys, "left").where("t is null or t < t1")
+        inside = windows.join(events.select(*keys, "t").hint("merge"), keys, "left").where("t is null or t < t1")
         logs = self.intensity(events, events.select(*keys, "t"), keys).groupBy(*keys, "t").agg(F.count("*").alias("m"), F.sum(F.log(F.greatest("rate", F.lit(FLOOR)))).alias("ll"))
-        sums = inside.select(*keys, "t1", "t").distinct().join(logs, [*keys, "t"]).groupBy(*keys, "t1").agg(F.sum("m").alias("n"), F.sum("ll").alias("ll"), F.sum(F.col("m") * (1.0 - F.exp(-self.beta * (F.col("t1") - F.col("t"))))).alias("kernel"))
-        all_ = windows.join(sums, [*keys, "t1"], "left")
+        sums = inside.select(*keys, "t1", "t").distinct().join(logs.hint("merge"), [*keys, "t"]).groupBy(*keys, "t1").agg(F.sum("m").alias("n"), F.sum("ll").alias("ll"), F.sum(F.col("m") * (1.0 - F.exp(-self.beta * (F.col("t1") - F.col("t"))))).alias("kernel"))
+        all_ = windows.join(sums.hint("merge"), [*keys, "t1"], "left")
         none = F.lit(0.0)
         return all_.select(*keys, "t1", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("ll", none) - self.mu * F.col("t1") - self.alpha / self.beta * F.coalesce("kernel", none)).alias("log_lik"))
 

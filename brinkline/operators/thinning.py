@@ -87,8 +87,9 @@ class Thinned:
         on = [*keys, "t0", "t1"] if isinstance(self.base, Poisson) else [*keys, "t1"]
         rows = self._events(events, keys, order, mark).select(*keys, "t", "ln_keep")
         there = (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1"))
-        logs = asked.join(rows, keys, "left").groupBy(*keys, "t0", "t1").agg(F.coalesce(F.sum(F.when(there, F.col("ln_keep"))), F.lit(0.0)).alias("log_retention"))
-        found = asked.join(ground, on).join(logs, [*keys, "t0", "t1"]).join(self.discarded(events, windows, keys, order, mark), [*keys, "t0", "t1"])
+        logs = asked.join(rows.hint("merge"), keys, "left").groupBy(*keys, "t0", "t1").agg(F.coalesce(F.sum(F.when(there, F.col("ln_keep"))), F.lit(0.0)).alias("log_retention"))
+        lost = self.discarded(events, windows, keys, order, mark)
+        found = asked.join(ground.hint("merge"), on).join(logs.hint("merge"), [*keys, "t0", "t1"]).join(lost.hint("merge"), [*keys, "t0", "t1"])
         whole = F.col("base_log_lik") + F.col("log_retention") + F.col("discarded")
         return found.select(*keys, "t0", "t1", "n", "base_log_lik", "log_retention", "discarded", whole.alias("log_lik"))
 
