@@ -111,14 +111,20 @@ def in_polygons(points: DataFrame, edges: DataFrame, ids: list[str], polygon: st
     ``edges`` as from ``polygon_edges``; several rings of one polygon cut holes into each other. ``ids`` tell points
     apart. A point on an edge is inside where the polygon lies to its right or above it, so that polygons that share an
     edge share no point. NULL coordinates are outside. ``band`` is the height of a band: edges are copied into each
-    one that they pass through.
+    one that they pass through, and those of one polygon and band make one row. Each row of ``points`` is told by itself.
     """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     filed = edges.where("y1 <> y2").withColumn("brinkline_band", F.explode(F.sequence(F.floor(low / band), F.floor(high / band))))
     at = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*ids, F.col(x).cast("double").alias("brinkline_x"), F.col(y).cast("double").alias("brinkline_y"))
     at = at.withColumn("brinkline_band", F.floor(F.col("brinkline_y") / band))
-    filed = F.broadcast(filed) if filed.count() <= MOST_BROADCAST else filed
+    few = filed.count() <= MOST_BROADCAST
+    # the edges that a point may meet come as one row, so that no task has to gather a point's crossings again
+    bands = filed.groupBy(polygon, "brinkline_band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("brinkline_edges"))
     px, py = F.col("brinkline_x"), F.col("brinkline_y")
-    across = F.col("x1") + (py - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    met = at.join(filed, "brinkline_band").where(((F.col("y1") > py) != (F.col("y2") > py)) & (px < across))
-    return met.groupBy(*ids, polygon).agg(F.count("*").alias("brinkline_n")).where("brinkline_n % 2 = 1").select(*ids, polygon)
+
+    def crossed(e: Column) -> Column:
+        across = e["x1"] + (py - e["y1"]) / (e["y2"] - e["y1"]) * (e["x2"] - e["x1"])
+        return ((e["y1"] > py) != (e["y2"] > py)) & (px < across)
+
+    met = at.join(F.broadcast(bands) if few else bands, "brinkline_band")
+    return met.where(F.size(F.filter("brinkline_edges", crossed)) % 2 == 1).select(*ids, polygon)

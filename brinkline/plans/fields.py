@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from brinkline.operators import decluster, dependence, estimation, features, masks, raster, thresholds
+from brinkline.operators.positions import dealt_by_size
 from brinkline.operators.quantile_regression import threshold_by_key, with_covariates
 from brinkline.plans.catalogue import ISLANDS, T, exceeding, hours, query, r6, table
 
@@ -23,7 +24,8 @@ def polygon_masks(spark, sf_dir):
     corners = table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("j"))
     inner, angle = F.when(F.col("j") % 2 == 0, 1.0).otherwise(0.45), 2 * math.pi * F.col("j") / n + 0.1
     corners = corners.select("r_regionkey", "j", (50.123 + (20 + 2 * F.col("r_regionkey")) * inner * F.cos(angle)).alias("x"), (25.4567 + (12 + F.col("r_regionkey")) * inner * F.sin(angle)).alias("y"))
-    points = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("px"), F.col("l_quantity").alias("py")).distinct()
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("px"), F.col("l_quantity").alias("py"))
+    points = dealt_by_size(items, ["px", "py"], items.count()).distinct()
     found = masks.in_polygons(points, masks.polygon_edges(corners, "r_regionkey", "j"), ["px", "py"], "r_regionkey", 2.0, "px", "py")
     return found.groupBy("r_regionkey").agg(F.count("*").alias("n"), F.round(F.sum("px"), 3).alias("sum_x"), F.sum("py").alias("sum_y"), F.min("px").alias("low_x"), F.max("py").alias("high_y"))
 
