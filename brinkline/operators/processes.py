@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from brinkline.functions.special import INF, col, log_poisson_sf
 from brinkline.operators import point_process
 from brinkline.operators.history import NAMES, history_at, with_history
-from brinkline.operators.positions import running_sums
+from brinkline.operators.positions import dealt_by_size, running_sums
 from brinkline.operators.quadrature import simpson, trapezoid
 from brinkline.sources.simulate import thinned
 
@@ -246,30 +247,25 @@ def decayed_sums(events: DataFrame, queries: DataFrame, keys: list[str], beta: f
     """``queries`` (keys, t, ...) with n, the events strictly before t, and decayed, the sum of exp(-beta (t - s)) over them.
 
     Times are cut into buckets of 8 / beta. Inside one, powers taken from its start stay small, so a running sum does;
-    earlier buckets come by their totals, of which all beyond the fifth have decayed below double precision.
+    earlier buckets come by their totals, of which all beyond the fifth have decayed below double precision. Queries go
+    through the windows whole, so none is looked up again; those with a NULL key or time have no row.
     """
-    width = 8.0 / beta
-    bucket = lambda t: F.floor(t / width)
-    asked = queries.select(*keys, F.col("t").cast("double").alias("t")).distinct()
-    rows = events.select(*keys, F.col("t").cast("double").alias("t"), F.lit(0).alias("ask")).union(asked.withColumn("ask", F.lit(1)))
-    rows = rows.withColumn("b", bucket(F.col("t"))).withColumn("w", F.when(F.col("ask") == 0, F.exp(beta * (F.col("t") - F.col("b") * width))))
-    before = W.partitionBy(*keys, "b").orderBy("t", F.desc("ask")).rowsBetween(W.unboundedPreceding, -1)
-    inside = rows.withColumn("own", F.coalesce(F.sum("w").over(before), F.lit(0.0))).withColumn("own_n", F.count("w").over(before)).where("ask = 1")
-    totals = rows.where("ask = 0").groupBy(*keys, "b").agg(F.sum("w").alias("total"), F.count("*").alias("m"))
-    count = totals.withColumn("upto", F.sum("m").over(W.partitionBy(*keys).orderBy("b")))
-    carried = totals.select(*keys, F.explode(F.array(*[F.struct((F.col("b") + j).alias("b"), (F.col("total") * float(np.exp(-8.0 * j))).alias("c")) for j in range(1, 6)])).alias("x"))
-    carried = carried.groupBy(*keys, F.col("x.b").alias("b")).agg(F.sum("x.c").alias("carried"))
-    spine = inside.select(*keys, "b").distinct()
-    steps = spine.withColumn("upto", F.lit(None).cast("long")).withColumn("ask", F.lit(1)).union(count.select(*keys, "b", "upto", F.lit(0).alias("ask")))
-    earlier = W.partitionBy(*keys).orderBy("b", F.desc("ask")).rowsBetween(W.unboundedPreceding, -1)
-    steps = steps.withColumn("ahead", F.coalesce(F.max("upto").over(earlier), F.lit(0))).where("ask = 1").select(*keys, "b", "ahead")
-    found = inside.join(carried.hint("merge"), [*keys, "b"], "left").join(steps.hint("merge"), [*keys, "b"], "left")
+    width, bucket = 8.0 / beta, [*keys, "b"]
+    at = F.col("t").cast("double").alias("t")
+    rows = queries.select(*keys, at, F.struct("*").alias("ask")).unionByName(events.select(*keys, at), allowMissingColumns=True)
+    rows = rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "t"]])).withColumn("b", F.floor(F.col("t") / width))
+    rows = rows.withColumn("w", F.when(F.col("ask").isNull(), F.exp(beta * (F.col("t") - F.col("b") * width))))
+    total = queries.count() + events.count()
+    before = W.partitionBy(*bucket).orderBy("t", F.col("ask").isNull()).rowsBetween(W.unboundedPreceding, -1)
+    inside = dealt_by_size(rows, bucket, total).withColumn("own", F.coalesce(F.sum("w").over(before), F.lit(0.0))).withColumn("own_n", F.count("w").over(before)).where(F.col("ask").isNotNull())
+    totals = dealt_by_size(rows.select(*bucket, "w"), bucket, total).groupBy(*bucket).agg(F.sum("w").alias("total"), F.count("w").alias("m"))
+    earlier = W.partitionBy(*keys).orderBy("b")
+    fades = [F.coalesce(F.sum("total").over(earlier.rangeBetween(-j, -j)), F.lit(0.0)) * float(np.exp(-8.0 * j)) for j in range(1, 6)]
+    ahead = F.coalesce(F.sum("m").over(earlier.rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    steps = dealt_by_size(totals, keys, total).select(*bucket, sum(fades, F.lit(0.0)).alias("carried"), ahead.alias("ahead"))
+    found = inside.join(steps.hint("merge"), bucket)
     fade = F.exp(-beta * (F.col("t") - F.col("b") * width))
-    found = found.select(*keys, F.col("t").alias("at"), (F.col("own_n") + F.col("ahead")).alias("n"), (fade * (F.col("own") + F.coalesce("carried", F.lit(0.0)))).alias("decayed"))
-    same = queries["t"].cast("double") == found["at"]
-    for k in keys:
-        same = same & (queries[k] == found[k])
-    return queries.join(found.hint("merge"), same).select(queries["*"], found["n"], found["decayed"])
+    return found.select("ask.*", (F.col("own_n") + F.col("ahead")).alias("n"), (fade * (F.col("own") + F.col("carried"))).alias("decayed"))
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brinkline.operators import processes as P
 from brinkline.operators import spatial as S
-from brinkline.plans.catalogue import HOURS, T, hours, query, r6, spread, table
+from brinkline.plans.catalogue import HOURS, T, dealt, hours, query, r6, spread, table
 
 EVENTS = f"e AS (SELECT user_id, event_id, {T} AS t FROM events)"
 USERS = "w AS (SELECT c_custkey - 1 AS user_id FROM customer)"
@@ -25,7 +25,7 @@ def windows(spark, sf_dir, t0=0.0, t1=HOURS):
 
 
 def asked(spark, sf_dir):
-    return users(spark, sf_dir).withColumn("t", F.explode(F.array(*[F.lit(90.0 * i) for i in range(1, 9)])))
+    return dealt(users(spark, sf_dir)).withColumn("t", F.explode(F.array(*[F.lit(90.0 * i) for i in range(1, 9)])))
 
 
 def sequences(spark, sf_dir):
