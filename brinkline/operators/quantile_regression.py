@@ -8,6 +8,7 @@ a bounded number, are solved exactly with it. That no other row changed its side
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -201,12 +202,13 @@ def _local_fit(x: np.ndarray, y: np.ndarray, quantile: float, passes: int) -> np
 
 
 def fit_by_key(rows: DataFrame, keys: list[str], features: list[str], target: str, quantile: float, local_rows: int = 50_000, near: int = 2_000, passes: int = 30) -> DataFrame:
-    """(keys, n, coefficients, exact): the line of each key, intercept first, all keys in one go.
+    """(keys, n, coefficients, exact, flat): the line of each key, intercept first, all keys in one go.
 
     Rows with a null or NaN in a used column are left out; keys without others have no row here. A key of up to
     ``local_rows`` rows is one call's work. Longer ones share passes over all their rows that leave one small matrix a
     key; then the rows next to a key's line, about ``near``, are solved exactly with one sum for all others. ``exact``
-    is false where a row changed its side in that, or more than ten times ``near`` rows lie equally near.
+    is false where a row changed its side in that, or more than ten times ``near`` rows lie equally near. ``flat`` is true
+    where one of the features never changes in the key, so that its coefficient of 0 is a choice.
     """
     if not 0 < quantile < 1:
         raise ValueError("a quantile lies between 0 and 1")
@@ -218,7 +220,7 @@ def fit_by_key(rows: DataFrame, keys: list[str], features: list[str], target: st
         kept = kept.where(F.col(c).isNotNull() & ~F.isnan(c))
     kept = materialize(kept, root, "rows")
     columns = [*xs, "y"]
-    stats = kept.groupBy(*held).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"unit_{c}") for c in columns], F.percentile_approx("y", F.lit(quantile)).alias("start"))
+    stats = kept.groupBy(*held).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"unit_{c}") for c in columns], F.percentile_approx("y", F.lit(quantile)).alias("start"), reduce(lambda a, b: a | b, [F.min(x) == F.max(x) for x in xs], F.lit(False)).alias("flat"))
     stats = materialize(stats.withColumns({f"unit_{c}": F.when(F.col(f"unit_{c}") > 0, F.col(f"unit_{c}")).otherwise(1.0) for c in columns}), root, "stats")
     about = [F.col(h).alias(f"stats_{h}") for h in held]
 
@@ -250,7 +252,7 @@ def fit_by_key(rows: DataFrame, keys: list[str], features: list[str], target: st
     intercept = F.col("mean_y") + F.col("beta")[0] * F.col("unit_y")
     for slope, x in zip(slopes, xs, strict=True):
         intercept = intercept - slope * F.col(f"mean_{x}")
-    return met.select(*[F.col(h).alias(k) for k, h in zip(keys, held, strict=True)], "n", F.array(intercept, *slopes).alias("coefficients"), "exact")
+    return met.select(*[F.col(h).alias(k) for k, h in zip(keys, held, strict=True)], "n", F.array(intercept, *slopes).alias("coefficients"), "exact", "flat")
 
 
 def _long_fits(rows: DataFrame, stats: DataFrame, held: list[str], xs: list[str], quantile: float, near: int, passes: int, root: str) -> DataFrame:
@@ -313,12 +315,14 @@ def _long_fits(rows: DataFrame, stats: DataFrame, held: list[str], xs: list[str]
     return told.select(*held, F.coalesce("better", "beta").alias("beta"), (F.col("better").isNotNull() & F.col("moved").isNull()).alias("exact"))
 
 
-def threshold_by_key(rows: DataFrame, keys: list[str], features: list[str], quantile: float = 0.95, value: str = "value", **options) -> DataFrame:
+def threshold_by_key(rows: DataFrame, keys: list[str], features: list[str], quantile: float = 0.95, value: str = "value", flat: bool = True, **options) -> DataFrame:
     """``rows`` with threshold, the fitted quantile of ``value`` given the features of its key, and exceeds.
 
-    NULL where a feature is missing or the key has no line; thresholds are given for rows without a value too.
+    NULL where a feature is missing or the key has no line; thresholds are given for rows without a value too. Without
+    ``flat``, keys in which a feature never changes have no line, as no two of their rows tell one.
     """
-    fits = fit_by_key(rows, keys, features, value, quantile, **options).select(*[F.col(k).alias(f"fit_{k}") for k in keys], "coefficients")
+    fits = fit_by_key(rows, keys, features, value, quantile, **options)
+    fits = (fits if flat else fits.where(~F.col("flat"))).select(*[F.col(k).alias(f"fit_{k}") for k in keys], "coefficients")
     kept = rows.drop("threshold", "exceeds")
     met = kept.join(fits, same_keys(kept, fits, {k: f"fit_{k}" for k in keys}), "left")
     line = F.col("coefficients")[0]

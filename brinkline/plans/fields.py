@@ -135,7 +135,7 @@ o AS (SELECT s.{key}, a, b, {loss} AS loss FROM s JOIN {rows} p ON p.{key} = s.{
 def regression_threshold_by_user(spark, sf_dir):
     """A line in time for every user; rows on the line don't exceed it."""
     rows = hours(spark, sf_dir).select("user_id", "event_id", F.col("t").alias("hour"), "value")
-    found = threshold_by_key(rows, ["user_id"], ["hour"], 0.87)
+    found = threshold_by_key(rows, ["user_id"], ["hour"], 0.87, flat=False)
     return found.select("event_id", F.round("threshold", 3).alias("threshold"), (F.col("value") > F.col("threshold") + 1e-9).alias("exceeds"))
 
 
@@ -145,7 +145,7 @@ def regression_threshold_covariate(spark, sf_dir):
     """The day's mean over all users as covariate, missing on every fifth day."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.date_trunc("day", "ts").alias("d"), "ts")
     side = rows.where(F.dayofmonth("ts") % 5 != 0).groupBy("d").agg(F.avg("value").alias("level"))
-    found = threshold_by_key(with_covariates(rows, side, ["d"], ["level"]), ["user_id"], ["level"], 0.83)
+    found = threshold_by_key(with_covariates(rows, side, ["d"], ["level"]), ["user_id"], ["level"], 0.83, flat=False)
     return found.select("event_id", r6("level").alias("covariate"), F.round("threshold", 3).alias("threshold"))
 
 
